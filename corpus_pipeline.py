@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages over the table of documents, each written and read again."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, mixture, shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the last one adds its shard to the
+columns of documents, the others return those columns as they were.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quadrille.llm import decontaminate, mixing, quality_fm, sharding, simhash_dedup
+from quadrille.llm.common import fresh_dir, table, unused
+from quadrille.llm.queries import SHARD_BYTES
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine finds good."""
+    machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
+    verdict = unused(docs, "predicted")
+    return quality_fm.score(docs, machine).filter(f"{verdict} = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash_dedup.dedup(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture draws them."""
+    return mixing.take(mixing.mix(docs), docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard they go to."""
+    return sharding.shard(docs, SHARD_BYTES)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing sources", mixture),
+    ("sharding", shards),
+]
+
+#: A factorisation machine and edit distances inside texts are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; every result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = fresh_dir(spark, f"pipeline-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

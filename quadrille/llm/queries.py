@@ -5,22 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import mixing, secrets, sharding, simhash_dedup
-from quadrille.llm.common import table
+from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes
+from quadrille.llm.common import fresh_dir, table
+from quadrille.llm.labelled import held_out
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 256 << 10
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat_format.format_conversations(rows)
+    turns = chat_format.read_turns(F.col("formatted"))
+    back = done.withColumn("turns", turns).withColumn("loss", chat_format.masked_text(F.col("formatted"), F.col("loss_spans")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = fresh_dir(spark, "token-codes")
+    token_codes.write_codes(table(spark, sf_dir, "documents"), directory)
+    return token_codes.read_codes(spark, directory)
+
+
+def op3_exact_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_substr.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_dedup.group(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality_fm.fit(docs, labels)
+    return quality_fm.score(docs.select("doc_id", "text"), machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard", "shard_depth", "n_bytes")
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trees = quality_trees.fit(docs, labels)
+    return quality_trees.judge(docs, trees).select("doc_id", *quality_trees.BASE, "base_failed", "score", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs)
@@ -39,8 +85,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_token_codes": op2_token_codes,
+    "op3_exact_substr": op3_exact_substr,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_quality_fm": op5_quality_fm,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
+    "op8_quality_trees": op8_quality_trees,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
