@@ -25,7 +25,7 @@ with one id are ordered by a hash of their text; an empty table gives no file; o
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,10 @@ from quadrille.llm.common import map_arrow
 MAGIC = b"DACIDS01"
 CHUNK = 8
 RANK_BITS = 512
-BLANK = re.compile(r"[ \n]+")
+#: Marks that are taken off a word's end before it is looked up.
+TAIL = ".,!?;:*#$%&|"
 #: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 # --- codes ---------------------------------------------------------------------------------------
@@ -145,28 +147,94 @@ def file_bytes(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], fi
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
     return Tokenizer.from_file(path)
 
 
 class WordEncoder:
-    """Ids of whole texts. The vocabulary drops white space and never joins across it, so the
-    library encodes each distinct word once and texts are put together from those."""
+    """Ids of whole texts. The vocabulary drops white space and never joins across it, so the library
+    encodes each distinct word once and texts are put together from those. Many words go to
+    the library as one text, with a mark between them that stands alone and has an id of its own.
+
+    Of a word that ends in a letter and then marks, the marks are encoded apart and the rest without
+    regard to case, as the vocabulary does. Words are told apart by Arrow, ids are gathered by numpy."""
+
+    MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         self.library = tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [BLANK.split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        mark = self.library.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.known: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        for w in [w for w in words if self.mark is None or self.MARK in w]:
+            self.known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        rest = [w for w in words if self.MARK not in w] if self.mark is not None else []
+        groups = [rest[k : k + 1000] for k in range(0, len(rest), 1000)]
+        between = f" {self.MARK} "
+        for group, found in zip(groups, self.library.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            if len(ends) != len(group):
+                raise ValueError("the vocabulary doesn't keep the mark apart")
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                self.known[word] = raw[4 * begin : 4 * end]
+                begin = end + 1
+
+    def look_up(self, words: pa.Array) -> list[bytes]:
+        words = words.to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        look = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), np.uint32) for words in split]
+            self.known = {"": b""}
+            new = words
+        self.learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of each text's."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        told = split.flatten().dictionary_encode()
+        distinct = told.dictionary
+        core = pc.ascii_rtrim(distinct, characters=TAIL)
+        # the one letter whose lower case ends in a mark
+        apart = pc.and_not(pc.match_substring_regex(core, r"\pL$"), pc.ends_with(core, "\u0130"))
+        base = pc.if_else(apart, pc.ascii_lower(core), distinct).dictionary_encode()
+        marks = np.where(apart.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(distinct), pc.binary_length(core)).to_numpy(), 0)
+        with_marks = np.flatnonzero(marks)
+        tail = pa.array([w[-n:] for w, n in zip(distinct.take(pa.array(with_marks)).to_pylist(), marks[with_marks].tolist(), strict=True)], pa.string()).dictionary_encode()
+        pieces = self.look_up(base.dictionary)
+        first_tail = len(pieces)
+        pieces += self.look_up(tail.dictionary) + [b""]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(pieces), np.uint32)
+        ends = np.full(len(distinct), len(pieces) - 1)
+        ends[with_marks] = first_tail + tail.indices.to_numpy()
+        both = np.stack([base.indices.to_numpy(), ends], 1)[told.indices.to_numpy()].ravel()
+        lengths = sizes[both]
+        total = np.cumsum(lengths)
+        at = np.repeat(starts[both] - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)
+        upto = np.concatenate([[0], total])[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        return ids[at], np.diff(upto)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for a worker process: its next task finds the words again."""
+    return WordEncoder(path)
+
+
+def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about `size` bytes of text."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    at = 0
+    while at < len(batch):
+        done = int(sizes[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, done + size, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 # --- Spark ---------------------------------------------------------------------------------------
@@ -183,7 +251,7 @@ def write_codes(docs: DataFrame, directory: str, vocabulary: str = "", end_id: i
     ordered = rows.repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, encoder = TaskContext.get().partitionId(), WordEncoder(path)
+        partition, words = TaskContext.get().partitionId(), encoder(path)
         store, root = pyarrow.fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
         store.create_dir(root, recursive=True)
         ids, names, starts, held, file, first = [], [], [], 0, 0, 0
@@ -201,16 +269,17 @@ def write_codes(docs: DataFrame, directory: str, vocabulary: str = "", end_id: i
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                for doc_id, found in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text").to_pylist()), strict=True):
-                    if held and held + len(found) + 1 > file_tokens:
+            for part in slices(batch):
+                found, counts = words.batch(part.column("text"))
+                ends = np.cumsum(counts)
+                for doc_id, upto, count in zip(part.column("doc_id").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
+                    if held and held + count + 1 > file_tokens:
                         yield close()
                         ids, names, starts, held, file, first = [], [], [], 0, file + 1, first + held
                     names.append(doc_id)
                     starts.append(held)
-                    ids += [found, end]
-                    held += len(found) + 1
+                    ids += [found[upto - count : upto], end]
+                    held += count + 1
         if names:
             yield close()
 
