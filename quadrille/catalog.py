@@ -1,6 +1,550 @@
-"""Registered queries of the grid engine and the SQL that checks them."""
+"""Registered queries of the grid engine and the SQL that checks them.
+
+The tables have no coordinates; points are made from the ids of events by a fixed formula, in both
+engines. The SQL works on hex digits and whole numbers of its own making, not on the engine's codes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution
+from quadrille.operators import bloom, centroid, cover, descend, expressions, match, render
+from quadrille.operators import coverage as cov
+from quadrille.sources import points as sources
+from quadrille.streaming import activity
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with SQL for the same rows."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def shape(spark: SparkSession, *defs: tuple[str, str, int]) -> DataFrame:
+    return cover.definitions(spark, list(defs))
+
+
+# --- SQL parts -----------------------------------------------------------------------------------
+
+DIGIT = "substr('0123456789abcdef', 1 + {0}, 1)"
+#: Hex digit i of y and x: two bits of each, y's first.
+_BITS = "CAST(8*(({y} >> (31-2*i)) & 1) + 4*(({x} >> (31-2*i)) & 1) + 2*(({y} >> (30-2*i)) & 1) + (({x} >> (30-2*i)) & 1) AS BIGINT)"
+
+
+def sql_hex(y: str = "y", x: str = "x", digits: int = 16) -> str:
+    return f"array_to_string(list_transform(range({digits}), lambda i: {DIGIT.format(_BITS.format(y=y, x=x))}), '')"
+
+
+SQL_POINTS = f"""pts AS (
+  SELECT *, {sql_hex()} AS hex FROM (
+    SELECT *, CAST(floor((lat + 90) / (180e0 / 4294967296)) AS BIGINT) AS y, CAST(floor((lon + 180) / (360e0 / 4294967296)) AS BIGINT) AS x FROM (
+      SELECT *, ((event_id * 7919) % 170001) / 1e3 - 85e0 AS lat, ((user_id * 104729 + event_id * 31) % 360000) / 1e3 - 180e0 AS lon FROM events)))"""
+
+
+def sql_cell(digits: str) -> str:
+    """y and x of the south-west corner of a cell given by hex digits."""
+    value = f"(strpos('0123456789abcdef', substr({digits}, i + 1, 1)) - 1)"
+    of = lambda high, low: f"CAST(coalesce(list_sum(list_transform(range(length({digits})), lambda i: ((({value} >> {high}) & 1) << (31-2*i)) + ((({value} >> {low}) & 1) << (30-2*i)))), 0) AS BIGINT)"
+    return f"{of(3, 1)} AS cy, {of(2, 0)} AS cx"
+
+
+def sql_with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+
+def sql_region(name: str, res: int, low: float, left: float, high: float, right: float) -> str:
+    """The cells of a rectangle as a CTE of hex digits."""
+    from quadrille.plans.areas import lat_units, lon_units
+
+    step = 1 << (32 - res)
+    ys, xs = (lat_units(low) // step, lat_units(high) // step), (lon_units(left) // step, lon_units(right) // step)
+    return (
+        f"{name} AS (SELECT {sql_hex('y', 'x', res // 2)} AS hex FROM (SELECT a.v * {step} AS y, ((b.v * {step}) & 4294967295) AS x "
+        f"FROM range({ys[0]}, {ys[1] + 1}) a(v), range({xs[0]}, {xs[1] + 1}) b(v)))"
+    )
+
+
+# --- points --------------------------------------------------------------------------------------
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, lat, lon, hex FROM pts")
+def point_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", "lat", "lon", "hex")
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, y, x, round(y * (180e0/4294967296) - 90, 6) AS lat, round(x * (360e0/4294967296) - 180, 6) AS lon FROM pts")
+def point_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, degrees = codec.decode_units(F.col("hh")), codec.decode(F.col("hh"))
+    return points(spark, sf_dir).select(
+        "event_id", units["y"].alias("y"), units["x"].alias("x"), F.round(degrees["lat"], 6).alias("lat"), F.round(degrees["lon"], 6).alias("lon")
+    )
+
+
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, 4) AS hex, count(*) AS points FROM pts GROUP BY 1")
+def hex_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid.density(points(spark, sf_dir), 8)
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, array_to_string(list_transform(range(1, 16), lambda i: substr(hex, 1, i)), ' ') AS index_text FROM pts")
+def index_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", hierarchy.index_text(F.col("hh")).alias("index_text"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, '5' || substr(hex, 1, 5) || '0000000000' AS geocell, '4' || substr(hex, 1, 4) || '00000000000' AS parent FROM pts")
+def geocell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = hierarchy.geocell(F.col("hh"), 10)
+    return points(spark, sf_dir).select("event_id", codec.to_hex(cell).alias("geocell"), codec.to_hex(hierarchy.geocell_parent(cell)).alias("parent"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT DISTINCT substr(hex, 1, 5) AS cell, substr(hex, 1, 4) AS parent FROM pts")
+def parent_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = codec.to_hex(F.col("hh"), 10)
+    return points(spark, sf_dir).select(cell.alias("cell"), hierarchy.parent_hex(cell).alias("parent")).distinct()
+
+
+@query(sql_with(SQL_POINTS) + f"SELECT cell, cell || {DIGIT.format('d')} AS child FROM (SELECT DISTINCT substr(hex, 1, 3) AS cell FROM pts), range(16) r(d)")
+def child_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = points(spark, sf_dir).select(codec.to_hex(F.col("hh"), 6).alias("cell")).distinct()
+    return cells.select("cell", F.explode(hierarchy.children(F.col("cell"))).alias("child"))
+
+
+_WRAP = "SELECT event_id, d, CASE WHEN (ny >> 32) & 1 = 1 THEN xor(ny, 4294967295) ELSE ny END & 4294967295 AS y, CASE WHEN (ny >> 32) & 1 = 1 THEN xor(nx, 2147483648) ELSE nx END & 4294967295 AS x"
+_MOVES = ", ".join(f"('{d}', {n}, {e})" for d, (n, e) in hierarchy.DIRECTIONS.items())
+
+
+@query(
+    sql_with(SQL_POINTS, f"moved AS ({_WRAP} FROM (SELECT event_id, d, ((y >> 20) << 20) + n * 1048576 AS ny, ((x >> 20) << 20) + e * 1048576 AS nx FROM pts, (VALUES {_MOVES}) m(d, n, e)))")
+    + f"SELECT event_id, d AS direction, {sql_hex(digits=6)} AS hex FROM moved"
+)
+def neighbours_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    around = F.array(*[F.struct(F.lit(d).alias("direction"), codec.to_hex(hierarchy.neighbour(F.col("hh"), 12, d), 12).alias("hex")) for d in hierarchy.DIRECTIONS])
+    return points(spark, sf_dir).select("event_id", F.inline(around))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, substr(hex, 1, 4) || 'c00000000000' AS center, ((y >> 24) << 24) + 8388608 AS y, ((x >> 24) << 24) + 8388608 AS x FROM pts")
+def cell_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = codec.center_units(F.col("hh"), 8)
+    return points(spark, sf_dir).select("event_id", F.substring(codec.to_hex(codec.center(F.col("hh"), 8)), 1, 16).alias("center"), units["y"].alias("y"), units["x"].alias("x"))
+
+
+@query(
+    sql_with(SQL_POINTS)
+    + "SELECT DISTINCT substr(hex, 1, 4) AS hex, round(((y >> 24) << 24) * (180e0/4294967296) - 90, 6) + 0e0 AS swlat, round(((x >> 24) << 24) * (360e0/4294967296) - 180, 6) + 0e0 AS swlon, "
+    "round((((y >> 24) << 24) + 16777215) * (180e0/4294967296) - 90, 6) + 0e0 AS nelat, round((((x >> 24) << 24) + 16777215) * (360e0/4294967296) - 180, 6) + 0e0 AS nelon FROM pts"
+)
+def cell_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = codec.cell_bbox(F.col("hh"), 8)
+    return points(spark, sf_dir).select(codec.to_hex(F.col("hh"), 8).alias("hex"), *[(F.round(box[c], 6) + 0.0).alias(c) for c in ("swlat", "swlon", "nelat", "nelon")]).distinct()
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, substr(hex, 1, 7) || '0' AS packed FROM pts")
+def packed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", F.lower(F.hex(codec.packed_bytes(F.col("hh"), 14))).alias("packed"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_type, min(y) AS swy, min(x) AS swx, max(y) AS ney, max(x) AS nex FROM pts GROUP BY 1")
+def points_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.bbox_of_codes(points(spark, sf_dir), ["event_type"])
+
+
+# --- measures ------------------------------------------------------------------------------------
+
+_PARIS = (48.8566, 2.3522)
+
+
+def _paris() -> tuple:
+    return F.lit(_PARIS[0]), F.lit(_PARIS[1])
+
+
+@query(
+    sql_with(SQL_POINTS) + f"""SELECT event_id, round(degrees(2 * asin(least(1e0, sqrt(pow(sin((radians({_PARIS[0]}e0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians({_PARIS[0]}e0)) *
+    pow(sin(radians({_PARIS[1]}e0 - lon) / 2), 2))))) * 111120e0, 2) AS metres FROM pts"""
+)
+def great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", F.round(measure.great_circle_degrees(F.col("lat"), F.col("lon"), *_paris()), 2).alias("metres"))
+
+
+@query(
+    sql_with(SQL_POINTS) + """SELECT event_id, round(sqrt(pow((3221225472 - y) * (180e0/4294967296), 2) + pow((CASE WHEN abs(2147483648 - x) > 2147483648 THEN 4294967295 - abs(2147483648 - x) ELSE abs(2147483648 - x) END)
+    * (360e0/4294967296) * cos(radians((y * (180e0/4294967296) - 90 + 45) / 2)), 2)) * 111120e0, 2) AS metres FROM pts"""
+)
+def mean_lat_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = codec.long(codec.interleave(3221225472, 2147483648))
+    return points(spark, sf_dir).select("event_id", F.round(measure.mean_latitude_distance(F.col("hh"), there), 2).alias("metres"))
+
+
+@query(
+    sql_with(SQL_POINTS) + f"""SELECT event_id, round(acos(least(1e0, greatest(-1e0, sin(radians(lat)) * sin(radians({_PARIS[0]}e0)) + cos(radians(lat)) * cos(radians({_PARIS[0]}e0)) *
+    cos(radians({_PARIS[1]}e0 - lon))))), 6) AS angle FROM pts"""
+)
+def law_of_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", F.round(measure.law_of_cosines(F.col("lat"), F.col("lon"), *_paris()), 6).alias("angle"))
+
+
+@query(
+    sql_with(SQL_POINTS) + """SELECT event_id, CAST(floor(131072e0 + lon * (262144e0 / 360)) AS BIGINT) AS px,
+    CAST(floor(131072e0 - 0.5e0 * ln((1 + s) / (1 - s)) * (262144e0 / (2 * pi()))) AS BIGINT) AS py FROM (SELECT *, greatest(-0.9999e0, least(0.9999e0, sin(radians(lat)))) AS s FROM pts)"""
+)
+def mercator_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixel = measure.mercator_xy(F.col("lat"), F.col("lon"), 10)
+    return points(spark, sf_dir).select("event_id", pixel["x"].alias("px"), pixel["y"].alias("py"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, CAST(round(4294967296 / (360 * 111120e0) / cos(radians(y * (180e0/4294967296) - 90))) AS BIGINT) AS per_metre FROM pts")
+def scale_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", measure.scale(F.col("hh"))["x"].alias("per_metre"))
+
+
+@query(
+    sql_with(SQL_POINTS) + f"""SELECT event_id, round(degrees(atan2(z, sqrt(u * u + v * v))), 4) AS lat, round(degrees(atan2(v, u)), 4) AS lon FROM (
+    SELECT event_id, cos(radians(lat)) * cos(radians(lon)) + cos(radians({_PARIS[0]}e0)) * cos(radians({_PARIS[1]}e0)) AS u,
+    cos(radians(lat)) * sin(radians(lon)) + cos(radians({_PARIS[0]}e0)) * sin(radians({_PARIS[1]}e0)) AS v, sin(radians(lat)) + sin(radians({_PARIS[0]}e0)) AS z FROM pts WHERE abs({_PARIS[1]}e0 - lon) < 170)"""
+)
+def great_circle_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = points(spark, sf_dir).filter(F.abs(F.lit(_PARIS[1]) - F.col("lon")) < 170)
+    middle = measure.intermediate(F.col("lat"), F.col("lon"), *_paris(), F.lit(0.5))
+    return near.withColumn("m", middle).select("event_id", F.round("m.lat", 4).alias("lat"), F.round("m.lon", 4).alias("lon"))
+
+
+# --- roll-ups ------------------------------------------------------------------------------------
+
+
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, CAST(n AS BIGINT)) AS hex, CAST(count(*) AS BIGINT) AS points FROM pts, range(1, 7) r(n) GROUP BY 1")
+def density_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid.density_by_levels(points(spark, sf_dir), 12)
+
+
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, 1) AS a, substr(hex, 2, 1) AS b, count(*) AS points FROM pts GROUP BY ROLLUP (1, 2)")
+def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select(F.substring("hex", 1, 1).alias("a"), F.substring("hex", 2, 1).alias("b")).rollup("a", "b").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query(
+    sql_with(SQL_POINTS, "means AS (SELECT substr(hex, 1, CAST(n AS BIGINT)) AS cell, count(*) AS points, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x, list_sort(list(hex)) AS all_hex FROM pts, range(1, 6) r(n) GROUP BY 1)")
+    + f"SELECT cell AS hex, points, {sql_hex()} AS centroid, CASE WHEN points <= 3 THEN array_to_string(all_hex, ' ') END AS markers FROM means"
+)
+def centroid_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid.rollup(points(spark, sf_dir), 2, 10, threshold=3)
+    return found.select("hex", "points", "centroid", F.when(F.col("markers").isNotNull(), F.array_join("markers", " ")).alias("markers"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, 3) AS hex, count(*) AS points FROM pts GROUP BY 1 ORDER BY points DESC, hex LIMIT 20")
+def topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid.density(points(spark, sf_dir), 6).orderBy(F.col("points").desc(), "hex").limit(20)
+
+
+# --- areas over points ---------------------------------------------------------------------------
+
+WEST = ("west", "rect:43.0:-5.5,51.2:6.1", 12)
+EAST = ("east", "rect:40.0:0.5,60.0:40.0", 10)
+_WEST = sql_region("west", 12, 43.0, -5.5, 51.2, 6.1)
+_EAST = sql_region("east", 10, 40.0, 0.5, 60.0, 40.0)
+
+
+@query(sql_with(SQL_POINTS, _WEST) + "SELECT substr(p.hex, 1, 3) AS hex, count(*) AS points FROM pts p JOIN west w ON substr(p.hex, 1, 6) = w.hex GROUP BY 1")
+def point_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid.density(match.semi_join(points(spark, sf_dir), cov.optimize(shape(spark, WEST))), 6)
+
+
+@query(sql_with(SQL_POINTS, _WEST) + "SELECT event_id FROM pts WHERE substr(hex, 1, 6) IN (SELECT hex FROM west)")
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.semi_join(points(spark, sf_dir), shape(spark, WEST)).select("event_id")
+
+
+@query(sql_with(SQL_POINTS, _WEST) + "SELECT event_id FROM pts WHERE substr(hex, 1, 6) NOT IN (SELECT hex FROM west)")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.anti_join(points(spark, sf_dir), cov.optimize(shape(spark, WEST))).select("event_id")
+
+
+@query(
+    sql_with(SQL_POINTS, _WEST, _EAST)
+    + "SELECT event_id, 'west' AS shape_id FROM pts WHERE substr(hex, 1, 6) IN (SELECT hex FROM west) UNION ALL SELECT event_id, 'east' FROM pts WHERE substr(hex, 1, 5) IN (SELECT hex FROM east)"
+)
+def points_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.join_points(points(spark, sf_dir).select("event_id", "hh"), shape(spark, WEST, EAST)).select("event_id", "shape_id")
+
+
+def _algebra(rule: str) -> str:
+    """Points tell what a coverage holds: those in the result of an operation on the two areas."""
+    w, e = "substr(hex, 1, 6) IN (SELECT hex FROM west)", "substr(hex, 1, 5) IN (SELECT hex FROM east)"
+    return sql_with(SQL_POINTS, _WEST, _EAST) + f"SELECT event_id FROM pts WHERE {rule.format(w=w, e=e)}"
+
+
+def _two(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    one = lambda d: shape(spark, ("area", *d[1:]))
+    return one(WEST), one(EAST)
+
+
+@query(_algebra("{w} OR {e}"))
+def coverage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.semi_join(points(spark, sf_dir), cov.union(*_two(spark))).select("event_id")
+
+
+@query(_algebra("{w} AND {e}"))
+def coverage_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.semi_join(points(spark, sf_dir), cov.intersect(*_two(spark))).select("event_id")
+
+
+@query(_algebra("{w} AND NOT {e}"))
+def coverage_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.semi_join(points(spark, sf_dir), cov.minus(*_two(spark))).select("event_id")
+
+
+@query(_algebra("{w} AND NOT {e}"))
+def area_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = expressions.evaluate(spark, f"+{WEST[1]}", 12), expressions.evaluate(spark, f"+{EAST[1]}", 10)
+    return match.semi_join(points(spark, sf_dir), cov.minus(a, b)).select("event_id")
+
+
+# --- coverages made from points ------------------------------------------------------------------
+
+SQL_SEEN = "seen AS (SELECT DISTINCT event_type AS shape_id, substr(hex, 1, 2) AS hex FROM pts)"
+
+
+def seen(spark: SparkSession, sf_dir: str, res: int = 4) -> DataFrame:
+    """For each event type, the cells that have its events."""
+    cell = codec.at_resolution(F.col("hh"), res)
+    return points(spark, sf_dir).select(F.col("event_type").alias("shape_id"), F.lit(res).alias("res"), cell.alias("cell")).distinct()
+
+
+def as_hex(coverage: DataFrame) -> DataFrame:
+    return coverage.select("shape_id", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
+
+
+_MIXED = "mixed AS (SELECT DISTINCT event_type AS shape_id, CASE WHEN event_id % 50 = 0 THEN substr(hex, 1, 2) ELSE substr(hex, 1, 3) END AS hex FROM pts)"
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two resolutions, some inside others."""
+    res = F.when(F.col("event_id") % 50 == 0, 4).otherwise(6)
+    rows = points(spark, sf_dir).select(F.col("event_type").alias("shape_id"), res.alias("res"), F.col("hh").alias("cell"))
+    return cov.align(rows)
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, hex FROM mixed m WHERE NOT (length(hex) = 3 AND EXISTS (SELECT 1 FROM mixed u WHERE u.shape_id = m.shape_id AND u.hex = substr(m.hex, 1, 2)))")
+def coverage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.dedup(mixed(spark, sf_dir)))
+
+
+@query(sql_with(SQL_POINTS, SQL_SEEN) + "SELECT shape_id, hex FROM (SELECT *, count(*) OVER (PARTITION BY shape_id, substr(hex, 1, 1)) AS n FROM seen) WHERE n > 9")
+def coverage_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.prune(seen(spark, sf_dir), 0x0900000000000000))
+
+
+@query(
+    sql_with(SQL_POINTS, "fine AS (SELECT DISTINCT event_type AS shape_id, substr(hex, 1, 3) AS hex FROM pts)",
+             "up2 AS (SELECT shape_id, substr(hex, 1, 2) AS hex FROM fine GROUP BY 1, 2 HAVING count(*) >= 14)",
+             "left3 AS (SELECT * FROM fine f WHERE NOT EXISTS (SELECT 1 FROM up2 u WHERE u.shape_id = f.shape_id AND u.hex = substr(f.hex, 1, 2)))",
+             "up1 AS (SELECT shape_id, substr(hex, 1, 1) AS hex FROM up2 GROUP BY 1, 2 HAVING count(*) >= 12)",
+             "both_levels AS (SELECT * FROM left3 UNION ALL SELECT * FROM up2 u WHERE NOT EXISTS (SELECT 1 FROM up1 v WHERE v.shape_id = u.shape_id AND v.hex = substr(u.hex, 1, 1)))")
+    + "SELECT shape_id, hex FROM both_levels b WHERE NOT EXISTS (SELECT 1 FROM up1 v WHERE v.shape_id = b.shape_id AND v.hex = substr(b.hex, 1, 1)) UNION ALL SELECT * FROM up1"
+)
+def coverage_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.optimize(seen(spark, sf_dir, 6), 0x0CE0000000000000, max_res=6))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + f"SELECT DISTINCT shape_id, CASE WHEN length(hex) = 3 THEN hex ELSE hex || {DIGIT.format('d')} END AS hex FROM mixed, range(16) r(d)")
+def coverage_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.normalize(mixed(spark, sf_dir), 6))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, count(*) AS cells, CAST(min(2 * length(hex)) AS INTEGER) AS coarsest, CAST(max(2 * length(hex)) AS INTEGER) AS finest, CAST(sum(pow(2, 64 - 4 * length(hex))) AS DOUBLE) AS area FROM mixed GROUP BY 1")
+def coverage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.summary(mixed(spark, sf_dir)).select("shape_id", "cells", "coarsest", "finest", F.col("area").cast("double").alias("area"))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, CAST(2 * length(hex) AS INTEGER) AS res, count(*) AS cells FROM mixed GROUP BY 1, 2")
+def coverage_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.cardinalities(mixed(spark, sf_dir))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT DISTINCT shape_id, substr(hex, 1, 2) AS hex FROM mixed")
+def limit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.limit_levels(mixed(spark, sf_dir), 2, 4))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, array_to_string(list_sort(list(hex)), ' ') AS text FROM mixed GROUP BY 1")
+def coverage_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.to_text(mixed(spark, sf_dir))
+
+
+@query(sql_with(SQL_POINTS, _MIXED, SQL_SEEN) + "SELECT * FROM mixed EXCEPT SELECT * FROM seen")
+def text_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(expressions.minus_exact(mixed(spark, sf_dir), seen(spark, sf_dir)))
+
+
+@query(sql_with(SQL_POINTS, _MIXED, SQL_SEEN) + "SELECT * FROM mixed INTERSECT SELECT * FROM seen")
+def text_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(expressions.intersect_exact(mixed(spark, sf_dir), seen(spark, sf_dir)))
+
+
+@query(sql_with(SQL_POINTS, SQL_SEEN, f"corners AS (SELECT shape_id, {sql_cell('hex')} FROM seen)") + "SELECT shape_id, round(min(cy) * (180e0/4294967296) - 90, 6) + 0e0 AS swlat, round(min(cx) * (360e0/4294967296) - 180, 6) + 0e0 AS swlon, round((max(cy) + 268435455) * (180e0/4294967296) - 90, 6) + 0e0 AS nelat, round((max(cx) + 268435455) * (360e0/4294967296) - 180, 6) + 0e0 AS nelon FROM corners GROUP BY 1")
+def coverage_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.bbox_of_coverage(seen(spark, sf_dir)).select("shape_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("swlat", "swlon", "nelat", "nelon")])
+
+
+@query(sql_with(SQL_POINTS, SQL_SEEN, "stems AS (SELECT shape_id, substr(hex, 1, 1) || '[' || array_to_string(list_sort(list(substr(hex, 2, 1))), '') || '].*' AS part FROM seen GROUP BY shape_id, substr(hex, 1, 1))") + "SELECT shape_id, array_to_string(list_sort(list(part)), '|') AS regexp FROM stems GROUP BY 1")
+def cells_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.cells_regexp(as_hex(seen(spark, sf_dir)), ["shape_id"])
+
+
+@query()
+def reduce_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.reduce_cells(seen(spark, sf_dir, 8), 100))
+
+
+@query()
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.clusters(seen(spark, sf_dir, 8)).select("shape_id", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "cluster")
+
+
+@query()
+def envelope_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.envelope(seen(spark, sf_dir, 6)).select("shape_id", "ring", "outer", F.round("area", 6).alias("area"), F.size("points").alias("corners"))
+
+
+@query()
+def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.geojson(seen(spark, sf_dir, 6))
+
+
+@query()
+def kml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.kml_document(render.kml_cells(seen(spark, sf_dir)))
+
+
+# --- areas and their edges -----------------------------------------------------------------------
+
+
+def _in(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    return match.join_points(points(spark, sf_dir).select("event_id", "hh"), cells).select("event_id", "shape_id")
+
+
+@query()
+def circle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in(spark, sf_dir, cov.optimize(shape(spark, ("circle", "circle:48.0:-4.5:500000", 14))))
+
+
+@query()
+def path_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in(spark, sf_dir, shape(spark, ("path", "path:48.0:-4.5:50000,45.0:5.0,40.0:20.0:80000", 14)))
+
+
+@query()
+def polygon_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = "polygon:51.344338660599234:2.548828125,48.574789910928864:-5.537109375,43.45291889355465:-1.93359375,42.09822241118974:3.515625,43.89789239125797:8.876953125,49.0954521625348:8.701171875"
+    return _in(spark, sf_dir, cov.optimize(shape(spark, ("west", ring, 12))))
+
+
+@query()
+def line_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells on the way from each user's event to the next."""
+    from pyspark.sql import Window
+
+    pts = points(spark, sf_dir).withColumn("y", codec.y_of(F.col("hh"))).withColumn("x", codec.x_of(F.col("hh")))
+    nxt = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = pts.select(F.col("user_id").cast("string").alias("shape_id"), F.lit(6).alias("res"), F.col("y").alias("y1"), F.col("x").alias("x1"), F.lead("y").over(nxt).alias("y2"), F.lead("x").over(nxt).alias("x2"))
+    return as_hex(cover.lines(pairs.filter("y2 is not null"))).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query()
+def geometry_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = [(3400000000, 1700000000), (3400000000, 2900000000), (2600000000, 2900000000), (2600000000, 1700000000)]
+    hole = [(3200000000, 2000000000), (3200000000, 2500000000), (2800000000, 2200000000)]
+    rings = spark.createDataFrame([("framed", outer), ("framed", hole)], "shape_id string, ring array<struct<y: bigint, x: bigint>>")
+    return _in(spark, sf_dir, descend.cover_geometry(rings, 2, 12))
+
+
+def _radius_sql() -> str:
+    sites = "sites AS (SELECT s_suppkey AS center_id, ((s_suppkey * 7919) % 170001) / 1e3 - 85e0 AS slat, ((s_suppkey * 104729) % 360000) / 1e3 - 180e0 AS slon FROM supplier)"
+    far = "degrees(2 * asin(least(1e0, sqrt(pow(sin((radians(slat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2))))) * 111120e0"
+    return sql_with(SQL_POINTS, sites) + f"SELECT event_id, center_id, round({far}, 1) AS distance FROM pts JOIN sites ON abs(slat - lat) < 2 WHERE {far} <= 200000"
+
+
+@query(_radius_sql())
+def radius_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("center_id"), ((F.col("s_suppkey") * 7919 % 170001) / F.lit(1e3) - 85.0).alias("lat"), ((F.col("s_suppkey") * 104729 % 360000) / F.lit(1e3) - 180.0).alias("lon")
+    )
+    found = match.within(points(spark, sf_dir).select("event_id", "hh", "lat", "lon"), sites, 200_000.0)
+    return found.select("event_id", "center_id", F.round("distance", 1).alias("distance"))
+
+
+# --- geohash -------------------------------------------------------------------------------------
+
+#: Letter k of a geohash: five bits, longitude's first.
+_FIVE = "CAST(list_sum(list_transform(range(5), lambda j: (CASE WHEN (5*k+j) % 2 = 0 THEN (x >> (31 - (5*k+j)//2)) & 1 ELSE (y >> (31 - (5*k+j)//2)) & 1 END) << (4-j))) AS BIGINT)"
+_SQL_GEOHASH = f"array_to_string(list_transform(range(12), lambda k: substr('{geohash.ALPHABET}', 1 + {_FIVE}, 1)), '')"
+
+
+@query(sql_with(SQL_POINTS) + f"SELECT event_id, {_SQL_GEOHASH} AS geohash FROM pts")
+def geohash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("event_id", geohash.encode(F.col("hh")).alias("geohash"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, substr(hex, 1, 10) AS hex FROM pts")
+def geohash_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = geohash.decode(F.substring(geohash.encode(F.col("hh")), 1, 8))
+    return points(spark, sf_dir).select("event_id", codec.to_hex(code, 20).alias("hex"))
+
+
+@query(
+    sql_with(SQL_POINTS, f"g2 AS (SELECT DISTINCT substr({_SQL_GEOHASH}, 1, 2) AS geohash FROM pts)", "g1 AS (SELECT substr(geohash, 1, 1) AS geohash FROM g2 GROUP BY 1 HAVING count(*) = 32)")
+    + "SELECT geohash FROM g1 UNION ALL SELECT geohash FROM g2 WHERE substr(geohash, 1, 1) NOT IN (SELECT geohash FROM g1)"
+)
+def geohash_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geohash.merge_siblings(points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 2).alias("geohash")).distinct())
+
+
+@query()
+def geohash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 3).alias("geohash")).distinct()
+    return geohash.to_cells(hashes).select("geohash", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
+
+
+# --- membership, time ----------------------------------------------------------------------------
+
+
+@query()
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = bloom.Layout(max_res=12)
+    pts = points(spark, sf_dir)
+    bits = bloom.build(pts.filter("event_id % 2 = 0"), layout)
+    cells = pts.select(F.lit(12).alias("res"), codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct()
+    return bloom.contains(cells, bits, layout).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "member")
+
+
+@query(sql_with(SQL_POINTS) + "SELECT time_bucket(INTERVAL '5 minutes', CAST(ts AS TIMESTAMP)) AS start, substr(hex, 1, 2) AS hex, count(*) AS events, round(sum(value), 2) AS total FROM pts GROUP BY 1, 2")
+def activity_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = activity.cycles(points(spark, sf_dir))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "hex", "events", F.round("total", 2).alias("total"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT user_id, event_id, hex FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM pts) WHERE n = 1")
+def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.latest(points(spark, sf_dir), ["user_id"], ties="event_id").select("user_id", "event_id", "hex")
+
+
+@query()
+def densified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's way to one place, with points along the great circle."""
+    track = F.array(F.struct("lat", "lon"), F.struct(F.lit(_PARIS[0]).alias("lat"), F.lit(_PARIS[1]).alias("lon")))
+    return points(spark, sf_dir).select("event_id", F.size(densify.densify(track, 20_000.0)).alias("points"))
