@@ -13,9 +13,9 @@ strings inside texts and role names are escaped by one backslash after their fir
 has backslashes there already gets one more, so that removing one gives the text again. No unescaped control
 string can arise where a text meets a mark: marks hold [ and < at their start only.
 
-Long conversations are formatted in chunks of `chunk` turns: a chunk's first mark depends on the role
-before it, so it is written when the chunks are joined; sorting and merging never holds
-more than a chunk. The loss mask are spans of code points: each assistant text, without marks.
+Long conversations are sorted and merged in chunks of `chunk` turns, in parallel; the marks, which depend
+on the role before, are written when a conversation's chunks are joined. A conversation is one row
+of the result, so it has to fit one (2 GB). The loss mask are spans of code points: each assistant text, without marks.
 
 Defined cases: null text is empty; a null role is read back as empty; turns with equal numbers are
 sorted by role, then text, null turns first; the null conversation is a conversation of its own;
