@@ -4,7 +4,9 @@ Each source gets a target number of words. Every document of a source is expecte
 target / source_size times; the expected copies are summed up along a fixed order of the
 source's documents, one offset in [0, 1) is added, and a document is emitted once for each
 integer that the running sum crosses at it. The order sorts by size class first, so that each
-class is sampled at the source's rate and the words taken come near the target.
+class is sampled at the source's rate and the words taken come near the target. What is left of an
+error is due to a source's few longest documents; of `tries` offsets, an equal step apart from a
+random one, the one that comes nearest to the target is used for the source.
 
 The running sum is built in two steps so that no task ever holds a source: documents are dealt
 to blocks (size class and a hash) inside their source, blocks are summed up, and the sums before
@@ -56,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, blocks: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, blocks: int = 256, tries: int = 16) -> DataFrame:
     """docs with size, source_size, target and copies; rows that are not taken have 0 copies."""
     key = ["_none", "_source", "_class", "_deal"]
     rows = (
@@ -84,16 +86,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     starts = (
         counts.select(*key, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
         .join(targets, ["_none", "_source"])
-        .withColumn("_from", F.col("_offset") + F.col("_before") * F.col("_expected"))
-        .drop("_before", "_offset")
+        .withColumn("_from", F.col("_before") * F.col("_expected"))
+        .drop("_before")
     )
     inside = Window.partitionBy(*key).orderBy("size", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.withColumn("_rank", F.row_number().over(inside)).join(starts, key)
+    ranked = rows.withColumn("_rank", F.row_number().over(inside))
     upto = F.col("_from") + F.col("_rank") * F.col("_expected")
-    copies = F.shiftright(upto, FRACTION_BITS) - F.shiftright(upto - F.col("_expected"), FRACTION_BITS)
-    return joined.select(
-        *docs.columns, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")
-    )
+    drawn = lambda offset: F.shiftright(upto + offset, FRACTION_BITS) - F.shiftright(upto - F.col("_expected") + offset, FRACTION_BITS)
+
+    # offsets an equal step apart from a random one; the one that comes nearest to the target is used
+    shifted = [F.pmod(F.col("_offset") + k * UNIT // tries, F.lit(UNIT)) for k in range(tries)]
+    outcomes = ranked.select(*key, "size", "_rank").join(starts, key).groupBy("_none", "_source").agg(
+        F.first("_offset").alias("_offset"), F.first("target").alias("target"), *[F.sum(F.col("size") * drawn(o)).alias(f"_taken{k}") for k, o in enumerate(shifted)]
+    )
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(shifted)]))
+    chosen = outcomes.select("_none", "_source", nearest["offset"].alias("_use"))
+    joined = ranked.join(starts.join(chosen, ["_none", "_source"]), key)
+    copies = F.when((F.col("size") > 0), drawn(F.col("_use"))).otherwise(0).cast("long")
+    return joined.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
