@@ -35,7 +35,7 @@ def decode(geohash: Column) -> Column:
         value = F.instr(F.lit(ALPHABET), letter) - 1
         there = F.length(geohash) > k
         valid = valid & (~there | (value >= 0))
-        bits = F.when(there, bits.bitwiseOR(F.shiftleft(value.cast("long"), 59 - 5 * k))).otherwise(bits)
+        bits = bits.bitwiseOR(F.when(there, F.shiftleft(value.cast("long"), 59 - 5 * k)).otherwise(codec.long(0)))
     return F.when(valid, swap_axes(bits))
 
 
