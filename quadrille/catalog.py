@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution
 from quadrille.operators import bloom, centroid, cover, descend, expressions, match, render
 from quadrille.operators import coverage as cov
+from quadrille.operators.graph import saved
 from quadrille.sources import points as sources
 from quadrille.streaming import activity
 
@@ -516,7 +517,8 @@ def geohash_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def geohash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 3).alias("geohash")).distinct()
+    # saved: else the filter on decoded cells is pushed below the distinct and spells encoding out once for each use
+    hashes = saved(points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 3).alias("geohash")).distinct())
     return geohash.to_cells(hashes).select("geohash", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
 
 

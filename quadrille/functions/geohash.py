@@ -68,11 +68,15 @@ def from_cells(cells: DataFrame, merge: bool = False) -> DataFrame:
 
 def merge_siblings(geohashes: DataFrame, column: str = "geohash") -> DataFrame:
     """32 geohashes that share all but the last letter become that prefix; repeated until none is left."""
+    from quadrille.operators.graph import saved
+
     keys = [c for c in geohashes.columns if c != column]
-    out = geohashes.distinct()
-    for n in range(MOST, 1, -1):
+    out = saved(geohashes.distinct())
+    longest = out.agg(F.max(F.length(column))).first()[0] or 0
+    for n in range(min(longest, MOST), 1, -1):
         stem = F.substring(F.col(column), F.lit(1), F.lit(n - 1))
-        full = out.filter(F.length(column) == n).groupBy(*keys, stem.alias("_stem")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 32").drop("_n")
-        kept = out.withColumn("_stem", F.when(F.length(column) == n, stem)).join(full, [*keys, "_stem"], "left_anti").drop("_stem")
-        out = kept.unionByName(full.withColumnRenamed("_stem", column)).distinct()
+        here = out.filter(F.length(column) == n).withColumn("_stem", stem)
+        full = here.groupBy(*keys, "_stem").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 32").drop("_n")
+        left = here.join(full, [*keys, "_stem"], "left_anti").drop("_stem")
+        out = saved(out.filter(F.length(column) != n).unionByName(left).unionByName(full.withColumnRenamed("_stem", column)).distinct())
     return out
