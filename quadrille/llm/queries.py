@@ -122,19 +122,6 @@ joined AS (
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
   FROM sized GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined""",
-    "op3_exact_substr": """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, i, hash(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
-often AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
-rep AS (SELECT rid, i FROM w WHERE m IN (SELECT m FROM often)),
-marked AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island
-  FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM rep)),
-spans AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM marked GROUP BY rid, island),
-gaps AS (SELECT s.rid, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS before
-  FROM spans s JOIN d USING (rid) WINDOW w AS (PARTITION BY s.rid ORDER BY a)),
-cut AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) AS kept, max(b) AS last FROM gaps GROUP BY rid)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (rid)""",
     "op7_sharding": f"""
 WITH keyed AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
 d AS (SELECT doc_id, n_bytes, array_to_string(list_transform(range(1, 33), lambda i:
