@@ -13,7 +13,7 @@ def rings(rows: DataFrame, column: str = "wkt") -> DataFrame:
     inner = F.regexp_extract(F.upper(column), r"^\s*POLYGON\s*\(\(([^()]*)\)\)\s*$", 1)
     pairs = F.transform(F.split(inner, ","), lambda p: F.split(F.trim(p), r"\s+"))
     vertices = F.transform(
-        pairs, lambda p: F.struct(codec.vertex_lat(F.get(p, 1).cast("double")).alias("y"), codec.vertex_lon(F.get(p, 0).cast("double")).alias("x"))
+        pairs, lambda p: F.struct(codec.vertex_lat(F.get(p, 1).try_cast("double")).alias("y"), codec.vertex_lon(F.get(p, 0).try_cast("double")).alias("x"))
     )
     opened = F.when(F.get("_r", F.size("_r") - 1) == F.get("_r", F.lit(0)), F.slice("_r", 1, F.size("_r") - 1)).otherwise(F.col("_r"))
     return rows.filter(inner != "").withColumn("_r", vertices).select("shape_id", "res", opened.alias("ring"))
