@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, mixing, quality_fm, sharding, simhash_dedup
+from quadrille.llm import decontaminate, mixing, near_copies, quality_fm, sharding
 from quadrille.llm.common import fresh_dir, table, unused
 from quadrille.llm.queries import SHARD_BYTES
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_dedup.dedup(docs)
+    """One document of each group of near-duplicates: Jaccard 0.8 or more on shingles of five words."""
+    return near_copies.dedup(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
