@@ -36,7 +36,7 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 #: Words of three or more letters (a capital may begin one) or an upper-case word, and numbers of up to four digits, joined by marks or not.
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}|[0-9]{1,4})[+/_=.-]*)+")
+IDENTIFIER = re.compile(r"(?>[A-Z]?[a-z]{3,}+|[A-Z]{3,}+|[a-z]{1,2}+|[0-9]{1,4}+|[+/_=.-]++)++")
 
 Span = tuple[str, int, int]
 

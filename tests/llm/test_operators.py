@@ -375,3 +375,9 @@ def test_random_strings_and_names():
         assert secrets.looks_random(run, 2.3, path)
     for run in ("d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "someVeryLongIdentifierName2", "internationalization_of_2024_reports", "12345678901234567890"):
         assert not secrets.looks_random(run, 2.3, path)
+
+
+def test_long_runs_end():
+    path = secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    secrets.spans_of("a" * 5_000 + "1Q", 2.3, path)
+    assert secrets.spans_of("//cdn.example.com/static/assets/mainBundle_v2Qz", 2.3, path) == []
