@@ -2,7 +2,9 @@
 
 A random string costs a byte-pair vocabulary many tokens: fewer than `ratio` characters go into one.
 Runs of 20 and more key characters are tested, unless they are known digests (hexadecimal of a
-digest's length, UUIDs) or identifiers (words and numbers joined by marks or by capitals). Runs that
+digest's length, UUIDs) or identifiers (words of 3 to 15 letters and short numbers joined by marks or by
+capitals). Stretches of a run between its words are tested as well as the whole, so that a readable name or path before a key
+doesn't hide it; the span is the whole run. Groups of 3 to 15 letters between marks pass for words, whatever the letters. Runs that
 overlap a span of a fixed pattern aren't tested: that span stands for them.
 
 Spans are in code points, end exclusive. Null text counts as empty; an empty text has no spans;
@@ -32,11 +34,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
-#: Words of three or more letters (a capital may begin one) or an upper-case word, and numbers of up to four digits, joined by marks or not.
-IDENTIFIER = re.compile(r"(?>[A-Z]?[a-z]{3,}+|[A-Z]{3,}+|[a-z]{1,2}+|[0-9]{1,4}+|[+/_=.-]++)++")
+MARKS = re.compile(r"[+/_=.-]+")
+#: Words (a capital may begin one), upper-case words and numbers; no two ways to cut a text.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
+CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 Span = tuple[str, int, int]
 
@@ -58,13 +62,44 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def is_word(part: str) -> bool:
+    """Whether a part without marks consists of words and numbers of up to four digits, with two changes between them at most."""
+    pieces = PIECE.findall(part)
+    return len(CHANGE.findall(part)) <= 2 and all(len(p) <= 4 if p.isdigit() else 3 <= len(p) <= 15 for p in pieces)
+
+
 def looks_random(run: str, ratio: float, path: str) -> bool:
-    core = run.strip("+/_=.-")
-    if len(core) < 20 or not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
-        return False
-    if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS or IDENTIFIER.fullmatch(core):
+    # known digests stand apart from what is left to judge
+    core = UUID.sub("/", run).strip("+/_=.-")
+    tested: list[str] = []
+    whole: list[str] = []
+    stretch: list[str] = []
+    words = mixed = 0
+    other = False
+    at = 0
+    for m in [*MARKS.finditer(core), None]:
+        part, mark = core[at : m.start() if m else len(core)], m[0] if m else ""
+        at = m.end() if m else at
+        digest, word = DIGEST.fullmatch(part) and len(part) in DIGEST_LENGTHS, is_word(part)
+        if digest or word:
+            tested.append("".join(stretch))
+            stretch = []
+        else:
+            stretch += [part, mark]
+            short = len(part) <= 4
+            other |= not short
+            mixed += short and not part.isalpha() and not part.isdigit()
+        if not digest:
+            whole += [part, mark]
+            words += len(part) if word else 0
+    text = "".join(whole)
+    if not other and (not mixed or 2 * words >= len(text)):
         return False
-    return len(core) < ratio * len(encoding(path).encode_ordinary(core))
+    for some in (*tested, "".join(stretch), text):
+        some = some.strip("+/_=.-")
+        if len(some) >= 20 and any(c.isalpha() for c in some) and len(some) < ratio * len(encoding(path).encode_ordinary(some)):
+            return True
+    return False
 
 
 def spans_of(text: str, ratio: float, path: str) -> list[Span]:

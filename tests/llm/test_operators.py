@@ -377,6 +377,17 @@ def test_random_strings_and_names():
         assert not secrets.looks_random(run, 2.3, path)
 
 
+def test_keys_of_any_letters_and_behind_names():
+    path = secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    lower, key = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "Zq3rTy7Uw9Xc2Vb5Nm8Lk4Jh6"
+    keys = [f"key-{lower}", "9f3c07be41d8a26590ef7b13", "MZXW6YTBOI5DK3TQKRUGKIDR", "qzxkvjwpmhtbgdrfyncslvqz", "QxWzRtYpLkJhGfDsAzXcVbNm", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQkLmN"]
+    keys += [f"/some/readable/path/to/another/long/directory/name/{key}", f"LONG_SETTING_NAME_OF_ANOTHER_COMPONENT={key}", f"/readable/path/with/many/words/inside/{lower}"]
+    assert [k for k in keys if not secrets.looks_random(k, 2.3, path)] == []
+    names = ["/usr/share/python3.11/site-packages/readable_module_name.py", "https//example.com/2024/01/02/some-long-article-title", "internationalizationframework", "release-2024-01-02-12-30-45-final"]
+    names += ["/objects/123e4567-e89b-12d3-a456-426614174000/file", "/blobs/sha1/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "--------------------a--------------------"]
+    assert [n for n in names if secrets.looks_random(n, 2.3, path)] == []
+
+
 def test_long_runs_end():
     path = secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")
     secrets.spans_of("a" * 5_000 + "1Q", 2.3, path)
