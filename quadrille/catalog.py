@@ -527,10 +527,13 @@ def geohash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are members; the cells of events and the eight around each are tested."""
     layout = bloom.Layout(max_res=12)
     pts = points(spark, sf_dir)
-    bits = bloom.build(pts.filter("event_id % 2 = 0"), layout)
-    cells = pts.select(F.lit(12).alias("res"), codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct()
+    bits = bloom.build(pts, layout)
+    own = pts.select(codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct()
+    around = F.array("cell", *[hierarchy.neighbour(F.col("cell"), 12, d) for d in hierarchy.DIRECTIONS])
+    cells = own.select(F.lit(12).alias("res"), F.explode(around).alias("cell")).distinct()
     return bloom.contains(cells, bits, layout).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "member")
 
 

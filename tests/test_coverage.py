@@ -115,3 +115,13 @@ def test_bloom_has_no_false_negative(spark):
     assert bloom.contains(cells, bits, layout, hierarchy=True).filter("not member").count() == 0
     other = spark.range(1000, 3000).select(F.lit(10).alias("res"), codec.at_resolution(F.xxhash64("id"), 10).alias("cell"))
     assert bloom.contains(other, bits, layout).filter("member").count() < 200
+
+
+def test_bloom_query_holds_all_events(spark, sf_dir):
+    from quadrille import catalog
+
+    member = {r["hex"]: r["member"] for r in catalog.QUERIES["bloom_membership"](spark, sf_dir).collect()}
+    own = {r["hex"][:6] for r in catalog.QUERIES["point_encode"](spark, sf_dir).select("hex").collect()}
+    assert own <= {h[:6] for h, m in member.items() if m}
+    others = [m for h, m in member.items() if h[:6] not in own]
+    assert len(others) > len(own) and sum(others) < 0.1 * len(others)
