@@ -14,6 +14,8 @@ from quadrille.shipping import ship
 
 #: Words, as every operator here defines them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is heavy if it holds more than one of this many parts of all rows.
+HEAVY = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; one of this machine only where none is set and nothing else runs tasks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -41,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df run once and written as Parquet in the shared folder: compressed, and read by columns."""
+    path = fresh_dir(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -58,6 +69,35 @@ def key_of() -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty()))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*columns(df))
+
+
+def look_up(rows: DataFrame, unique: DataFrame, key: str | list[str]) -> DataFrame:
+    """rows with `found`, a struct of the other columns of unique (key, n, ...), null where there is none.
+
+    unique has one row for each key, and n is the number of rows that have it. Heavy keys are fewer
+    than HEAVY whatever the input, so those are broadcast; their rows are spread over the join that finds
+    the others, and no task gets all rows of a key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    values = unique.select(*keys, "n", F.struct(*[c for c in unique.columns if c not in keys]).alias("found"))
+    total = unique.agg(F.sum("n")).first()[0] or 0
+    heavy = values.filter(F.col("n") * HEAVY > total).select(*keys, F.col("found").alias("_heavy"))
+    marked = rows.join(F.broadcast(heavy), keys, "left")
+    # whatever a spread row meets, what was broadcast goes first
+    spread = F.xxhash64(F.monotonically_increasing_id()).cast(rows.schema[keys[0]].dataType)
+    keyed = marked.withColumn("_at", F.when(F.col("_heavy").isNull(), F.col(keys[0])).otherwise(spread))
+    others = values.select(F.col(keys[0]).alias("_at"), *keys[1:], "found")
+    return keyed.join(others, ["_at", *keys[1:]], "left").select(*rows.columns, F.coalesce("_heavy", "found").alias("found"))
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

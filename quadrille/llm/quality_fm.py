@@ -8,7 +8,7 @@ labels, lang, source nor doc_id ever enter.
 
 It is fitted on a bounded labelled sample, whose sparse inputs the driver gets; scoring runs where
 the documents are. Defined cases: null text counts as empty and is scored; without labels of both
-kinds every score is the share of label 1 (one half without labels); repeated rows are scored each.
+kinds nothing is learned and every score is one half, so every document is predicted good; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -76,13 +76,12 @@ class Machine:
 def learn(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, factors: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.1, ridge: float = 1e-5, seed: int = 3) -> Machine:
     """AdaGrad on the logistic loss, both labels weighing the same."""
     rng = np.random.default_rng(seed)
-    share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3)) if len(label) else 0.5
-    m = Machine(float(np.log(share / (1 - share))), np.zeros(INPUTS), rng.normal(0, 0.02, (INPUTS, factors)))
     if not 0 < label.sum() < len(label):
-        return m
+        return Machine(0.0, np.zeros(INPUTS), np.zeros((INPUTS, factors)))
+    share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
+    m = Machine(0.0, np.zeros(INPUTS), rng.normal(0, 0.02, (INPUTS, factors)))
     seen_w, seen_v, seen_b = np.full(INPUTS, 1e-6), np.full((INPUTS, factors), 1e-6), 1e-6
     weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
-    m.bias = 0.0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -114,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000) -> Machine:
             arrays = [batch.column("label"), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["label", "index", "value"])
 
-    chosen = sample(docs.select("doc_id", "text"), labels, rows).select("label", F.col("text").cast("string").alias("text"))
+    chosen = sample(docs, labels, rows).select("label", "text")
     schema = StructType([StructField("label", IntegerType()), StructField("index", ArrayType(IntegerType())), StructField("value", ArrayType(FloatType()))])
     got = map_arrow(chosen, encode, schema).orderBy(F.xxhash64("index", "value")).toArrow()
     pairs = [(np.asarray(i.values, np.int64), np.asarray(v.values, float)) for i, v in zip(got["index"], got["value"], strict=True)]
@@ -125,11 +124,14 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score (0 to 1) and predicted; their other columns as they are."""
     name, mark = unused(docs, "score"), unused(docs, "predicted")
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
+    text = docs.columns.index("text")
+    # by number, since not every name gets through to Python
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shipped.value.score([t.as_py() or "" for t in batch.column("text")])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
+            found = shipped.value.score([t.as_py() or "" for t in batch.column(text)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return map_arrow(docs, apply, schema).withColumn(mark, (F.col(name) >= 0.5).cast("int"))
+    schema = StructType([*numbered.schema.fields, StructField("score", DoubleType())])
+    return map_arrow(numbered, apply, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).toDF(*docs.columns, name, mark)

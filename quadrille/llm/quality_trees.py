@@ -6,7 +6,7 @@ and each child's values are bounded by the middle of its split. Fitted trees are
 numpy node arrays (feature, cut, left, right, value), and a batch of documents walks all of them level by level.
 
 Scores depend on the text alone. Defined cases: null text counts as empty; without labels of both
-kinds every document passes the trees; repeated rows are scored each.
+kinds there are no trees, every score is one half and every document passes; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ def grow(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS, rounds: int =
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)
     feature, cut, left, right, value, roots = [], [], [], [], [], []
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    both = 0 < y.sum() < len(y)
+    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if both else 0.5
     start = float(np.log(share / (1 - share)))
     margin = np.full(len(y), start)
 
@@ -98,7 +99,7 @@ def grow(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS, rounds: int =
         split(left[k], rows[goes_left], g, h, *bounds[0], levels - 1)
         split(right[k], rows[~goes_left], g, h, *bounds[1], levels - 1)
 
-    for _ in range(rounds if 0 < y.sum() < len(y) else 0):
+    for _ in range(rounds if both else 0):
         p = 1 / (1 + np.exp(-margin))
         roots.append(new_node())
         split(roots[-1], np.arange(len(y)), p - y, p * (1 - p), -np.inf, np.inf, depth)
@@ -130,7 +131,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), trees: Tre
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees:
     """Trees from at most `rows` labelled documents; the driver gets their statistics, 14 numbers each."""
-    learned = statistics(sample(docs.select("doc_id", "text"), labels, rows), ("label",)).toPandas()
+    learned = statistics(sample(docs, labels, rows), ("label",)).toPandas()
     learned = learned.sort_values(list(learned.columns))
     return grow(learned[list(text_stats.SHAPE)].to_numpy(float), learned["label"].to_numpy(float))
 
