@@ -16,8 +16,9 @@ A file, little-endian throughout:
 
 Documents go to files in ascending order of id: Spark deals them to ranges and sorts them there,
 each task encodes its range as it comes and begins another file at `file_tokens`, so memory is
-bounded however large a range is. Files are written under another name and then renamed, and a range is the same
-at every attempt, so tasks may be run again. The manifest, a row for each file, is a table beside them.
+bounded however large a range is. Every attempt of a task writes files of its own; the manifest, a table beside
+them with a row for each file, names those of the attempts that Spark committed, and only those are read. A single
+token takes a few reads of some bytes each, wherever the file is.
 
 Defined cases: null text counts as empty and gives the end id alone; a null doc_id comes first; rows
 with one id are ordered by a hash of their text; an empty table gives no file; other columns aren't used.
@@ -25,9 +26,10 @@ with one id are ordered by a hash of their text; an empty table gives no file; o
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +53,13 @@ TAIL = ".,!?;:*#$%&|"
 REMEMBERED = 800_000
 
 
+def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it. Spark may write local URIs with one slash."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
 # --- codes ---------------------------------------------------------------------------------------
 
 
@@ -69,47 +78,60 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Codes:
-    """Random access to a file's ids."""
+    """Random access to a file's ids, given whole or as a function (offset, size), which is asked for the few bytes that a token needs."""
 
-    def __init__(self, raw: bytes | memoryview) -> None:
-        raw = memoryview(raw)
-        if bytes(raw[:8]) != MAGIC:
+    def __init__(self, raw: bytes | memoryview | Callable[[int, int], bytes]) -> None:
+        self.read = read = raw if callable(raw) else lambda at, size: raw[at : at + size]
+        if bytes(read(0, 8)) != MAGIC:
             raise ValueError("not a file of token codes")
-        self.n, d, count, self.first, _ = (int(x) for x in np.frombuffer(raw, "<u8", 5, 8))
-        at = 48
-        sizes = np.frombuffer(raw, "<u8", count, at)
-        at += 8 * count
-        self.named = np.frombuffer(raw, np.uint8, d, at).astype(bool)
-        self.doc_ids = np.frombuffer(raw, "<i8", d, at := at + d)
-        self.starts = np.frombuffer(raw, "<u8", d + 1, at := at + 8 * d).astype(np.int64)
-        at += 8 * (d + 1)
+        self.n, self.documents, count, self.first, _ = map(int, self.numbers("<u8", 5, 8))
+        sizes = list(map(int, self.numbers("<u8", count, 48)))
+        self.names_at = 48 + 8 * count
+        at = self.names_at + self.documents + 8 * self.documents + 8 * (self.documents + 1)
+        #: where a level's chunks, bitmap and ranks begin
         self.levels = []
-        for m in map(int, sizes):
+        for m in sizes:
             blocks = -(-m // RANK_BITS)
-            chunks = np.frombuffer(raw, np.uint8, m, at)
-            bitmap = np.frombuffer(raw, np.uint8, blocks * RANK_BITS // 8, at := at + m)
-            ranks = np.frombuffer(raw, "<u8", blocks + 1, at := at + len(bitmap))
-            at += 8 * (blocks + 1)
-            self.levels.append((chunks, bitmap, ranks))
+            self.levels.append((at, at + m, at + m + blocks * RANK_BITS // 8))
+            at += m + blocks * RANK_BITS // 8 + 8 * (blocks + 1)
+
+    @classmethod
+    def open(cls, path: str) -> Codes:
+        store, at = store_of(path)
+        return cls(lambda offset, size, source=store.open_input_file(at): source.read_at(size, offset))
+
+    def numbers(self, kind: str, count: int, at: int) -> np.ndarray:
+        return np.frombuffer(self.read(at, np.dtype(kind).itemsize * count), kind, count) if count else np.zeros(0, kind)
+
+    @property
+    def named(self) -> np.ndarray:
+        return self.numbers("u1", self.documents, self.names_at).astype(bool)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self.numbers("<i8", self.documents, self.names_at + self.documents)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.numbers("<u8", self.documents + 1, self.names_at + 9 * self.documents).astype(np.int64)
+
+    def bits(self, level: int, start: int, end: int) -> np.ndarray:
+        low = start // 8
+        raw = self.numbers("u1", -(-end // 8) - low, self.levels[level][1] + low)
+        return np.unpackbits(raw, bitorder="little")[start - 8 * low :][: end - start].astype(bool)
 
     def rank(self, level: int, i: int) -> int:
-        """Ones before bit i."""
-        _, bitmap, ranks = self.levels[level]
+        """Ones before bit i: those before its block, and those before it in the block."""
         block = i // RANK_BITS
-        low = block * RANK_BITS // 8
-        ones = int(np.bitwise_count(bitmap[low : i // 8]).sum()) if i // 8 > low else 0
-        if i % 8:
-            ones += (int(bitmap[i // 8]) & ((1 << i % 8) - 1)).bit_count()
-        return int(ranks[block]) + ones
+        return int(self.numbers("<u8", 1, self.levels[level][2] + 8 * block)[0]) + int(self.bits(level, block * RANK_BITS, i).sum())
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         found, level = 0, 0
         while True:
-            chunks, bitmap, _ = self.levels[level]
-            found |= int(chunks[i]) << CHUNK * level
-            if not bitmap[i // 8] >> i % 8 & 1:
+            found |= int(self.numbers("u1", 1, self.levels[level][0] + i)[0]) << CHUNK * level
+            if not self.bits(level, i, i + 1)[0]:
                 return found
             i = self.rank(level, i)
             level += 1
@@ -117,15 +139,15 @@ class Codes:
     def span(self, start: int, end: int) -> np.ndarray:
         """Ids start to end: one slice of each level, placed by the rank of its first bit."""
         out, where = np.zeros(end - start, np.uint32), np.arange(end - start)
-        for level, (chunks, bitmap, _) in enumerate(self.levels):
+        for level, (chunks, _, _) in enumerate(self.levels):
             if not len(where):
                 break
-            out[where] |= chunks[start:end].astype(np.uint32) << np.uint32(CHUNK * level)
-            low = start // 8
-            on = np.unpackbits(bitmap[low : -(-end // 8)], bitorder="little")[start - 8 * low :][: end - start].astype(bool)
-            start = self.rank(level, start)
+            out[where] |= self.numbers("u1", end - start, chunks + start).astype(np.uint32) << np.uint32(CHUNK * level)
+            on = self.bits(level, start, end)
             where = where[on]
-            end = start + len(where)
+            if len(where):
+                start = self.rank(level, start)
+                end = start + len(where)
         return out
 
 
@@ -151,18 +173,39 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+#: How a vocabulary must cut texts for `WordEncoder` to take them word by word (fixed values).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(path: str) -> bool:
+    """Whether white space always parts tokens and is dropped, and case is dropped but in added tokens without white space."""
+    with open(path, encoding="utf-8") as source:
+        made = json.load(source)
+    kinds = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    cut_up = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": PATTERN}, "Removed", True)
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"])) for t in made.get("added_tokens", []))
+    return kinds == NORMALIZERS and cut_up and plain
+
+
 class WordEncoder:
     """Ids of whole texts. The vocabulary drops white space and never joins across it, so the library
     encodes each distinct word once and texts are put together from those. Many words go to
     the library as one text, with a mark between them that stands alone and has an id of its own.
 
     Of a word that ends in a letter and then marks, the marks are encoded apart and the rest without
-    regard to case, as the vocabulary does. Words are told apart by Arrow, ids are gathered by numpy."""
+    regard to case, as the vocabulary does, unless the word holds an added token in any case: those are
+    looked for before the case is dropped. Words are told apart by Arrow, ids are gathered by numpy.
+
+    A vocabulary that isn't made in this way (see `by_words`) gets whole texts instead."""
 
     MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         self.library = tokenizer(path)
+        self.by_words = by_words(path)
+        self.added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
         mark = self.library.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
@@ -194,13 +237,19 @@ class WordEncoder:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's."""
+        if not self.by_words:
+            found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         told = split.flatten().dictionary_encode()
         distinct = told.dictionary
         core = pc.ascii_rtrim(distinct, characters=TAIL)
         # the one letter whose lower case ends in a mark
         apart = pc.and_not(pc.match_substring_regex(core, r"\pL$"), pc.ends_with(core, "\u0130"))
-        base = pc.if_else(apart, pc.ascii_lower(core), distinct).dictionary_encode()
+        lower = pc.ascii_lower(core)
+        for token in self.added:
+            apart = pc.and_not(apart, pc.match_substring(lower, token))
+        base = pc.if_else(apart, lower, distinct).dictionary_encode()
         marks = np.where(apart.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(distinct), pc.binary_length(core)).to_numpy(), 0)
         with_marks = np.flatnonzero(marks)
         tail = pa.array([w[-n:] for w, n in zip(distinct.take(pa.array(with_marks)).to_pylist(), marks[with_marks].tolist(), strict=True)], pa.string()).dictionary_encode()
@@ -252,18 +301,16 @@ def write_codes(docs: DataFrame, directory: str, vocabulary: str = "", end_id: i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, words = TaskContext.get().partitionId(), encoder(path)
-        store, root = pyarrow.fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        store, root = store_of(directory)
         store.create_dir(root, recursive=True)
         ids, names, starts, held, file, first = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            target = f"{root}/part-{partition:06d}-{file:06d}.dac"
-            attempt = f"{target}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(attempt) as out:
+            name = f"part-{partition:06d}-{file:06d}-{TaskContext.get().taskAttemptId()}.dac"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 for part in file_bytes(np.concatenate(ids), names, starts, first):
                     out.write(part)
-            store.move(attempt, target)
-            row = [partition, file, f"{directory}/part-{partition:06d}-{file:06d}.dac", held, len(names), first]
+            row = [partition, file, f"{directory}/{name}", held, len(names), first]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["partition", "file", "path", "tokens", "documents", "first"])
 
@@ -302,9 +349,9 @@ def read_codes(spark: SparkSession, directory: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for partition, path in zip(batch.column("partition").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                store, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                store, at = store_of(path)
                 with store.open_input_file(at) as source:
-                    codes = Codes(source.read())
+                    codes = Codes(source.read())  # every token is wanted, and a file is bounded
                 starts = codes.starts
                 sums = [zlib.crc32(codes.span(a, b).astype("<u4").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
