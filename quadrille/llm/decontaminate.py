@@ -7,11 +7,13 @@ bit-parallel distance, one step for each character whatever the item's length. H
 stretch are verified once.
 
 Items and documents are compared in lower case with runs of white space as one space. The
-budget is `error_rate` of the item's length, rounded down. Test items are few and stated; they are
-taken in blocks of `block` items, each block sent to the executors and held against all documents.
+budget is `error_rate` of the item's length, rounded down. Items are dealt to blocks of about `block_bytes` by
+a hash, and each block is sent to the executors and held against all documents, in one pass where
+the benchmark fits one block, as those in use do; a larger one takes a pass for each block. A piece that
+is common text costs a verification, as many steps as the item is long, at each stretch where it stands.
 
 Defined cases: null or blank items match nothing; null texts count as empty; repeated items with one
-id count once; an item id of null is kept as null; repeated rows are matched each; an empty table on either side gives no
+id count once; an item id may be of any type, and a null one is kept as null; repeated rows are matched each; an empty table on either side gives no
 match and removes nothing.
 """
 
@@ -23,11 +25,11 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quadrille.llm.common import key_of, map_arrow, unused
+from quadrille.llm.common import columns, cut, key_of, map_arrow, unused
 
 SPACE = re.compile(r"[ \t\n\v\f\r]+")
 
@@ -105,43 +107,46 @@ class Matcher:
         return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block: int = 2_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block_bytes: int = 2 << 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, item_id, distance and match_end (in the normal text), a row for each document and item that match."""
     carry = list(carry)
-    items = (
-        benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-        .withColumn("_block", F.floor((F.row_number().over(Window.orderBy("item_id", "text")) - 1) / block))
-    ).cache()
-    blocks = (items.agg(F.max("_block")).first()[0] or 0) + 1
+    items = cut(benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct())
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     source = docs.select(*carry, F.col("text").cast("string").alias("text"))
     item_type = benchmark.schema["item_id"].dataType
     schema = StructType([*(docs.schema[c] for c in carry), StructField("item_id", item_type), StructField("distance", LongType()), StructField("match_end", LongType())])
     found = []
     for b in range(blocks):
-        rows = [(r["item_id"], normal(r["text"])) for r in items.filter(F.col("_block") == b).collect()]  # `block` items
-        rows = [(i, t) for i, t in rows if t]
-        shipped = docs.sparkSession.sparkContext.broadcast(rows)
+        got = dealt.filter(F.col("_block") == b).select("item_id", "text").toArrow()  # about `block_bytes`
+        texts = [normal(t) for t in got["text"].to_pylist()]
+        named = [k for k, t in enumerate(texts) if t]
+        ids = got["item_id"].take(pa.array(named, pa.int64())).combine_chunks()
+        shipped = docs.sparkSession.sparkContext.broadcast((ids, [texts[k] for k in named]))
 
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([t for _, t in shipped.value], error_rate) if shipped.value else None
+            ids, texts = shipped.value
+            matcher = Matcher(texts, error_rate) if texts else None
             for batch in batches if matcher else ():
                 rows, item, distance, end = [], [], [], []
                 for r, t in enumerate(batch.column("text")):
                     for k, d, e in matcher.find(t.as_py() or ""):
                         rows.append(r)
-                        item.append(shipped.value[k][0])
+                        item.append(k)
                         distance.append(d)
                         end.append(e)
                 taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carry]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(end, pa.int64())], [*carry, "item_id", "distance", "match_end"])
+                columns = [*taken, ids.take(pa.array(item, pa.int64())), pa.array(distance, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*carry, "item_id", "distance", "match_end"])
 
         found.append(map_arrow(source, scan, schema))
     return reduce(DataFrame.unionByName, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block: int = 2_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block_bytes: int = 2 << 20) -> DataFrame:
     """docs without those that hold a test item."""
     key = unused(docs, "_key")
     keyed = docs.withColumn(key, key_of())
-    hit = matches(keyed.select("text", F.col(key).alias("_k")), benchmark, error_rate, block, ("_k",)).select(F.col("_k").alias(key)).distinct()
-    return keyed.join(hit, key, "left_anti").select(*docs.columns)
+    hit = matches(keyed.select("text", F.col(key).alias("_k")), benchmark, error_rate, block_bytes, ("_k",)).select(F.col("_k").alias(key)).distinct()
+    return keyed.join(hit, key, "left_anti").select(*columns(docs))
