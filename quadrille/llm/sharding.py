@@ -10,9 +10,9 @@ at the full `step` bits are looked at again with `step` bits more. What is summe
 2**step rows a round, whatever the input; documents themselves are never gathered.
 
 Rows that agree in all hashed bits (repeated rows) can't be told apart by any bit: such a bucket is
-cut into runs of at most `limit` bytes by a running sum, and the run's number becomes part of the
-shard's name. A document above the limit has a shard of its own. Nulls count as empty text; an
-empty table gives an empty result; other columns stay as they are.
+cut into runs of at most `limit` bytes, counted by tasks that each hold a part of them, and the run's number
+becomes part of the shard's name. A document above the limit has a shard of its own. Nulls count as empty text; an
+empty table gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, key_of, text_or_empty
+from quadrille.llm.common import as_row, cut, key_of, look_up, text_or_empty, unused
 
 BITS = 128
 #: Directory bits looked at in a round.
@@ -62,19 +62,27 @@ def directory(keys: DataFrame, limit: int, step: int = STEP) -> DataFrame:
 
 
 def shard(docs: DataFrame, limit: int = 64 << 20, step: int = STEP) -> DataFrame:
-    """docs with shard (the prefix, plus the run where all bits agree), shard_depth and n_bytes."""
-    rows = docs.withColumn("_key", key_of()).withColumn("n_bytes", F.octet_length(text_or_empty()).cast("long"))
-    keys = cut(rows.select("_key", F.col("n_bytes").alias("bytes"))).withColumn("bits", bits_of(F.col("_key")))
-    leaves = directory(keys, limit, step)
+    """docs with shard (the prefix, plus the run where all bits agree), shard_depth and n_bytes, in that order at the end.
+
+    Where docs has such a name already, the new column gets an underscore in front.
+    """
+    rows = docs.select(as_row(docs).alias("row"), key_of().alias("key"), F.octet_length(text_or_empty()).cast("long").alias("bytes"))
+    keys = cut(rows.select("key", "bytes"))
+    leaves = directory(keys.withColumn("bits", bits_of(F.col("key"))), limit, step)
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1 numbers
     prefixes = F.array(*[F.struct(F.lit(d).alias("depth"), F.substring(F.col("bits"), 1, d).alias("prefix")) for d in depths or [0]])
-    of_key = (
-        keys.select("_key", "bits").distinct().select("_key", F.inline(prefixes)).join(leaves, ["depth", "prefix"])
-        .select("_key", F.col("prefix").alias("shard"), F.col("depth").alias("shard_depth"), "fits")
-    )
-    found = rows.join(of_key, "_key")
-    out = [*docs.columns, "shard", "shard_depth", "n_bytes"]
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    run = F.floor((F.row_number().over(Window.partitionBy("_key").orderBy("n_bytes")) - 1) / each)
-    alike = found.filter(~F.col("fits")).withColumn("shard", F.concat_ws("+", F.col("shard"), run.cast("string")))
-    return found.filter("fits").select(*out).unionByName(alike.select(*out))
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("bits", bits_of(F.col("key")))
+    of_key = cut(counted.select("key", "n", F.inline(prefixes)).join(leaves, ["depth", "prefix"]).select("key", "n", "prefix", "depth", "fits"))
+    found = look_up(rows, of_key, "key").select("row", "key", "bytes", "found.*")
+    whole = found.filter("fits").select("row", F.col("prefix").alias("shard"), "depth", "bytes")
+
+    # rows that agree in all bits: numbered by the tasks that hold them, each after those before it
+    alike = cut(found.filter(~F.col("fits")).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = alike.groupBy("key", "part").agg(F.count(F.lit(1)).alias("held")).select("key", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
+    number = F.col("first") + F.row_number().over(Window.partitionBy("key", "part").orderBy("bytes")) - 1
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
+    runs = alike.join(starts, ["key", "part"]).withColumn("run", F.floor(number / each).cast("string"))
+    cut_up = runs.select("row", F.concat_ws("+", "prefix", "run").alias("shard"), "depth", "bytes")
+    made = {"shard": "shard", "shard_depth": "depth", "n_bytes": "bytes"}
+    return whole.unionByName(cut_up).select(*[F.col(f"row.`{c}`") for c in docs.columns], *[F.col(c).alias(unused(docs, name)) for name, c in made.items()])
