@@ -3,19 +3,20 @@
 Each source gets a target number of words. Every document of a source is expected
 target / source_size times; the expected copies are summed up along a fixed order of the
 source's documents, one offset in [0, 1) is added, and a document is emitted once for each
-integer that the running sum crosses at it. The order sorts by size class first, so that each
-class is sampled at the source's rate and the words taken come near the target. What is left of an
-error is due to a source's few longest documents; of `tries` offsets, an equal step apart from a
-random one, the one that comes nearest to the target is used for the source.
+integer that the running sum crosses at it. The order goes by size, so that documents of each
+size are sampled at the source's rate and the words taken come near the target: they miss it by
+half of the source's longest document at most, about.
 
-The running sum is built in two steps so that no task ever holds a source: documents are dealt
-to blocks (size class and a hash) inside their source, blocks are summed up, and the sums before
+The running sum is built in steps so that no task ever holds a source: documents are dealt
+to blocks inside their source and size class (as many blocks as there are `block_rows` documents, by a hash),
+classes and blocks are summed up, and the sums before
 each block are added to the running sum inside it. Expected copies are whole numbers of
-1/2**FRACTION_BITS, so sums are exact, in any order, and reruns agree.
+1/2**FRACTION_BITS, so sums are exact, in any order, and reruns agree. The table of sources is
+levelled in one task, a row for each source.
 
 Defined cases: null text has size 0; the null source is a source of its own and comes last; a
 source without words has target 0 and none of its documents is taken; repeated rows are sampled as
-rows of their own; an empty table gives an empty result; other columns are kept as they are.
+rows of their own; an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import WORD
+from quadrille.llm.common import WORD, cut, unused
 
 FRACTION_BITS = 24
 UNIT = 1 << FRACTION_BITS
@@ -58,54 +59,58 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, blocks: int = 256, tries: int = 16) -> DataFrame:
-    """docs with size, source_size, target and copies; rows that are not taken have 0 copies."""
-    key = ["_none", "_source", "_class", "_deal"]
-    rows = (
-        docs.withColumn("size", word_count(F.col("text")))
-        .withColumn("_none", F.col("source").isNull())
-        .withColumn("_source", F.coalesce("source", F.lit("")))
-        .withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
-        .withColumn("_deal", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int"))
-    )
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_words"))
-    sizes = counts.groupBy("_none", "_source").agg(F.sum("_words").alias("source_size"))
-    named = sizes.select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, block_rows: int = 500_000, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (the columns of carry, or all) with size, source_size, target and copies, in that order at the end; rows that are not taken have 0 copies.
+
+    Where docs has such a name already, the new column gets an underscore in front.
+    """
+    kept = docs.select(*[f"`{c}`" for c in carry]) if carry is not None else docs
+    group = ["none", "source", "class"]
+    # words are counted here and nowhere else
+    rows = cut(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"),
+            word_count(F.col("text")).alias("size"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"),
+        )
+    )
+    classed = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
+    by_class = cut(classed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))
+    blocks = -(-(by_class.agg(F.sum("rows")).first()[0] or 1) // block_rows)
+    dealt = classed.withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("h")), F.lit(blocks)).cast("int"))
+
+    sizes = by_class.groupBy("none", "source").agg(F.sum("words").alias("source_size"))
+    named = sizes.select(F.when(~F.col("none"), F.col("source")).alias("source"), "source_size")
     targets = source_targets(named, weights, most, share).select(
-        F.col("source").isNull().alias("_none"),
-        F.coalesce("source", F.lit("")).alias("_source"),
+        F.col("source").isNull().alias("none"),
+        F.coalesce("source", F.lit("")).alias("source"),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.least(F.lit(most * UNIT), F.round(F.col("target") / F.col("source_size") * UNIT)))
         .otherwise(0)
         .cast("long")
-        .alias("_expected"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(UNIT)).cast("long").alias("_offset"),
+        .alias("expected"),
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(UNIT)).cast("long").alias("offset"),
     )
-    earlier = Window.partitionBy("_none", "_source").orderBy("_class", "_deal").rowsBetween(Window.unboundedPreceding, -1)
+    upto_here = (Window.unboundedPreceding, -1)
+    classes = by_class.withColumn("first", F.coalesce(F.sum("rows").over(Window.partitionBy("none", "source").orderBy("class").rowsBetween(*upto_here)), F.lit(0)))
+    in_class = Window.partitionBy(*group).orderBy("deal").rowsBetween(*upto_here)
+    counts = dealt.groupBy(*group, "deal").agg(F.count(F.lit(1)).alias("n")).select(*group, "deal", F.coalesce(F.sum("n").over(in_class), F.lit(0)).alias("before"))
     starts = (
-        counts.select(*key, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-        .join(targets, ["_none", "_source"])
-        .withColumn("_from", F.col("_before") * F.col("_expected"))
-        .drop("_before")
-    )
-    inside = Window.partitionBy(*key).orderBy("size", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    upto = F.col("_from") + F.col("_rank") * F.col("_expected")
-    drawn = lambda offset: F.shiftright(upto + offset, FRACTION_BITS) - F.shiftright(upto - F.col("_expected") + offset, FRACTION_BITS)
-
-    # offsets an equal step apart from a random one; the one that comes nearest to the target is used
-    shifted = [F.pmod(F.col("_offset") + k * UNIT // tries, F.lit(UNIT)) for k in range(tries)]
-    outcomes = ranked.select(*key, "size", "_rank").join(starts, key).groupBy("_none", "_source").agg(
-        F.first("_offset").alias("_offset"), F.first("target").alias("target"), *[F.sum(F.col("size") * drawn(o)).alias(f"_taken{k}") for k, o in enumerate(shifted)]
+        counts.join(classes.select(*group, "first"), group).join(targets, ["none", "source"])
+        .select(*group, "deal", "source_size", "target", "expected", "offset", ((F.col("first") + F.col("before")) * F.col("expected")).alias("sum_before"))
     )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(shifted)]))
-    chosen = outcomes.select("_none", "_source", nearest["offset"].alias("_use"))
-    joined = ranked.join(starts.join(chosen, ["_none", "_source"]), key)
-    copies = F.when((F.col("size") > 0), drawn(F.col("_use"))).otherwise(0).cast("long")
-    return joined.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
+    inside = Window.partitionBy(*group, "deal").orderBy("size", "id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = dealt.withColumn("rank", F.row_number().over(inside)).join(starts, [*group, "deal"])
+    upto = F.col("sum_before") + F.col("rank") * F.col("expected") + F.col("offset")
+    crossed = F.shiftright(upto, FRACTION_BITS) - F.shiftright(upto - F.col("expected"), FRACTION_BITS)
+    copies = F.when(F.col("size") > 0, crossed).otherwise(0).cast("long")
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies}
+    return drawn.select(*[F.col(f"row.`{c}`") for c in kept.columns], *[column.alias(unused(kept, name)) for name, column in made.items()])
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed rows themselves, each as often as it was drawn."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The rows of a mix themselves, each as often as it was drawn."""
+    copies = F.col(f"`{mixed.columns[-1]}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    often = mixed.filter(copies > 0).select(row, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))
+    return often.select(*[F.col(f"row.`{c}`") for c in columns])
