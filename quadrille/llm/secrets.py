@@ -3,7 +3,7 @@
 A random string costs a byte-pair vocabulary many tokens: fewer than `ratio` characters go into one.
 Runs of 20 and more key characters are tested, unless they are known digests (hexadecimal of a
 digest's length, UUIDs) or identifiers (words of 3 to 15 letters and short numbers joined by marks or by
-capitals). Stretches of a run between its words are tested as well as the whole, so that a readable name or path before a key
+capitals, and numbers of up to 20 digits, as 64-bit ids have). Stretches of a run between its words are tested as well as the whole, so that a readable name or path before a key
 doesn't hide it; the span is the whole run. Groups of 3 to 15 letters between marks pass for words, whatever the letters. Runs that
 overlap a span of a fixed pattern aren't tested: that span stands for them.
 
@@ -16,8 +16,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import public_tokenizers
 import pyarrow as pa
@@ -40,6 +42,8 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 MARKS = re.compile(r"[+/_=.-]+")
 #: Words (a capital may begin one), upper-case words and numbers; no two ways to cut a text.
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
+#: What a 64-bit id can't be.
+LONG_NUMBER = re.compile(r"[0-9]{21}")
 CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 Span = tuple[str, int, int]
@@ -97,7 +101,7 @@ def looks_random(run: str, ratio: float, path: str) -> bool:
         return False
     for some in (*tested, "".join(stretch), text):
         some = some.strip("+/_=.-")
-        if len(some) >= 20 and any(c.isalpha() for c in some) and len(some) < ratio * len(encoding(path).encode_ordinary(some)):
+        if len(some) >= 20 and (LONG_NUMBER.search(some) or any(c.isalpha() for c in some)) and len(some) < ratio * len(encoding(path).encode_ordinary(some)):
             return True
     return False
 
@@ -105,8 +109,10 @@ def looks_random(run: str, ratio: float, path: str) -> bool:
 def spans_of(text: str, ratio: float, path: str) -> list[Span]:
     found = base_spans(text)
     taken = sorted((s, e) for _, s, e in found)
+    starts, reach = [s for s, _ in taken], [*accumulate((e for _, e in taken), max)]
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in taken) and looks_random(m[0], ratio, path):
+        before = bisect_left(starts, m.end())
+        if (not before or reach[before - 1] <= m.start()) and looks_random(m[0], ratio, path):
             found.append(("token", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
