@@ -3,10 +3,12 @@
 Sets: A-Z of the text in lower case, words of non-white-space, shingles of `words` words, each once, known by
 XXH64 (seed 42). Documents with the same set are one node.
 
-Candidates: SimHash can't give them, since at a similarity of 0.8 fingerprints of 64 bits differ in 9 to 10 bits on average, and segments
-that are short enough for so many are shared by chance. Least hashes under ROWS x BANDS functions do: two sets of similarity j
-agree in a band of ROWS with j ** ROWS, at 0.8 in one band at least with 0.9994, and unrelated ones hardly ever.
-Every link is verified on the whole sets.
+Candidates come from two sides. Operator 4 (simhash_dedup) links sets whose fingerprints, of the same shingles with their repeats, differ in
+at most two bits, through its one-wildcard variants. At a similarity of 0.8 fingerprints of 64 bits differ in 9 to 10 bits on
+average, though, and segments that are short enough for so many are shared by chance. So there are also bands of least hashes under
+ROWS x BANDS functions: two sets of similarity j agree in a band of ROWS with j ** ROWS, at 0.8 in one band at least with 0.9994, and
+unrelated ones hardly ever. Every link of either side is verified on the whole sets: one shingle that makes up most of two texts
+gives them one fingerprint, but no link.
 
 Large groups: in each bucket (band and value) all members are first held against one, the one that
 shares its buckets with most others. After that only members of a bucket which aren't connected yet are paired, all of them.
@@ -25,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, key_of, map_arrow, unused
+from quadrille.llm import simhash_dedup
+from quadrille.llm.common import columns, cut, key_of, look_up, map_arrow, unused
 from quadrille.llm.components import components
 
 ROWS, BANDS = 8, 40
@@ -38,11 +41,7 @@ FACTOR = _random.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, "<u8")
-    n, digest = max(len(tokens) - words + 1, 1), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words]), 42) for i in range(n)), "<u8", n))
+    return np.unique(simhash_dedup.shingle_hashes(text, words))
 
 
 def band_values(hashes: np.ndarray) -> np.ndarray:
@@ -76,16 +75,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return map_arrow(right.join(left, ["a", "copy"]).select("a", "b", "h_a", "h_b"), compare, "a string, b string")
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(s, fp) -> pairs (a, b) of sets that operator 4 links: each with the least of its fingerprint, and those with each other."""
+    firsts = cut(nodes.groupBy("fp").agg(F.min("s").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = look_up(nodes.select("s", "fp"), firsts, "fp").select(F.col("found.first").alias("a"), F.col("s").alias("b")).filter("a <> b")
+    linked = simhash_dedup.links(firsts.select("fp"))
+    first = firsts.select(F.col("fp").alias("b"), F.col("first").alias("of_b"))
+    across = linked.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("of_a")), "a").join(first, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.union(across)
+
+
 def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     """(doc_id, k, text) -> (doc_id, k, label): label is the same for the rows of a class."""
 
     def stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column("text")]
+            every = [simhash_dedup.shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            fps = np.array([simhash_dedup.majority(h) for h in every], "<u8").view("<i8")
+            found = [np.unique(h) for h in every]
             digests, sizes = [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in found], [len(h) for h in found]
             bands = [band_values(h) for h in found]
-            columns = [batch.column("doc_id"), batch.column("k"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "n", "bands"])
+            columns = [batch.column("doc_id"), batch.column("k"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "n", "bands", "fp"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,8 +104,9 @@ def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(found, pa.binary())], ["s", "h"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    stamped = cut(map_arrow(docs.select("doc_id", "k", "text"), stamp, f"doc_id {id_type}, k string, s string, n long, bands array<long>"))
-    nodes = stamped.groupBy("s").agg(F.min(F.struct("k", "n", "bands")).alias("of")).select("s", "of.*")
+    stamped = cut(map_arrow(docs.select("doc_id", "k", "text"), stamp, f"doc_id {id_type}, k string, s string, n long, bands array<long>, fp long"))
+    nodes = cut(stamped.groupBy("s").agg(F.min(F.struct("k", "n", "bands", "fp")).alias("of")).select("s", "of.*"))
+    printed = cut(by_fingerprint(nodes))
     placed = nodes.select("s", "k", "n", F.posexplode("bands").alias("band", "v"))
     shared = placed.groupBy("band", "v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = cut(placed.join(shared, ["band", "v"]))
@@ -102,8 +114,10 @@ def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     central = members.groupBy("s").agg(F.sum("m").alias("reach"))
     hubs = members.join(central, "s").groupBy("band", "v").agg(F.max(F.struct("reach", "s", "n")).alias("hub")).select("band", "v", F.col("hub.s").alias("a"), F.col("hub.n").alias("n_a"))
     close = F.least("n_a", "n") >= similar * F.greatest("n_a", "n")
-    starred = cut(members.join(hubs, ["band", "v"]).filter((F.col("a") != F.col("s")) & close).select("a", F.col("s").alias("b")).distinct())
-    named = members.select("k", "s").distinct()
+    to_hub = members.join(hubs, ["band", "v"]).filter((F.col("a") != F.col("s")) & close).select("a", F.col("s").alias("b"))
+    starred = cut(to_hub.union(printed).distinct())
+    some = members.select("s").union(starred.select("a")).union(starred.select("b")).distinct()
+    named = nodes.select("k", "s").join(some, "s")
     sets = cut(map_arrow(docs.select("k", "text").join(named, "k").select("s", "text"), spell, "s string, h binary").dropDuplicates(["s"]))
     links = cut(verified(starred, sets, similar))
 
@@ -126,4 +140,4 @@ def dedup(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     keyed = docs.withColumn(key, key_of())
     classes = group(keyed.select("doc_id", F.col(key).alias("k"), F.col("text").cast("string").alias("text")), words, similar)
     kept = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("kept")).select(F.col("kept.k").alias(key))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns(docs))

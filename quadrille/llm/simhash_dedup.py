@@ -30,27 +30,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quadrille.llm.common import cut, key_of, map_arrow, unused
+from quadrille.llm.common import columns, cut, key_of, map_arrow, unused
 from quadrille.llm.components import components
 
 HALF = 32
 MASK = (1 << HALF) - 1
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, n = xxhash.xxh64_intdigest, len(tokens) - words + 1
     if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return digest(b" ".join(tokens), 42)
-    shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)], strict=False))
-    set_bits, n = np.zeros(64, np.int64), len(tokens) - words + 1
-    hashes = np.fromiter((digest(s, 42) for s in shingles), dtype="<u8", count=n)
-    for at in range(0, n, 65_536):
+        return np.zeros(0, "<u8")
+    if n <= 1:
+        return np.array([digest(b" ".join(tokens), 42)], "<u8")
+    return np.fromiter((digest(s, 42) for s in map(b" ".join, zip(*[tokens[i:] for i in range(words)], strict=False))), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
         block = hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -123,7 +131,7 @@ def dedup(docs: DataFrame, words: int = 3, pairs_up_to: int = 256) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k")).alias("kept")
     )
     kept = first.select(F.col("kept._k").alias(key))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns(docs))
 
 
 def hex16(fp: Column) -> Column:
