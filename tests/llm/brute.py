@@ -83,6 +83,47 @@ def classes(prints):
     return [root(k) for k in range(len(prints))]
 
 
+def shingles(text, words):
+    found = WORD.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def similar_classes(sets, similar):
+    """sets: {id: set} -> groups of ids that similar pairs connect; empty sets are alike."""
+    ids, label = list(sets), {d: d for d in sets}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            both = len(x | y)
+            if len(x & y) >= similar * both:
+                p, q = root(a), root(b)
+                label[max(p, q)] = min(p, q)
+    groups = collections.defaultdict(set)
+    for d in ids:
+        groups[root(d)].add(d)
+    return groups.values()
+
+
+def drawn(rows, source_targets, offsets, unit):
+    """rows: (source, size, id, hash) -> copies of each in order of source, size class, size, id, hash, by walking along the expected copies."""
+    out = []
+    for source, target in source_targets.items():
+        mine = sorted((r for r in rows if r[0] == source), key=lambda r: (int(np.floor(np.log2(r[1] + 1) * 4)), *r[1:]))
+        total = sum(r[1] for r in mine)
+        step = min(3 * unit, round(target / total * unit)) if total else 0
+        at = offsets[source]
+        for r in mine:
+            out.append((r[2], (at + step) // unit - at // unit if r[1] else 0))
+            at += step
+    return sorted(out)
+
+
 def stats(text):
     text = text or ""
     words = WORD.findall(text)

@@ -120,7 +120,7 @@ def test_induced_sorting_finds_all_repeats():
         segments = [bytes(rng.randrange(letters) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 8))]
         segments += [segments[0][:20] + b"zz" + segments[0][20:], b"a" * 45][: rng.randrange(3)]
         seen = collections.Counter(s[i : i + width] for s in segments for i in range(len(s) - width + 1))
-        got = induced.repeated_windows(segments, width, memory=rng.choice([50, 1 << 20]), in_memory=rng.choice([2, 1 << 20]))
+        got = induced.repeated_windows(segments, width, memory=rng.choice([50, 1 << 20]))
         for s, flags in zip(segments, got, strict=True):
             assert flags.tolist() == [seen[s[i : i + width]] > 1 for i in range(len(s) - width + 1)]
 
@@ -268,7 +268,7 @@ def test_items_with_edits_are_found(spark, odd):
         around = ["".join(rng.choice("etaoin shrdlu") for _ in range(60)) for _ in range(2)]
         rows.append((k, around[0] + "".join(item) + around[1], "en", "s", 0))
     bench = spark.createDataFrame([*enumerate(items), (97, None), (98, "  "), (0, items[0])], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(spark.createDataFrame(rows, DOCS), bench, block=5).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(spark.createDataFrame(rows, DOCS), bench, block_bytes=300).collect()}
     want = {}
     for d, text, *_ in rows:
         for i, item in enumerate(items):
