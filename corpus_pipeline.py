@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontaminate, mixing, near_copies, quality_fm, sharding
-from quadrille.llm.common import fresh_dir, table, unused
+from quadrille.llm.common import columns, fresh_dir, table, unused
 from quadrille.llm.queries import SHARD_BYTES
 
 
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine finds good."""
     machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
     verdict = unused(docs, "predicted")
-    return quality_fm.score(docs, machine).filter(f"{verdict} = 1").select(*docs.columns)
+    return quality_fm.score(docs, machine).filter(f"{verdict} = 1").select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
