@@ -11,7 +11,10 @@ unrelated ones hardly ever. Every link of either side is verified on the whole s
 gives them one fingerprint, but no link.
 
 Large groups: in each bucket (band and value) all members are first held against one, the one that
-shares its buckets with most others. After that only members of a bucket which aren't connected yet are paired, all of them.
+shares its buckets with most others. Of buckets that still hold several classes after that, shingles are counted: what a set shares
+with any other such member bounds its similarity to all of them, so a set with too many shingles of its own is done with.
+The others are held against the member with the fewest of its own, again one comparison for each. Only
+members that are in different classes then, and whose bounds allow a link, are paired with each other (see last_links); no link is lost by this.
 
 Defined cases: null or white-space text has an empty set, one class; fewer words than a shingle: the
 whole sequence is the one shingle; repeated rows are copies; a null doc_id stays only where its class has no other; all columns are kept.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash_dedup
-from quadrille.llm.common import columns, cut, key_of, look_up, map_arrow, unused
+from quadrille.llm.common import columns, cut, key_of, look_up, map_arrow, stored, unused
 from quadrille.llm.components import components
 
 ROWS, BANDS = 8, 40
@@ -53,26 +56,28 @@ def band_values(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common / max(len(both) - common, 1)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    every = np.concatenate([a, b])
+    every.sort()
+    return int((every[1:] == every[:-1]).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Of the pairs (a, b) those that are similar. A set that many pairs name is dealt out in copies."""
+def compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) with both, how many shingles they share, and near, whether they are similar. A set that many pairs name is dealt out in copies."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPY).alias("copies"))
     left = sets.join(copies, F.col("s") == F.col("a")).select("a", F.col("h").alias("h_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     right = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).join(sets.select(F.col("s").alias("b"), F.col("h").alias("h_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = zip(batch.column("h_a"), batch.column("h_b"), strict=True)
-            near = [jaccard(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similar for x, y in sides]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            both, near = [], []
+            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both.append(overlap(x, y))
+                near.append(both[-1] >= similar * max(len(x) + len(y) - both[-1], 1))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "both", "near"])
 
-    return map_arrow(right.join(left, ["a", "copy"]).select("a", "b", "h_a", "h_b"), compare, "a string, b string")
+    return cut(map_arrow(right.join(left, ["a", "copy"]).select("a", "b", "h_a", "h_b"), compare, "a string, b string, both long, near boolean"))
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -85,6 +90,53 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.union(across)
 
 
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with label, the class that the links give them."""
+    return members.join(components(links).select(F.col("node").alias("s"), "label"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+
+
+def of_several(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes."""
+    buckets = members.groupBy("band", "v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "v")
+    return members.join(buckets, ["band", "v"])
+
+
+def with_common(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """members with common: how many of a set's shingles any other of them has. Those with less than a share of `similar` have no link left to find and go."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(h.as_py(), "<i8") for h in batch.column("h")]
+            of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(of, pa.int64())), pa.array(np.concatenate([*found, np.zeros(0, "<i8")]))], ["s", "g"])
+
+    each = stored(map_arrow(sets.join(members.select("s").distinct(), "s").select("s", "h"), spread, "s string, g long"))
+    shared = cut(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("yes", F.lit(True)))
+    common = look_up(each, shared, "g").filter("found.yes").groupBy("s").agg(F.count(F.lit(1)).alias("common"))
+    return members.join(common, "s").filter(F.col("common") >= similar * F.col("n"))
+
+
+def last_links(members: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links that are still to be found in buckets where the given ones leave several classes.
+
+    All members of a bucket are measured against the one with the fewest shingles of its own. With `both` shingles in that
+    one, a set has at most common - both others that anything else has, so two sets x, y of the bucket share at most
+    min(both x, both y) + min(common x - both x, common y - both y). Only where that can suffice they are compared.
+    """
+    rest = cut(of_several(with_common(cut(of_several(labelled(members, links))), sets, similar)))
+    hubs = rest.groupBy("band", "v").agg(F.max(F.struct(F.col("common") / F.col("n"), "s")).alias("hub")).select("band", "v", F.col("hub.s").alias("a"))
+    placed = rest.select("band", "v", "s", "n", "common").join(hubs, ["band", "v"])
+    measured = compared(cut(placed.filter("a <> s").select("a", F.col("s").alias("b")).distinct()), sets, similar)
+    found = measured.filter("near").select("a", "b")
+    of_hub = placed.join(measured.select("a", F.col("b").alias("s"), "both"), ["a", "s"], "left").select("band", "v", "s", "n", "common", F.coalesce("both", "n").alias("both"))
+    x = cut(of_several(labelled(of_hub, links.union(found))))
+    y = x.select("band", "v", *[F.col(c).alias(f"{c}_y") for c in ("s", "n", "common", "both", "label")])
+    most = F.least("both", "both_y") + F.least(F.col("common") - F.col("both"), F.col("common_y") - F.col("both_y"))
+    able = most >= similar * (F.col("n") + F.col("n_y") - most)
+    pairs = x.join(y, ["band", "v"]).filter((F.col("s") < F.col("s_y")) & (F.col("label") != F.col("label_y")) & able).select(F.col("s").alias("a"), F.col("s_y").alias("b")).distinct()
+    return found.union(compared(cut(pairs.join(tried, ["a", "b"], "left_anti")), sets, similar).filter("near").select("a", "b"))
+
+
 def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     """(doc_id, k, text) -> (doc_id, k, label): label is the same for the rows of a class."""
 
@@ -119,18 +171,10 @@ def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     some = members.select("s").union(starred.select("a")).union(starred.select("b")).distinct()
     named = nodes.select("k", "s").join(some, "s")
     sets = cut(map_arrow(docs.select("k", "text").join(named, "k").select("s", "text"), spell, "s string, h binary").dropDuplicates(["s"]))
-    links = cut(verified(starred, sets, similar))
-
-    first = components(links).select(F.col("node").alias("s"), "label")
-    known = members.join(first, "s", "left").withColumn("label", F.coalesce("label", "s"))
-    open_ = known.groupBy("band", "v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "v")
-    rest = cut(known.join(open_, ["band", "v"]).select("band", "v", "s", "n", "label"))
-    other = rest.select("band", "v", F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    crossed = rest.join(other, ["band", "v"]).filter((F.col("a") < F.col("s")) & (F.col("label_a") != F.col("label")) & close).select("a", F.col("s").alias("b")).distinct()
+    links = compared(starred, sets, similar).filter("near").select("a", "b")
     tried = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(cut(crossed.join(tried, ["a", "b"], "left_anti")), sets, similar)
-
-    labels = components(links.union(more)).select(F.col("node").alias("s"), "label")
+    every = links.union(last_links(members, links, tried, sets, similar))
+    labels = components(every).select(F.col("node").alias("s"), "label")
     return stamped.join(labels, "s", "left").select("doc_id", "k", F.coalesce("label", "s").alias("label"))
 
 
