@@ -6,6 +6,7 @@ engines. The SQL works on hex digits and whole numbers of its own making, not on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +74,9 @@ def sql_with(*parts: str) -> str:
 
 def sql_region(name: str, res: int, low: float, left: float, high: float, right: float) -> str:
     """The cells of a rectangle as a CTE of hex digits."""
-    from quadrille.plans.areas import lat_units, lon_units
-
     step = 1 << (32 - res)
-    ys, xs = (lat_units(low) // step, lat_units(high) // step), (lon_units(left) // step, lon_units(right) // step)
+    ys = tuple(math.floor((v + 90) / 180 * 2**32) // step for v in (low, high))
+    xs = tuple(math.floor((v + 180) / 360 * 2**32) // step for v in (left, right))
     return (
         f"{name} AS (SELECT {sql_hex('y', 'x', res // 2)} AS hex FROM (SELECT a.v * {step} AS y, ((b.v * {step}) & 4294967295) AS x "
         f"FROM range({ys[0]}, {ys[1] + 1}) a(v), range({xs[0]}, {xs[1] + 1}) b(v)))"
@@ -215,14 +215,43 @@ def scale_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql_with(SQL_POINTS) + f"""SELECT event_id, round(degrees(atan2(z, sqrt(u * u + v * v))), 4) AS lat, round(degrees(atan2(v, u)), 4) AS lon FROM (
-    SELECT event_id, cos(radians(lat)) * cos(radians(lon)) + cos(radians({_PARIS[0]}e0)) * cos(radians({_PARIS[1]}e0)) AS u,
-    cos(radians(lat)) * sin(radians(lon)) + cos(radians({_PARIS[0]}e0)) * sin(radians({_PARIS[1]}e0)) AS v, sin(radians(lat)) + sin(radians({_PARIS[0]}e0)) AS z FROM pts WHERE abs({_PARIS[1]}e0 - lon) < 170)"""
+    sql_with(SQL_POINTS) + f"""SELECT event_id, CASE WHEN one THEN round(degrees(atan2(z, sqrt(u * u + v * v))), 4) END AS lat, CASE WHEN one THEN round(degrees(atan2(v, u)), 4) END AS lon FROM (
+    SELECT event_id, abs({_PARIS[1]}e0 - lon) < 180 AS one, cos(radians(lat)) * cos(radians(lon)) + cos(radians({_PARIS[0]}e0)) * cos(radians({_PARIS[1]}e0)) AS u,
+    cos(radians(lat)) * sin(radians(lon)) + cos(radians({_PARIS[0]}e0)) * sin(radians({_PARIS[1]}e0)) AS v, sin(radians(lat)) + sin(radians({_PARIS[0]}e0)) AS z FROM pts)"""
 )
 def great_circle_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = points(spark, sf_dir).filter(F.abs(F.lit(_PARIS[1]) - F.col("lon")) < 170)
+    """The middle of each event's way to one place; null where the longitudes are 180 degrees or more apart."""
     middle = measure.intermediate(F.col("lat"), F.col("lon"), *_paris(), F.lit(0.5))
-    return near.withColumn("m", middle).select("event_id", F.round("m.lat", 4).alias("lat"), F.round("m.lon", 4).alias("lon"))
+    return points(spark, sf_dir).withColumn("m", middle).select("event_id", F.round("m.lat", 4).alias("lat"), F.round("m.lon", 4).alias("lon"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, round(degrees(2 * atan(exp((131072e0 - py) / (262144e0 / (2 * pi())))) - pi() / 2), 6) AS lat, round((px - 131072e0) / (262144e0 / 360), 6) AS lon FROM (SELECT event_id, (event_id * 7919) % 262144 AS px, (user_id * 104729) % 262144 AS py FROM pts)")
+def mercator_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = measure.mercator_latlon((F.col("event_id") * 7919) % 262144, (F.col("user_id") * 104729) % 262144, 10)
+    return points(spark, sf_dir).withColumn("p", place).select("event_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, round(sqrt(pow((3221225472 - y) / (4294967296 / (180 * 111120e0)), 2) + pow((2147483648 - x) * cos(radians(y * (180e0/4294967296) - 90)) / (4294967296 / (360 * 111120e0)), 2)) / 1000, 4) AS km FROM pts")
+def flat_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = codec.long(codec.interleave(3221225472, 2147483648))
+    return points(spark, sf_dir).select("event_id", F.round(F.sqrt(measure.squared_distance_exact(F.col("hh"), there)) / 1000, 4).alias("km"))
+
+
+@query(sql_with(SQL_POINTS) + f"SELECT event_id, {sql_hex('y2', 'x2')} AS hex FROM (SELECT event_id, (y * 3 + 3221225472) // 4 AS y2, (x * 3 + 2147483648) // 4 AS x2 FROM pts)")
+def weighted_mean_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = codec.long(codec.interleave(3221225472, 2147483648))
+    return points(spark, sf_dir).select("event_id", codec.to_hex(measure.weighted_centroid(F.col("hh"), F.lit(3), there, F.lit(1))).alias("hex"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, hex, hex AS again, round(((y >> 22) + 0.5e0) * 4194304 * (180e0/4294967296) - 90, 6) AS lat, round(((x >> 22) + 0.5e0) * 4194304 * (360e0/4294967296) - 180, 6) AS lon FROM pts")
+def codes_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes from text and from bytes, and centres of cells in degrees."""
+    center = codec.center_degrees(F.col("hh"), 10)
+    read = points(spark, sf_dir).withColumn("c", center)
+    return read.select(
+        "event_id", codec.to_hex(codec.from_hex(codec.to_hex(F.col("hh")))).alias("hex"), codec.to_hex(codec.from_bytes(codec.to_bytes(F.col("hh")))).alias("again"),
+        F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"),
+    )
 
 
 # --- roll-ups ------------------------------------------------------------------------------------
@@ -309,10 +338,18 @@ def coverage_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.semi_join(points(spark, sf_dir), cov.minus(*_two(spark))).select("event_id")
 
 
-@query(_algebra("{w} AND NOT {e}"))
+_TERMS = ("rect:43.0:-5.5,51.2:6.1", "rect:40.0:0.5,60.0:40.0", "rect:-20.0:20.0,10.0:50.0", "rect:-10.0:-6.0,60.0:45.0")
+_TERM_SQL = [sql_region(f"t{k}", 10, *map(float, t.removeprefix("rect:").replace(",", ":").split(":"))) for k, t in enumerate(_TERMS)]
+
+
+@query(
+    sql_with(SQL_POINTS, *_TERM_SQL)
+    + "SELECT event_id FROM pts WHERE ((substr(hex, 1, 5) IN (SELECT hex FROM t0) AND substr(hex, 1, 5) NOT IN (SELECT hex FROM t1)) OR substr(hex, 1, 5) IN (SELECT hex FROM t2)) AND substr(hex, 1, 5) IN (SELECT hex FROM t3)"
+)
 def area_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = expressions.evaluate(spark, f"+{WEST[1]}", 12), expressions.evaluate(spark, f"+{EAST[1]}", 10)
-    return match.semi_join(points(spark, sf_dir), cov.minus(a, b)).select("event_id")
+    """All operators in one text, from left to right; a term before the first + doesn't count."""
+    text = "-{3} +{0} -{1} +{2} &{3}".format(*_TERMS)
+    return match.semi_join(points(spark, sf_dir), expressions.evaluate(spark, text, 10)).select("event_id")
 
 
 # --- coverages made from points ------------------------------------------------------------------
@@ -372,6 +409,90 @@ def coverage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.summary(mixed(spark, sf_dir)).select("shape_id", "cells", "coarsest", "finest", F.col("area").cast("double").alias("area"))
 
 
+#: Cells of resolution 4 with more than a few events of their type.
+_BUSY = "busy AS (SELECT event_type AS shape_id, substr(hex, 1, 2) AS hex FROM pts GROUP BY 1, 2 HAVING count(*) > 5)"
+_FINE = f"fine AS (SELECT DISTINCT shape_id, CASE WHEN length(hex) = 3 THEN hex ELSE hex || {DIGIT.format('d')} END AS hex FROM mixed, range(16) r(d))"
+_FINE_BUSY = f"fine_busy AS (SELECT shape_id, hex || {DIGIT.format('d')} AS hex FROM busy, range(16) r(d))"
+_TWO = (SQL_POINTS, _MIXED, _BUSY, _FINE, _FINE_BUSY)
+
+
+def busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = codec.at_resolution(F.col("hh"), 4)
+    counted = points(spark, sf_dir).groupBy(F.col("event_type").alias("shape_id"), F.lit(4).alias("res"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter("n > 5").drop("n")
+
+
+@query(sql_with(*_TWO) + "SELECT * FROM fine UNION SELECT * FROM fine_busy")
+def union_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.normalize(cov.union(mixed(spark, sf_dir), busy(spark, sf_dir)), 6))
+
+
+@query(sql_with(*_TWO) + "SELECT * FROM fine INTERSECT SELECT * FROM fine_busy")
+def intersect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.normalize(cov.intersect(mixed(spark, sf_dir), busy(spark, sf_dir)), 6))
+
+
+@query(sql_with(*_TWO) + "SELECT * FROM fine EXCEPT SELECT * FROM fine_busy")
+def minus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.normalize(cov.minus(mixed(spark, sf_dir), busy(spark, sf_dir)), 6))
+
+
+@query(sql_with(*_TWO) + "SELECT 'minus' AS what, * FROM (SELECT * FROM fine EXCEPT SELECT * FROM fine_busy) UNION ALL SELECT 'both', * FROM (SELECT * FROM fine INTERSECT SELECT * FROM fine_busy)")
+def normalized_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference and intersection by taking both sides to one resolution."""
+    a, b = mixed(spark, sf_dir), busy(spark, sf_dir)
+    left, both = as_hex(cov.minus_normalized(a, b, 6)), as_hex(cov.intersect_normalized(a, b, 6))
+    return left.select(F.lit("minus").alias("what"), "shape_id", "hex").unionByName(both.select(F.lit("both").alias("what"), "shape_id", "hex"))
+
+
+@query(sql_with(*_TWO) + "SELECT 'a' AS side, * FROM fine UNION ALL SELECT 'b', * FROM fine_busy")
+def co_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two coverages cover stays the same when their partly shared cells are split."""
+    a, b = cov.co_normalize(mixed(spark, sf_dir), busy(spark, sf_dir))
+    sides = [as_hex(cov.normalize(c, 6)).select(F.lit(side).alias("side"), "shape_id", "hex") for side, c in (("a", a), ("b", b))]
+    return sides[0].unionByName(sides[1])
+
+
+@query(sql_with(*_TWO) + "SELECT * FROM mixed UNION SELECT * FROM busy")
+def merge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cov.merge(mixed(spark, sf_dir), busy(spark, sf_dir)))
+
+
+@query(sql_with(*_TWO) + "SELECT * FROM mixed WHERE substr(hex, 1, 2) IN (SELECT hex FROM busy)")
+def clip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hex(cover.clip(mixed(spark, sf_dir), busy(spark, sf_dir)))
+
+
+@query(sql_with(*_TWO) + "SELECT DISTINCT hex FROM busy WHERE hex IN (SELECT hex FROM mixed)")
+def present_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that a coverage has at their very resolution."""
+    return match.has_cell(mixed(spark, sf_dir), busy(spark, sf_dir).select("res", "cell").distinct()).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT DISTINCT event_type AS shape_id, substr(hex, 1, 3) AS hex FROM pts")
+def serialized_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverages written as bytes and read back."""
+    return as_hex(cov.deserialize(cov.serialize(seen(spark, sf_dir, 6))))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT event_id, m.shape_id, CAST(min(2 * length(m.hex)) AS INTEGER) AS coarsest, CAST(max(2 * length(m.hex)) AS INTEGER) AS finest FROM pts p JOIN mixed m ON m.hex IN (substr(p.hex, 1, 2), substr(p.hex, 1, 3)) GROUP BY 1, 2")
+def resolutions_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.resolutions_at(mixed(spark, sf_dir), points(spark, sf_dir).select("event_id", "hh")).select("event_id", "shape_id", "coarsest", "finest")
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, CAST(max(r) AS INTEGER) AS mean_res FROM (SELECT shape_id, floor(sum(pow(2, 64 - 4 * length(hex))) / count(*)) AS mean FROM mixed GROUP BY 1), range(2, 34, 2) t(r) WHERE pow(2, 64 - 2 * r) >= mean GROUP BY 1")
+def mean_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.summary(mixed(spark, sf_dir)).select("shape_id", "mean_res")
+
+
+@query(sql_with(SQL_POINTS, "boxes AS (SELECT event_type AS shape_id, min(y) >> 26 AS y0, max(y) >> 26 AS y1, min(x) >> 26 AS x0, max(x) >> 26 AS x1 FROM pts WHERE value > 100 GROUP BY 1)", "grid AS (SELECT shape_id, a.v * 67108864 AS y, b.v * 67108864 AS x FROM boxes, range(64) a(v), range(64) b(v) WHERE a.v BETWEEN y0 AND y1 AND b.v BETWEEN x0 AND x1)") + f"SELECT shape_id, {sql_hex(digits=3)} AS hex FROM grid")
+def rectangle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a rectangle around each type's events of some value."""
+    y, x = codec.y_of(F.col("hh")), codec.x_of(F.col("hh"))
+    boxes = points(spark, sf_dir).filter("value > 100").groupBy(F.col("event_type").alias("shape_id"), F.lit(6).alias("res")).agg(F.min(y).alias("swy"), F.min(x).alias("swx"), F.max(y).alias("ney"), F.max(x).alias("nex"))
+    return as_hex(cover.rectangles(boxes))
+
+
 @query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, CAST(2 * length(hex) AS INTEGER) AS res, count(*) AS cells FROM mixed GROUP BY 1, 2")
 def coverage_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.cardinalities(mixed(spark, sf_dir))
@@ -537,6 +658,14 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.contains(cells, bits, layout).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "member")
 
 
+@query(sql_with(SQL_POINTS) + "SELECT DISTINCT substr(hex, 1, 6) AS hex FROM pts")
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter never misses a member: of the cells of all events every one is found."""
+    layout, pts = bloom.Layout(max_res=12), points(spark, sf_dir)
+    cells = pts.select(F.lit(12).alias("res"), codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct()
+    return bloom.contains(cells, bloom.build(pts, layout), layout).filter("member").select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
+
+
 @query(sql_with(SQL_POINTS) + "SELECT time_bucket(INTERVAL '5 minutes', CAST(ts AS TIMESTAMP)) AS start, substr(hex, 1, 2) AS hex, count(*) AS events, round(sum(value), 2) AS total FROM pts GROUP BY 1, 2")
 def activity_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = activity.cycles(points(spark, sf_dir))

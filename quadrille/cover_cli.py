@@ -8,6 +8,7 @@ Terms are +area, -area and &area; @FILE stands for the terms in a file, separate
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -19,7 +20,10 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--out", "-o", required=True)
     parser.add_argument("--kml", "-k")
     parser.add_argument("--res", "-r", type=int, default=16)
-    known, terms = parser.parse_known_args(args)
+    given = sys.argv[1:] if args is None else args
+    # -rect... is a term, not the option -r: what holds a colon and begins with an operator
+    terms = [a for a in given if a[:1] == "@" or (a[:1] in "+-&" and ":" in a)]
+    known = parser.parse_args([a for a in given if a not in terms])
     spark = SparkSession.builder.getOrCreate()
     words: list[str] = []
     for term in terms:

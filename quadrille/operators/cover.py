@@ -140,7 +140,7 @@ def definitions(spark: SparkSession, defs: list[tuple[str, str, int]]) -> DataFr
 
 def clip(coverage: DataFrame, cells: DataFrame, exclude: bool = False) -> DataFrame:
     """Cells of a coverage that lie in one of `cells` (res, cell), or with exclude those that don't. Clip cells finer than the coverage don't count."""
-    from quadrille.operators.coverage import with_ancestors
+    from quadrille.operators.coverage import levels_of, with_ancestors
 
-    inside = with_ancestors(coverage, own=True).join(cells.select(F.col("res").alias("_ares"), F.col("cell").alias("_acell")).distinct(), ["_ares", "_acell"], "left_semi")
+    inside = with_ancestors(coverage, own=True, levels=levels_of(cells)).join(cells.select(F.col("res").alias("_ares"), F.col("cell").alias("_acell")).distinct(), ["_ares", "_acell"], "left_semi")
     return coverage.join(inside.select("shape_id", "res", "cell").distinct(), ["shape_id", "res", "cell"], "left_anti" if exclude else "left_semi")

@@ -68,11 +68,15 @@ def unkeyed(rows: DataFrame) -> DataFrame:
     return rows.select("shape_id", (F.length("key") * 2).cast("int").alias("res"), codec.from_hex(F.col("key")).alias("cell"))
 
 
-def with_ancestors(coverage: DataFrame, own: bool = False) -> DataFrame:
-    """Each row once for each ancestor: _ares and _acell; with own, the cell itself too."""
+def levels_of(coverage: DataFrame) -> list[int]:
+    return sorted(r[0] for r in coverage.select("res").distinct().collect())  # 16 at most
+
+
+def with_ancestors(coverage: DataFrame, own: bool = False, levels: list[int] | None = None) -> DataFrame:
+    """Each row once for each ancestor: _ares and _acell; with own, the cell itself too. Of levels only, where those are given: coarser ones have few cells, so each would gather many rows."""
     top = F.col("res") if own else F.col("res") - 2
-    levels = F.when(top >= 2, F.sequence(F.lit(2), top, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return coverage.withColumn("_ares", F.explode(levels)).withColumn("_acell", F.col("cell").bitwiseAND(keep_bits(F.col("_ares"))))
+    tried = F.array(*map(F.lit, codec.RESOLUTIONS if levels is None else levels)).cast("array<int>")
+    return coverage.withColumn("_ares", F.explode(F.filter(tried, lambda r: r <= top))).withColumn("_acell", F.col("cell").bitwiseAND(keep_bits(F.col("_ares"))))
 
 
 def to_geocells(coverage: DataFrame, finest: int = 30) -> DataFrame:
@@ -110,10 +114,15 @@ def summary(coverage: DataFrame) -> DataFrame:
     """Cells, coarsest, finest and mean resolution, and area in cells of resolution 32."""
     weight = F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(64) - F.col("res") * 2).cast("int")).cast("decimal(38,0)"))
     # a shift by 62 is the largest that stays positive: resolution 2 has 2**60, so all fit
-    return coverage.groupBy("shape_id").agg(
-        F.count(F.lit(1)).alias("cells"), F.min("res").alias("coarsest"), F.max("res").alias("finest"),
-        F.round(F.avg("res"), 6).alias("mean_res"), weight.cast("decimal(38,0)").alias("area"),
-    )
+    sums = coverage.groupBy("shape_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.min("res").alias("coarsest"), F.max("res").alias("finest"), weight.cast("decimal(38,0)").alias("area")
+    )
+    # of the mean area in whole cells of resolution 32, a cell of resolution r having 2**(64 - 2 r) of them: the finest level whose cells are no smaller
+    mean = F.floor(F.col("area") / F.col("cells")).cast("long")
+    bits = F.when(mean > 1, F.length(F.bin(mean - 1))).otherwise(0)
+    return sums.select("shape_id", "cells", "coarsest", "finest", F.floor((64 - bits) / 4).cast("int").alias("quarter"), "area").select(
+        "shape_id", "cells", "coarsest", "finest", (F.col("quarter") * 2).alias("mean_res"), "area"
+    )
 
 
 def resolutions_at(coverage: DataFrame, points: DataFrame) -> DataFrame:
@@ -130,7 +139,7 @@ def resolutions_at(coverage: DataFrame, points: DataFrame) -> DataFrame:
 def dedup(coverage: DataFrame) -> DataFrame:
     """Without cells that lie inside another cell of their shape."""
     rows = coverage.select(*COLUMNS).distinct()
-    covered = with_ancestors(rows).join(rows.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell")), ["shape_id", "_ares", "_acell"], "left_semi")
+    covered = with_ancestors(rows, levels=levels_of(rows)).join(rows.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell")), ["shape_id", "_ares", "_acell"], "left_semi")
     return rows.join(covered.select(*COLUMNS).distinct(), list(COLUMNS), "left_anti")
 
 
@@ -264,7 +273,7 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = saved(dedup(a)), saved(dedup(b))
 
     def inside(deep: DataFrame, wide: DataFrame) -> DataFrame:
-        return with_ancestors(deep, own=True).join(wide.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell")), ["shape_id", "_ares", "_acell"], "left_semi").select(*COLUMNS)
+        return with_ancestors(deep, own=True, levels=levels_of(wide)).join(wide.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell")), ["shape_id", "_ares", "_acell"], "left_semi").select(*COLUMNS)
 
     return inside(x, y).unionByName(inside(y, x)).distinct()
 
@@ -273,10 +282,10 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
     """For shapes of one id: what a covers and b doesn't. A cell of a that b covers in part is split only along the way to b's cells."""
     x, y = saved(dedup(a)), saved(dedup(b))
     wide = y.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell"))
-    gone = with_ancestors(x, own=True).join(wide, ["shape_id", "_ares", "_acell"], "left_semi").select(*COLUMNS)
+    gone = with_ancestors(x, own=True, levels=levels_of(y)).join(wide, ["shape_id", "_ares", "_acell"], "left_semi").select(*COLUMNS)
     left = x.join(gone.distinct(), list(COLUMNS), "left_anti")
     # cells of b strictly inside a cell of a, and the nodes between: those are split
-    up = with_ancestors(y).withColumnsRenamed({"res": "_bres", "cell": "_bcell"})
+    up = with_ancestors(y, levels=levels_of(x)).withColumnsRenamed({"res": "_bres", "cell": "_bcell"})
     hit = up.join(left.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell")), ["shape_id", "_ares", "_acell"])
     between = hit.withColumn("res", F.explode(F.sequence(F.col("_ares"), F.col("_bres") - 2, F.lit(2)))).withColumn("cell", F.col("_bcell").bitwiseAND(keep_bits(F.col("res"))))
     split = saved(between.select(*COLUMNS).distinct())

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df run once, kept in the folder that the cluster names for checkpoints; a local one where none is named."""
+    """df run once, kept in the folder that the cluster names for checkpoints; one of this machine only where none is named and nothing else runs tasks."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 

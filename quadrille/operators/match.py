@@ -31,20 +31,37 @@ def join_points(points: DataFrame, coverage: DataFrame, code: str = "hh", distin
     return hit.select(*points.columns, "shape_id").distinct() if distinct else hit.select(*points.columns, "shape_id", "res", "cell")
 
 
-def _matched(points: DataFrame, coverage: DataFrame, code: str, low: int, high: int) -> DataFrame:
-    wanted = coverage.filter(F.col("res").between(low, high))
-    codes = probes(points.select(F.col(code).alias("_code")).distinct(), levels_of(wanted), "_code")
-    return codes.join(wanted.select("res", "cell").distinct(), ["res", "cell"], "left_semi").select("_code").distinct()
+#: Cells of a coverage that are sent to every task at most, 16 bytes each; larger ones are shuffled.
+BROADCAST_CELLS = 1 << 20
+
+
+def _matched(points: DataFrame, wanted: DataFrame, levels: list[int], code: str) -> DataFrame:
+    codes = probes(points.select(F.col(code).alias("_code")).distinct(), levels, "_code")
+    return codes.join(wanted, ["res", "cell"], "left_semi").select("_code").distinct()
+
+
+def _filtered(points: DataFrame, coverage: DataFrame, code: str, low: int, high: int, inside: bool) -> DataFrame:
+    """Points in the coverage, or the others. Up to BROADCAST_CELLS its cells go to the points, a look-up for each level, and no point is shuffled."""
+    wanted = coverage.filter(F.col("res").between(low, high)).select("res", "cell").distinct()
+    held = {r["res"]: r["count"] for r in wanted.groupBy("res").count().collect()}  # 16 levels at most
+    if sum(held.values()) > BROADCAST_CELLS:
+        return points.join(_matched(points, wanted, sorted(held), code), F.col(code) == F.col("_code"), "left_semi" if inside else "left_anti")
+    marked, hit = points, F.lit(False)
+    for res in sorted(held):
+        cells = wanted.filter(F.col("res") == res).select(F.col("cell").alias(f"_cell_{res}"))
+        marked = marked.join(F.broadcast(cells), codec.at_resolution(F.col(code), res) == F.col(f"_cell_{res}"), "left")
+        hit = hit | F.col(f"_cell_{res}").isNotNull()
+    return marked.filter(hit if inside else ~hit).select(*points.columns)
 
 
 def semi_join(points: DataFrame, coverage: DataFrame, code: str = "hh", low: int = 2, high: int = 32) -> DataFrame:
     """Points in any shape, each row once; only cells of resolutions low to high count."""
-    return points.join(_matched(points, coverage, code, low, high), F.col(code) == F.col("_code"), "left_semi")
+    return _filtered(points, coverage, code, low, high, True)
 
 
 def anti_join(points: DataFrame, coverage: DataFrame, code: str = "hh", low: int = 2, high: int = 32) -> DataFrame:
     """Points in no shape."""
-    return points.join(_matched(points, coverage, code, low, high), F.col(code) == F.col("_code"), "left_anti")
+    return _filtered(points, coverage, code, low, high, False)
 
 
 def has_cell(coverage: DataFrame, cells: DataFrame) -> DataFrame:

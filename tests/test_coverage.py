@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quadrille import cover_cli
 from quadrille.functions import codec
 from quadrille.operators import bloom, cover, expressions, match, render
 from quadrille.operators import coverage as cov
@@ -125,3 +126,24 @@ def test_bloom_query_holds_all_events(spark, sf_dir):
     assert own <= {h[:6] for h, m in member.items() if m}
     others = [m for h, m in member.items() if h[:6] not in own]
     assert len(others) > len(own) and sum(others) < 0.1 * len(others)
+
+
+def test_large_coverages_are_shuffled_to_the_same_rows(spark, monkeypatch):
+    points = spark.range(300).select("id", (F.xxhash64("id")).alias("hh"))
+    wanted = points.filter("id < 40").select(F.lit("a").alias("shape_id"), F.when(F.col("id") % 2 == 0, 4).otherwise(8).alias("res"), "hh")
+    cells = cov.align(wanted.withColumnRenamed("hh", "cell"))
+    small = [sorted(r["id"] for r in f(points, cells).collect()) for f in (match.semi_join, match.anti_join)]
+    assert "Exchange hashpartitioning(hh" not in match.semi_join(points, cells)._jdf.queryExecution().toString()
+    monkeypatch.setattr(match, "BROADCAST_CELLS", 3)
+    assert [sorted(r["id"] for r in f(points, cells).collect()) for f in (match.semi_join, match.anti_join)] == small
+    assert sorted(small[0] + small[1]) == list(range(300)) and len(small[0]) >= 40
+    assert match.semi_join(points, cells.limit(0)).count() == 0 and match.anti_join(points, cells.limit(0)).count() == 300
+
+
+def test_rectangles_to_take_away_are_no_options(spark, tmp_path):
+    assert cover_cli.main(["--out", f"{tmp_path}/x", "-r", "6", "+rect:0:0,20:20", "-rect:0:0,5:5"]) == 0
+    got = {r["value"] for r in spark.read.text(f"{tmp_path}/x").collect()}
+    assert cover_cli.main(["--out", f"{tmp_path}/y", "--res", "6", "+rect:0:0,20:20"]) == 0
+    whole = expressions.read_lines(spark, f"{tmp_path}/y")
+    taken = match.has_cell(cov.normalize(whole, 8), cov.normalize(expressions.read_lines(spark, f"{tmp_path}/x"), 8).select("res", "cell"))
+    assert 0 < taken.count() < cov.normalize(whole, 8).count() and got
