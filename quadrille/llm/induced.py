@@ -7,8 +7,8 @@ that are put in are never below the one taken out, and equal first symbols keep
 arrival. What a queue holds beyond `memory` bytes goes to a file as a run, sorted by symbol, and each run is read
 once from its start. What a pass took out is written to a file as well, which the second pass reads backwards.
 
-LMS suffixes are sorted by naming their substrings, sorted by the same two passes, and sorting
-the shorter text of names by another round of induction, until all names differ.
+LMS suffixes are sorted by naming their substrings, which are a few symbols long and sorted by those, and by sorting the shorter
+text of names by another round of induction, until all names differ.
 
 The text of bytes has few symbols: what waits under one of them is taken out in batches of numpy work. There
 every suffix carries the length of its common prefix with its neighbour, capped at `cap`: what
@@ -32,6 +32,9 @@ import numpy as np
 BLOCK = 1 << 18
 #: Bytes that a suffix waiting in a list takes.
 LISTED = 48
+#: Symbols of a substring that are compared at once, at least.
+STEP = 4
+SEVEN = 7
 #: What waits under a symbol is worked on as an array from this many on.
 FEW = 64
 ENTRY = np.dtype([("at", "<i8"), ("lcp", "<u2")])
@@ -58,6 +61,12 @@ def on_disk(n: int, kind: str) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,)).view(np.ndarray) if n else np.zeros(0, kind)
 
 
+def order_on_disk(places: np.ndarray) -> np.ndarray:
+    out = on_disk(len(places), "<i8")
+    out[:] = places
+    return out
+
+
 def blocks(n: int) -> Iterator[tuple[int, int]]:
     for at in range(0, n, BLOCK):
         yield at, min(n, at + BLOCK)
@@ -185,10 +194,6 @@ class Induction:
             places.add(np.flatnonzero(self.s[max(a, 1) : b] & ~self.s[max(a, 1) - 1 : b - 1]) + max(a, 1))
         self.lms = places.array()
 
-    def lms_in(self, at: np.ndarray) -> np.ndarray:
-        """Which of the S suffixes are LMS."""
-        return (at > 0) & ~self.s[at - 1]
-
     def name(self, order: np.ndarray) -> tuple[np.ndarray, int]:
         """The name of each LMS substring, in text order, and how many there are; order: LMS places by their substrings."""
         text, m = self.text, len(self.lms)
@@ -226,11 +231,36 @@ class Induction:
             out[a:b] = self.lms[order[a:b]]
         return out
 
-    def by_first(self) -> np.ndarray:
-        """LMS places by their first symbol only."""
-        out = on_disk(len(self.lms), "<i8")
-        out[:] = self.lms[np.argsort(self.text[self.lms], kind="stable")]
-        return out
+    def lms_by_substring(self) -> np.ndarray:
+        """LMS places by their substrings, a few symbols with their types at once, packed into numbers; those that agree in them go on."""
+        m, bits = len(self.lms), (2 * self.top + 2).bit_length()
+        packed = max(1, 62 // bits)
+        step = packed * max(1, -(-STEP // packed))
+        length = np.append(np.diff(self.lms), 0)
+        order, group = np.arange(m), np.zeros(m, np.int64)
+        live, k = np.arange(m), 0
+        while len(live):
+            at, rest = self.lms[order[live]] + k, length[order[live]] - k
+            keys = []
+            for j in range(step):
+                inside = rest >= j  # the next LMS symbol belongs to it
+                here = np.where(inside, at + j, 0)
+                symbol = np.where(inside, 2 * self.text[here].astype(np.int64) + self.s[here] + 1, 0)
+                if j % packed:
+                    keys[-1] = keys[-1] << bits | symbol
+                else:
+                    keys.append(symbol)
+            by = np.lexsort((*keys[::-1], group[live])) if k or len(keys) > 1 else np.argsort(keys[0], kind="stable")
+            order[live], rest = order[live][by], rest[by]
+            new = group[live] != np.concatenate([[-1], group[live][:-1]])
+            for key in keys:
+                key = key[by]
+                new[1:] |= key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(live)))
+            group[live] = np.repeat(live[first], sizes)
+            live, k = live[(np.repeat(sizes, sizes) > 1) & (rest >= step)], k + step
+        return order_on_disk(self.lms[order])
 
 
 class Names(Induction):
@@ -238,7 +268,7 @@ class Names(Induction):
 
     def __init__(self, text: np.ndarray, count: int, memory: int, spent: dict[str, int]) -> None:
         super().__init__(text, memory, spent)
-        self.count = count
+        self.count, self.top = count, count - 1
 
     def passes(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """L suffixes in order, and S suffixes in reverse but for the last symbol, from the LMS suffixes in order."""
@@ -320,15 +350,6 @@ class Names(Induction):
             found[1:] += np.bincount(self.text[places[a:b]], minlength=self.count)
         return np.cumsum(found).tolist()
 
-    def lms_by_substring(self) -> np.ndarray:
-        _, smaller = self.passes(self.by_first())
-        out = Tape("<i8")
-        out.add(self.lms[-1:])  # the last symbol is never put in: it comes first
-        for a, b in blocks(len(smaller)):
-            at = smaller[len(smaller) - b : len(smaller) - a][::-1]
-            out.add(at[self.lms_in(at)])
-        return out.array()
-
     def order(self) -> np.ndarray:
         """All suffixes in order."""
         larger, smaller = self.passes(self.sorted_lms())
@@ -351,6 +372,7 @@ class Bytes(Induction):
         super().__init__(text, memory, spent)
         self.cap = cap
         self.symbols = np.unique(np.concatenate([np.unique(text[a:b]) for a, b in blocks(self.n)]))
+        self.top = int(self.symbols[-1])
 
     def run(self, i: int) -> int:
         """How often the symbol at a place is repeated from there on, capped."""
@@ -382,7 +404,7 @@ class Bytes(Induction):
             rest = lcp[idx[-1] + 1 :]
             passed[symbol] = int(rest.min()) if len(rest) else self.cap
 
-    def passes(self, seeds: np.ndarray, seed_lcp: np.ndarray | None) -> tuple[tuple, tuple]:
+    def passes(self, seeds: np.ndarray, seed_lcp: np.ndarray) -> tuple[tuple, tuple]:
         """L suffixes in order, and S suffixes in reverse, as entries and where each symbol's begin and end, from the LMS suffixes in order."""
         first = self.text[seeds]
         ends = np.searchsorted(first, self.symbols, side="right")
@@ -396,7 +418,7 @@ class Bytes(Induction):
                 self.serve_split(queue, at, lcp, False, passed)
             larger_of[symbol] = (begin, tape.n)
             if a < b:
-                lcp = seed_lcp[a:b].copy() if seed_lcp is not None else np.zeros(b - a, np.uint16)
+                lcp = seed_lcp[a:b].copy()
                 lcp[0] = min(self.run(queue.last[symbol]), self.run(int(seeds[a]))) if symbol in queue.last else 0
                 self.serve_split(queue, seeds[a:b], lcp, False, passed)
         self.spent["runs"] += len(queue.runs)
@@ -429,18 +451,12 @@ class Bytes(Induction):
         for a, b in blocks(len(at)):
             self.serve(queue, at[a:b], lcp[a:b], want_s, passed)
 
-    def lms_by_substring(self) -> np.ndarray:
-        _, (smaller, _) = self.passes(self.by_first(), None)
-        out = Tape("<i8")
-        out.add(self.lms[-1:])  # the last symbol is never put in: it comes first
-        for a, b in blocks(len(smaller)):
-            at = smaller["at"][len(smaller) - b : len(smaller) - a][::-1]
-            out.add(at[self.lms_in(at)])
-        return out.array()
-
     def prefixes(self, seeds: np.ndarray) -> np.ndarray:
-        """Common prefixes of neighbours among the LMS suffixes, four symbols a step. The text has cap + 8 symbols behind its end."""
-        four = np.ndarray((self.n + self.cap + 4,), "<u8", buffer=self.padded.data, strides=(2,))
+        """Common prefixes of neighbours among the LMS suffixes, SEVEN symbols of nine bits a step. The text has cap + 8 symbols behind its end."""
+        many = on_disk(self.n + self.cap + 1, "<u8")
+        for a, b in blocks(len(many)):
+            for j in range(SEVEN):
+                many[a:b] |= self.padded[a + j : b + j].astype(np.uint64) << np.uint64(9 * j)
         out = on_disk(len(seeds), "<u2")
         for lo, hi in blocks(len(seeds)):
             at = seeds[lo:hi]
@@ -449,12 +465,13 @@ class Bytes(Induction):
             live = np.arange(0 if lo else 1, len(at))
             a, b, k = before[live], at[live], 0
             while len(live) and k < self.cap:
-                apart = four[a + k] ^ four[b + k]
-                low = apart & (~apart + np.uint64(1))
-                zeros = np.where(apart == 0, 64, np.bitwise_count(low - np.uint64(1)))
-                found[live] += (zeros // 16).astype(np.uint16)
+                apart = many[a + k] ^ many[b + k]
                 on = apart == 0
-                live, a, b, k = live[on], a[on], b[on], k + 4
+                ended = apart[~on]
+                low = ended & (~ended + np.uint64(1))
+                found[live[~on]] = k + np.bitwise_count(low - np.uint64(1)) // 9
+                live, a, b, k = live[on], a[on], b[on], k + SEVEN
+            found[live] = self.cap
             out[lo:hi] = np.minimum(found, self.cap)
         return out
 
