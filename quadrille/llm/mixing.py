@@ -3,7 +3,7 @@
 Each source gets a target number of words. Every document of a source is expected
 target / source_size times; the expected copies are summed up along a fixed order of the
 source's documents, one offset in [0, 1) is added, and a document is emitted once for each
-integer that the running sum crosses at it. The order goes by size, so that documents of each
+integer that the running sum crosses at it. The order goes by size class, up and down in turns inside of them, so that documents of each
 size are sampled at the source's rate and the words taken come near the target: they miss it by
 half of the source's longest document at most, about.
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
         counts.join(classes.select(*group, "first"), group).join(targets, ["none", "source"])
         .select(*group, "deal", "source_size", "target", "expected", "offset", ((F.col("first") + F.col("before")) * F.col("expected")).alias("sum_before"))
     )
-    inside = Window.partitionBy(*group, "deal").orderBy("size", "id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*group, "deal").orderBy(F.when(F.col("class") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = dealt.withColumn("rank", F.row_number().over(inside)).join(starts, [*group, "deal"])
     upto = F.col("sum_before") + F.col("rank") * F.col("expected") + F.col("offset")
     crossed = F.shiftright(upto, FRACTION_BITS) - F.shiftright(upto - F.col("expected"), FRACTION_BITS)

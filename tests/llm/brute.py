@@ -114,7 +114,8 @@ def drawn(rows, source_targets, offsets, unit):
     """rows: (source, size, id, hash) -> copies of each in order of source, size class, size, id, hash, by walking along the expected copies."""
     out = []
     for source, target in source_targets.items():
-        mine = sorted((r for r in rows if r[0] == source), key=lambda r: (int(np.floor(np.log2(r[1] + 1) * 4)), *r[1:]))
+        size_class = lambda r: int(np.floor(np.log2(r[1] + 1) * 4))
+        mine = sorted((r for r in rows if r[0] == source), key=lambda r: (size_class(r), r[1] * (-1) ** (size_class(r) % 2), *r[2:]))
         total = sum(r[1] for r in mine)
         step = min(3 * unit, round(target / total * unit)) if total else 0
         at = offsets[source]
