@@ -95,7 +95,12 @@ def look_up(rows: DataFrame, unique: DataFrame, key: str | list[str]) -> DataFra
     spread = F.xxhash64(F.monotonically_increasing_id()).cast(rows.schema[keys[0]].dataType)
     keyed = marked.withColumn("_at", F.when(F.col("_heavy").isNull(), F.col(keys[0])).otherwise(spread))
     others = values.select(F.col(keys[0]).alias("_at"), *keys[1:], "found")
-    return keyed.join(others, ["_at", *keys[1:]], "left").select(*rows.columns, F.coalesce("_heavy", "found").alias("found"))
+    return meet(keyed, others, ["_at", *keys[1:]], "left").select(*rows.columns, F.coalesce("_heavy", "found").alias("found"))
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the data: sorted and merged, neither is ever sent to the driver and broadcast."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:

@@ -14,7 +14,7 @@ Large groups: in each bucket (band and value) all members are first held against
 shares its buckets with most others. Of buckets that still hold several classes after that, shingles are counted: what a set shares
 with any other such member bounds its similarity to all of them, so a set with too many shingles of its own is done with.
 The others are held against the member with the fewest of its own, again one comparison for each. Only
-members that are in different classes then, and whose bounds allow a link, are paired with each other (see last_links); no link is lost by this.
+members that are in different classes then, and whose bounds allow a link, are paired with each other (see settled); no link is lost by this.
 
 Defined cases: null or white-space text has an empty set, one class; fewer words than a shingle: the
 whole sequence is the one shingle; repeated rows are copies; a null doc_id stays only where its class has no other; all columns are kept.
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash_dedup
-from quadrille.llm.common import columns, cut, key_of, look_up, map_arrow, stored, unused
-from quadrille.llm.components import components
+from quadrille.llm.common import columns, cut, key_of, look_up, map_arrow, meet, stored, unused
+from quadrille.llm.components import contracted, joined
 
 ROWS, BANDS = 8, 40
 #: Pairs that read one copy of a set.
@@ -65,8 +65,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) with both, how many shingles they share, and near, whether they are similar. A set that many pairs name is dealt out in copies."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPY).alias("copies"))
-    left = sets.join(copies, F.col("s") == F.col("a")).select("a", F.col("h").alias("h_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    right = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).join(sets.select(F.col("s").alias("b"), F.col("h").alias("h_b")), "b")
+    left = meet(sets.select(F.col("s").alias("a"), F.col("h").alias("h_a")), copies, "a").select("a", "h_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    right = meet(meet(pairs, copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies")), sets.select(F.col("s").alias("b"), F.col("h").alias("h_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +77,7 @@ def compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 near.append(both[-1] >= similar * max(len(x) + len(y) - both[-1], 1))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "both", "near"])
 
-    return cut(map_arrow(right.join(left, ["a", "copy"]).select("a", "b", "h_a", "h_b"), compare, "a string, b string, both long, near boolean"))
+    return cut(map_arrow(meet(right, left, ["a", "copy"]).select("a", "b", "h_a", "h_b"), compare, "a string, b string, both long, near boolean"))
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -86,19 +86,19 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     same = look_up(nodes.select("s", "fp"), firsts, "fp").select(F.col("found.first").alias("a"), F.col("s").alias("b")).filter("a <> b")
     linked = simhash_dedup.links(firsts.select("fp"))
     first = firsts.select(F.col("fp").alias("b"), F.col("first").alias("of_b"))
-    across = linked.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("of_a")), "a").join(first, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    across = meet(meet(linked, firsts.select(F.col("fp").alias("a"), F.col("first").alias("of_a")), "a"), first, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     return same.union(across)
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with label, the class that the links give them."""
-    return members.join(components(links).select(F.col("node").alias("s"), "label"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with label, their class or themselves."""
+    return meet(members, labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
 
 
 def of_several(members: DataFrame) -> DataFrame:
     """Members of buckets that hold several classes."""
     buckets = members.groupBy("band", "v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "v")
-    return members.join(buckets, ["band", "v"])
+    return meet(members, buckets, ["band", "v"])
 
 
 def with_common(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -110,31 +110,31 @@ def with_common(members: DataFrame, sets: DataFrame, similar: float) -> DataFram
             of = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(of, pa.int64())), pa.array(np.concatenate([*found, np.zeros(0, "<i8")]))], ["s", "g"])
 
-    each = stored(map_arrow(sets.join(members.select("s").distinct(), "s").select("s", "h"), spread, "s string, g long"))
+    each = stored(map_arrow(meet(sets, members.select("s").distinct(), "s").select("s", "h"), spread, "s string, g long"))
     shared = cut(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("yes", F.lit(True)))
     common = look_up(each, shared, "g").filter("found.yes").groupBy("s").agg(F.count(F.lit(1)).alias("common"))
-    return members.join(common, "s").filter(F.col("common") >= similar * F.col("n"))
+    return meet(members, common, "s").filter(F.col("common") >= similar * F.col("n"))
 
 
-def last_links(members: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links that are still to be found in buckets where the given ones leave several classes.
+def settled(members: DataFrame, labels: DataFrame, tried: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The classes (node, label) with the links that are still to be found in buckets which hold several of them.
 
     All members of a bucket are measured against the one with the fewest shingles of its own. With `both` shingles in that
     one, a set has at most common - both others that anything else has, so two sets x, y of the bucket share at most
     min(both x, both y) + min(common x - both x, common y - both y). Only where that can suffice they are compared.
     """
-    rest = cut(of_several(with_common(cut(of_several(labelled(members, links))), sets, similar)))
+    rest = cut(of_several(with_common(cut(of_several(labelled(members, labels))), sets, similar)))
     hubs = rest.groupBy("band", "v").agg(F.max(F.struct(F.col("common") / F.col("n"), "s")).alias("hub")).select("band", "v", F.col("hub.s").alias("a"))
-    placed = rest.select("band", "v", "s", "n", "common").join(hubs, ["band", "v"])
+    placed = meet(rest.select("band", "v", "s", "n", "common"), hubs, ["band", "v"])
     measured = compared(cut(placed.filter("a <> s").select("a", F.col("s").alias("b")).distinct()), sets, similar)
-    found = measured.filter("near").select("a", "b")
-    of_hub = placed.join(measured.select("a", F.col("b").alias("s"), "both"), ["a", "s"], "left").select("band", "v", "s", "n", "common", F.coalesce("both", "n").alias("both"))
-    x = cut(of_several(labelled(of_hub, links.union(found))))
+    labels = joined(labels, measured.filter("near"))
+    of_hub = meet(placed, measured.select("a", F.col("b").alias("s"), "both"), ["a", "s"], "left").select("band", "v", "s", "n", "common", F.coalesce("both", "n").alias("both"))
+    x = cut(of_several(labelled(of_hub, labels)))
     y = x.select("band", "v", *[F.col(c).alias(f"{c}_y") for c in ("s", "n", "common", "both", "label")])
     most = F.least("both", "both_y") + F.least(F.col("common") - F.col("both"), F.col("common_y") - F.col("both_y"))
     able = most >= similar * (F.col("n") + F.col("n_y") - most)
-    pairs = x.join(y, ["band", "v"]).filter((F.col("s") < F.col("s_y")) & (F.col("label") != F.col("label_y")) & able).select(F.col("s").alias("a"), F.col("s_y").alias("b")).distinct()
-    return found.union(compared(cut(pairs.join(tried, ["a", "b"], "left_anti")), sets, similar).filter("near").select("a", "b"))
+    pairs = meet(x, y, ["band", "v"]).filter((F.col("s") < F.col("s_y")) & (F.col("label") != F.col("label_y")) & able).select(F.col("s").alias("a"), F.col("s_y").alias("b")).distinct()
+    return joined(labels, compared(cut(meet(pairs, tried, ["a", "b"], "left_anti")), sets, similar).filter("near"))
 
 
 def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
@@ -161,21 +161,19 @@ def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     printed = cut(by_fingerprint(nodes))
     placed = nodes.select("s", "k", "n", F.posexplode("bands").alias("band", "v"))
     shared = placed.groupBy("band", "v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = cut(placed.join(shared, ["band", "v"]))
+    members = cut(meet(placed, shared, ["band", "v"]))
 
     central = members.groupBy("s").agg(F.sum("m").alias("reach"))
-    hubs = members.join(central, "s").groupBy("band", "v").agg(F.max(F.struct("reach", "s", "n")).alias("hub")).select("band", "v", F.col("hub.s").alias("a"), F.col("hub.n").alias("n_a"))
+    hubs = meet(members, central, "s").groupBy("band", "v").agg(F.max(F.struct("reach", "s", "n")).alias("hub")).select("band", "v", F.col("hub.s").alias("a"), F.col("hub.n").alias("n_a"))
     close = F.least("n_a", "n") >= similar * F.greatest("n_a", "n")
-    to_hub = members.join(hubs, ["band", "v"]).filter((F.col("a") != F.col("s")) & close).select("a", F.col("s").alias("b"))
+    to_hub = meet(members, hubs, ["band", "v"]).filter((F.col("a") != F.col("s")) & close).select("a", F.col("s").alias("b"))
     starred = cut(to_hub.union(printed).distinct())
     some = members.select("s").union(starred.select("a")).union(starred.select("b")).distinct()
-    named = nodes.select("k", "s").join(some, "s")
-    sets = cut(map_arrow(docs.select("k", "text").join(named, "k").select("s", "text"), spell, "s string, h binary").dropDuplicates(["s"]))
-    links = compared(starred, sets, similar).filter("near").select("a", "b")
+    named = meet(nodes.select("k", "s"), some, "s")
+    sets = cut(map_arrow(meet(docs.select("k", "text"), named, "k").select("s", "text"), spell, "s string, h binary").dropDuplicates(["s"]))
+    labels = cut(contracted(compared(starred, sets, similar).filter("near")))
     tried = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    every = links.union(last_links(members, links, tried, sets, similar))
-    labels = components(every).select(F.col("node").alias("s"), "label")
-    return stamped.join(labels, "s", "left").select("doc_id", "k", F.coalesce("label", "s").alias("label"))
+    return labelled(stamped, settled(members, labels, tried, sets, similar)).select("doc_id", "k", "label")
 
 
 def dedup(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
@@ -184,4 +182,4 @@ def dedup(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     keyed = docs.withColumn(key, key_of())
     classes = group(keyed.select("doc_id", F.col(key).alias("k"), F.col("text").cast("string").alias("text")), words, similar)
     kept = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("kept")).select(F.col("kept.k").alias(key))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns(docs))
+    return meet(keyed, kept, key, "left_semi").dropDuplicates([key]).select(*columns(docs))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quadrille.llm.common import columns, cut, key_of, map_arrow, unused
+from quadrille.llm.common import columns, cut, key_of, map_arrow, meet, unused
 from quadrille.llm.components import components
 
 HALF = 32
@@ -90,7 +90,7 @@ def links(fps: DataFrame, pairs_up_to: int = 256) -> DataFrame:
     masked = F.col("half").bitwiseAND(F.bitwise_not(bit))
     zero = variants.filter(F.col("half").bitwiseAND(bit) == 0).select("k", "j", F.col("half").alias("low"), F.col("n").alias("n_low"), masked.alias("v"))
     one = variants.filter(F.col("half").bitwiseAND(bit) != 0).select("k", "j", F.col("half").alias("high"), F.col("n").alias("n_high"), masked.alias("v"))
-    apart = zero.join(one, ["k", "j", "v"]).select("k", "low", "high", (F.col("n_low") + F.col("n_high")).alias("n"))
+    apart = meet(zero, one, ["k", "j", "v"]).select("k", "low", "high", (F.col("n_low") + F.col("n_high")).alias("n"))
     # a group: the half values whose fingerprints may be linked, and the bits left for the other half
     alike = counted.filter("n > 1").select("k", F.col("half").alias("low"), F.col("half").alias("high"), "n")
     groups = cut(alike.unionByName(apart))
@@ -98,17 +98,17 @@ def links(fps: DataFrame, pairs_up_to: int = 256) -> DataFrame:
     left, right = members.select("k", F.col("half").alias("low"), F.col("fp").alias("a")), members.select("k", F.col("half").alias("high"), F.col("fp").alias("b"))
     small = groups.filter(F.col("n") <= pairs_up_to)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    paired = small.join(left, ["k", "low"]).join(right, ["k", "high"]).filter(((F.col("low") != F.col("high")) | (F.col("a") < F.col("b"))) & near)
+    paired = meet(meet(small, left, ["k", "low"]), right, ["k", "high"]).filter(((F.col("low") != F.col("high")) | (F.col("a") < F.col("b"))) & near)
 
     large = groups.filter(F.col("n") > pairs_up_to)
     sides = large.select("k", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("half"))
     one_bit = [~(1 << i) & MASK for i in range(HALF)]
     two_bits = [~(1 << i | 1 << j) & MASK for i in range(HALF) for j in range(i)]
     wild = F.when(F.col("low") == F.col("high"), F.array(*map(F.lit, two_bits)).cast("array<bigint>")).otherwise(F.array(*map(F.lit, one_bit)).cast("array<bigint>"))
-    masks = sides.join(members, ["k", "half"]).withColumn("mask", F.explode(wild))
+    masks = meet(sides, members, ["k", "half"]).withColumn("mask", F.explode(wild))
     keyed = masks.select("k", "low", "high", "mask", F.col("rest").bitwiseAND(F.col("mask")).alias("v"), "fp")
     least = keyed.groupBy("k", "low", "high", "mask", "v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    starred = keyed.join(least, ["k", "low", "high", "mask", "v"]).select("a", F.col("fp").alias("b")).filter("a <> b")
+    starred = meet(keyed, least, ["k", "low", "high", "mask", "v"]).select("a", F.col("fp").alias("b")).filter("a <> b")
     return paired.select("a", "b").union(starred).distinct()
 
 
@@ -117,9 +117,9 @@ def group(docs: DataFrame, words: int = 3, pairs_up_to: int = 256, carry: tuple[
     stamped = cut(with_fingerprint(docs, words, carry))
     fps = cut(stamped.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(links(fps.select("fp"), pairs_up_to))
-    classes = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    classes = meet(fps, labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return stamped.join(classes.select("fp", "label").join(ids, "label").select("fp", "component_id"), "fp").select(*carry, "fp", "component_id")
+    return meet(stamped, meet(classes.select("fp", "label"), ids, "label").select("fp", "component_id"), "fp").select(*carry, "fp", "component_id")
 
 
 def dedup(docs: DataFrame, words: int = 3, pairs_up_to: int = 256) -> DataFrame:
