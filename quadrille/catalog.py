@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution
+from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution, sql_names
 from quadrille.operators import bloom, centroid, cover, descend, expressions, match, render
 from quadrille.operators import coverage as cov
 from quadrille.operators.graph import saved
 from quadrille.sources import points as sources
+from quadrille.sources import wkt
 from quadrille.streaming import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,6 +255,20 @@ def codes_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    sql_with(SQL_POINTS) + f"""SELECT event_id, hex, substr(hex, 1, 6) AS cell, round(y * (180e0/4294967296) - 90, 6) AS lat, round(x * (360e0/4294967296) - 180, 6) AS lon,
+    round(degrees(2 * asin(least(1e0, sqrt(pow(sin((radians({_PARIS[0]}e0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians({_PARIS[0]}e0)) * pow(sin(radians({_PARIS[1]}e0 - lon) / 2), 2))))) * 111120e0, 2) AS metres FROM pts"""
+)
+def functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's functions called by their names in SQL."""
+    sql_names.register(spark)
+    coded = points(spark, sf_dir).selectExpr("event_id", "lat", "lon", "grid_code(lat, lon) as code")
+    return coded.selectExpr(
+        "event_id", "grid_hex(code, 32) as hex", "grid_hex(grid_cell(code, 12), 12) as cell", "round(grid_lat(code), 6) as lat", "round(grid_lon(code), 6) as lon",
+        f"round(grid_metres(lat, lon, {_PARIS[0]}D, {_PARIS[1]}D), 2) as metres",
+    )
+
+
 # --- roll-ups ------------------------------------------------------------------------------------
 
 
@@ -262,6 +277,11 @@ def density_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid.density_by_levels(points(spark, sf_dir), 12)
 
 
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, CAST(n AS BIGINT)) AS hex, count(DISTINCT user_id) AS documents FROM pts, range(1, 7) r(n) GROUP BY 1")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid.document_frequency(points(spark, sf_dir), "user_id")
+
+
 @query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, 1) AS a, substr(hex, 2, 1) AS b, count(*) AS points FROM pts GROUP BY ROLLUP (1, 2)")
 def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select(F.substring("hex", 1, 1).alias("a"), F.substring("hex", 2, 1).alias("b")).rollup("a", "b").agg(F.count(F.lit(1)).alias("points"))
@@ -538,6 +558,34 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.clusters(seen(spark, sf_dir, 8)).select("shape_id", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "cluster")
 
 
+@query(
+    sql_with(SQL_POINTS, SQL_SEEN, f"corners AS (SELECT shape_id, hex, {sql_cell('hex')} FROM seen)",
+             "links AS (SELECT a.shape_id, a.hex AS a, b.hex AS b FROM corners a JOIN corners b ON a.shape_id = b.shape_id AND abs(a.cy - b.cy) + abs(a.cx - b.cx) = 268435456)",
+             "reach AS (SELECT shape_id, hex, hex AS label FROM seen UNION SELECT l.shape_id, l.b, r.label FROM reach r JOIN links l ON l.shape_id = r.shape_id AND l.a = r.hex)")
+    + "SELECT shape_id, hex, min(label) AS cluster FROM reach GROUP BY 1, 2"
+)
+def clusters_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.clusters(seen(spark, sf_dir)).select("shape_id", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "cluster")
+
+
+_SEEN_6 = "seen6 AS (SELECT DISTINCT event_type AS shape_id, y >> 26 AS cy, x >> 26 AS cx FROM pts)"
+
+
+@query(
+    sql_with(SQL_POINTS, _SEEN_6, "sides AS (SELECT shape_id, cy + dy AS y, cx + dx AS x, vertical, way FROM seen6, (VALUES (0, 0, false, 1), (1, 0, false, -1), (0, 1, true, 1), (0, 0, true, -1)) s(dy, dx, vertical, way))")
+    + "SELECT shape_id, y * 67108864 AS y, x * 67108864 AS x, vertical, CAST(sum(way) AS BIGINT) AS way FROM sides GROUP BY ALL HAVING sum(way) <> 0"
+)
+def rim_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of cells that bound what each event type has seen."""
+    return render.rim(seen(spark, sf_dir, 6)).select("shape_id", "y", "x", "vertical", "way")
+
+
+@query(sql_with(SQL_POINTS, _SEEN_6) + "SELECT shape_id, round(count(*) * 2.8125e0 * 5.625e0, 4) AS area FROM seen6 GROUP BY 1")
+def outline_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings with their holes taken off enclose as much as the cells cover."""
+    return render.envelope(seen(spark, sf_dir, 6)).groupBy("shape_id").agg(F.round(F.sum("area"), 4).alias("area"))
+
+
 @query()
 def envelope_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.envelope(seen(spark, sf_dir, 6)).select("shape_id", "ring", "outer", F.round("area", 6).alias("area"), F.size("points").alias("corners"))
@@ -548,7 +596,15 @@ def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.geojson(seen(spark, sf_dir, 6))
 
 
-@query()
+_CORNER = "(cx + {x} * 268435456) * (360e0/4294967296) - 180 || ',' || ((cy + {y} * 268435456) * (180e0/4294967296) - 90)"
+_CORNERS = " || ' ' || ".join(f"({_CORNER.format(y=y, x=x).replace(' - 180 ||', ' - 180) ||', 1)}" for y, x in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0)))
+
+
+@query(
+    sql_with(SQL_POINTS, SQL_SEEN, f"corners AS (SELECT shape_id, hex, {sql_cell('hex')} FROM seen)",
+             "marks AS (SELECT shape_id, hex, '<Placemark><name>' || hex || '</name><Polygon><outerBoundaryIs><LinearRing><coordinates>' || " + _CORNERS + " || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>' AS kml FROM corners)")
+    + f"SELECT shape_id, '{render.HEAD}' || string_agg(kml, '' ORDER BY hex) || '{render.TAIL}' AS kml FROM marks GROUP BY 1"
+)
 def kml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.kml_document(render.kml_cells(seen(spark, sf_dir)))
 
@@ -587,6 +643,71 @@ def line_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hex(cover.lines(pairs.filter("y2 is not null"))).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
 
 
+@query(
+    sql_with(
+        SQL_POINTS,
+        "ways AS (SELECT user_id, y AS y1, x AS x1, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
+        "axes AS (SELECT *, abs(y2 - y1) > abs(x2 - x1) AS steep FROM ways WHERE y2 IS NOT NULL)",
+        "ends AS (SELECT user_id, steep, CASE WHEN steep THEN y1 ELSE x1 END AS p1, CASE WHEN steep THEN x1 ELSE y1 END AS q1, CASE WHEN steep THEN y2 ELSE x2 END AS p2, CASE WHEN steep THEN x2 ELSE y2 END AS q2 FROM axes)",
+        "ahead AS (SELECT user_id, steep, least(p1, p2) AS ap, CASE WHEN p1 <= p2 THEN q1 ELSE q2 END AS aq, greatest(p1, p2) AS bp, CASE WHEN p1 <= p2 THEN q2 ELSE q1 END AS bq FROM ends)",
+        "steps AS (SELECT *, unnest(range(ap >> 26, (bp >> 26) + 1)) * 67108864 AS p FROM ahead)",
+        "places AS (SELECT user_id, steep, p, aq + CASE WHEN bp = ap THEN 0 ELSE CAST(trunc((greatest(p, ap) - ap) * (CAST(bq - aq AS DOUBLE) / CAST(bp - ap AS DOUBLE))) AS BIGINT) END AS q FROM steps)",
+        f"met AS (SELECT DISTINCT user_id, {sql_hex(digits=3)} AS hex FROM (SELECT user_id, CASE WHEN steep THEN p ELSE q END AS y, CASE WHEN steep THEN q ELSE p END AS x FROM places))",
+    )
+    + "SELECT hex, count(*) AS users FROM met GROUP BY 1"
+)
+def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells on the way through each user's events, one for each step along the longer axis."""
+    vertex = F.struct("ts", "event_id", F.struct(codec.y_of(F.col("hh")).alias("y"), codec.x_of(F.col("hh")).alias("x")).alias("v"))
+    ways = points(spark, sf_dir).filter("user_id is not null").groupBy(F.col("user_id").cast("string").alias("shape_id"), F.lit(6).alias("res")).agg(F.array_sort(F.collect_list(vertex)).alias("_w"))
+    paths = ways.select("shape_id", "res", F.transform("_w", lambda w: w["v"]).alias("vertices"))
+    return as_hex(cover.polylines(paths, stepped=True)).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
+
+
+_SITE = "((s_suppkey * 7919) % 150001) / 1e3 - 75e0 AS lat, ((s_suppkey * 104729) % 340000) / 1e3 - 170e0 AS lon"
+
+
+@query(
+    f"WITH sites AS (SELECT s_suppkey, {_SITE} FROM supplier), "
+    "boxes AS (SELECT s_suppkey, " + ", ".join(f"CAST(floor(({v} + {half}) / ({2 * half}e0 / 4294967296)) AS BIGINT) >> 24 AS {c}" for v, half, c in (("lat", 90, "y0"), ("lat + 2.5e0", 90, "y1"), ("lon", 180, "x0"), ("lon + 4.5e0", 180, "x1"))) + " FROM sites), "
+    "grid_rows AS (SELECT s_suppkey, x0, x1, unnest(range(y0, y1 + 1)) << 24 AS y FROM boxes), grid AS (SELECT s_suppkey, y, unnest(range(x0, x1 + 1)) << 24 AS x FROM grid_rows) "
+    f"SELECT CAST(s_suppkey AS VARCHAR) AS shape_id, {sql_hex(digits=4)} AS hex FROM grid"
+)
+def shapes_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An area around each supplier, its text made and read on Spark."""
+    lat, lon = "(s_suppkey * 7919 % 150001) / 1e3D - 75D", "(s_suppkey * 104729 % 340000) / 1e3D - 170D"
+    text = f"concat('rect:', {lat}, ':', {lon}, ',', {lat} + 2.5D, ':', {lon} + 4.5D) as def"
+    return as_hex(cover.from_table(spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as shape_id", text, "8 as res")))
+
+
+_GEOMETRY = "MULTIPOLYGON (((0 0, 90 0, 90 45, 0 45, 0 0), (22.5 11.25, 45 11.25, 45 22.5, 22.5 22.5, 22.5 11.25)), ((-90 -45, -45 -45, -45 -22.5, -90 -22.5, -90 -45)))"
+_IN_GEOMETRY = (
+    "SELECT event_id FROM pts WHERE (y >= 2147483648 AND y < 3221225472 AND x >= 2147483648 AND x < 3221225472 AND NOT (y >= 2415919104 AND y < 2684354560 AND x >= 2415919104 AND x < 2684354560)) "
+    "OR (y >= 1073741824 AND y < 1610612736 AND x >= 1073741824 AND x < 1610612736)"
+)
+
+
+def geometry(spark: SparkSession) -> DataFrame:
+    return wkt.geometry_rings(spark.createDataFrame([("framed", _GEOMETRY)], "shape_id string, wkt string"))
+
+
+@query(sql_with(SQL_POINTS) + _IN_GEOMETRY)
+def wkt_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two polygons, one with a hole."""
+    return match.semi_join(points(spark, sf_dir), descend.shape(geometry(spark), 12)).select("event_id")
+
+
+@query(sql_with(SQL_POINTS) + _IN_GEOMETRY)
+def shape_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cells chosen by the error allowed; the borders lie on those of its cells."""
+    return match.semi_join(points(spark, sf_dir), descend.shape_for_error(geometry(spark), 0.05)).select("event_id")
+
+
+@query(sql_with(SQL_POINTS) + _IN_GEOMETRY)
+def uniform_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.semi_join(points(spark, sf_dir), descend.uniform_shape_for_error(geometry(spark), 0.05)).select("event_id")
+
+
 @query()
 def geometry_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = [(3400000000, 1700000000), (3400000000, 2900000000), (2600000000, 2900000000), (2600000000, 1700000000)]
@@ -636,7 +757,10 @@ def geohash_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geohash.merge_siblings(points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 2).alias("geohash")).distinct())
 
 
-@query()
+@query(
+    sql_with(SQL_POINTS, f"named AS (SELECT DISTINCT substr({_SQL_GEOHASH}, 1, 3) AS geohash, y >> 25 AS gy, x >> 24 AS gx FROM pts)")
+    + f"SELECT geohash, {sql_hex(digits=4)} AS hex FROM (SELECT geohash, (gy * 2 + d) << 24 AS y, gx << 24 AS x FROM named, range(2) r(d))"
+)
 def geohash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     # saved: else the filter on decoded cells is pushed below the distinct and spells encoding out once for each use
     hashes = saved(points(spark, sf_dir).select(F.substring(geohash.encode(F.col("hh")), 1, 3).alias("geohash")).distinct())

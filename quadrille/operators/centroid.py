@@ -46,3 +46,10 @@ def density_by_levels(points: DataFrame, res: int, code: str = "hh") -> DataFram
     finest = density(points, res, code).withColumnRenamed("hex", "_h")
     digits = F.explode(F.sequence(F.lit(1), F.lit(res // 2)))
     return finest.withColumn("_n", digits).groupBy(F.substring(F.col("_h"), F.lit(1), F.col("_n")).alias("hex")).agg(F.sum("points").alias("points"))
+
+
+def document_frequency(points: DataFrame, document: str, finest: int = 12, code: str = "hh") -> DataFrame:
+    """(hex, documents): for each cell up to `finest`, how many documents have a point in it. Each pair of cell and document is made one before it is counted."""
+    digits = codec.to_hex(F.col(code))
+    terms = points.select(F.col(document).alias("_d"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(finest // 2)), lambda n: F.substring(digits, F.lit(1), n))).alias("hex"))
+    return terms.groupBy("hex").agg(F.count_distinct("_d").alias("documents"))

@@ -7,14 +7,19 @@ shape is, so many shapes are covered in parallel; work grows with the cells on a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec, resolution
 from quadrille.operators.graph import saved
 from quadrille.plans import areas
+from quadrille.shipping import ship
 
 COVERAGE = "shape_id string, res int, cell bigint"
+RINGS = "shape_id string, res int, ring array<struct<y: bigint, x: bigint>>"
 
 
 def _cell(y: Column, x: Column, res: Column | int) -> Column:
@@ -105,12 +110,25 @@ def lines(segments: DataFrame) -> DataFrame:
     return runs.select("shape_id", F.col("res").cast("int").alias("res"), _cell(F.col("_y"), F.col("_x"), F.col("res")).alias("cell")).distinct()
 
 
-def polylines(paths: DataFrame) -> DataFrame:
-    """(shape_id, res, vertices array<struct<y, x>>) -> coverage of the segments between them."""
+def stepped_lines(segments: DataFrame) -> DataFrame:
+    """(shape_id, res, y1, x1, y2, x2) in units -> coverage: one cell for each step along the longer axis, the one that the segment is in where the step begins."""
+    step, low = "shiftleft(1L, 32 - res)", "-shiftleft(1L, 32 - res)"
+    axes = segments.withColumn("_steep", F.expr("abs(y2 - y1) > abs(x2 - x1)")).select(
+        "shape_id", "res", "_steep", *[F.expr(f"if(_steep, {a}, {b})").alias(c) for a, b, c in (("y1", "x1", "p1"), ("x1", "y1", "q1"), ("y2", "x2", "p2"), ("x2", "y2", "q2"))]
+    )
+    ahead = axes.selectExpr("shape_id", "res", "_steep", "least(p1, p2) as ap", "if(p1 <= p2, q1, q2) as aq", "greatest(p1, p2) as bp", "if(p1 <= p2, q2, q1) as bq")
+    along = ahead.withColumn("_p", F.explode(F.expr(f"sequence(ap & {low}, bp, {step})")))
+    at = along.withColumn("_q", F.expr("aq + if(bp = ap, 0L, cast((greatest(_p, ap) - ap) * (cast(bq - aq as double) / cast(bp - ap as double)) as bigint))"))
+    cell = _cell(F.expr("if(_steep, _p, _q)"), F.expr("if(_steep, _q, _p)"), F.col("res"))
+    return at.select("shape_id", F.col("res").cast("int").alias("res"), cell.alias("cell")).distinct()
+
+
+def polylines(paths: DataFrame, stepped: bool = False) -> DataFrame:
+    """(shape_id, res, vertices array<struct<y, x>>) -> coverage of the segments between them; stepped takes one cell a step only."""
     spread = paths.select("shape_id", "res", F.posexplode("vertices").alias("_k", "_v"))
     after = Window.partitionBy("shape_id", "res").orderBy("_k")
     pairs = spread.withColumn("_w", F.lead("_v").over(after)).filter("_w is not null")
-    return lines(pairs.select("shape_id", "res", F.col("_v.y").alias("y1"), F.col("_v.x").alias("x1"), F.col("_w.y").alias("y2"), F.col("_w.x").alias("x2"))).distinct()
+    return (stepped_lines if stepped else lines)(pairs.select("shape_id", "res", F.col("_v.y").alias("y1"), F.col("_v.x").alias("x1"), F.col("_w.y").alias("y2"), F.col("_w.x").alias("x2"))).distinct()
 
 
 def resample(paths: DataFrame) -> DataFrame:
@@ -123,14 +141,34 @@ def resample(paths: DataFrame) -> DataFrame:
     return kept.select("shape_id", "k", (codec.y_of(F.col("_cell")) + half).alias("y"), (codec.x_of(F.col("_cell")) + half).alias("x"))
 
 
+def _fit(ring: tuple[areas.Vertex, ...], res: int) -> int:
+    ys, xs = [y for y, _ in ring], [x for _, x in ring]
+    return res if res > 0 else resolution.for_polygon((min(ys), min(xs), max(ys), max(xs)), res)
+
+
 def _rings(spark: SparkSession, shapes: list[tuple[str, int, areas.Area]]) -> DataFrame:
-    rows = []
-    for shape_id, res, area in shapes:
-        for ring in area.polygons:
-            ys, xs = [y for y, _ in ring], [x for _, x in ring]
-            fit = res if res > 0 else resolution.for_polygon((min(ys), min(xs), max(ys), max(xs)), res)
-            rows.append((shape_id, fit, [(y, x) for y, x in ring]))
-    return spark.createDataFrame(rows, "shape_id string, res int, ring array<struct<y: bigint, x: bigint>>")
+    rows = [(shape_id, _fit(ring, res), list(ring)) for shape_id, res, area in shapes for ring in area.polygons]
+    return spark.createDataFrame(rows, RINGS)
+
+
+def rings_of(defs: DataFrame, text: str = "def") -> DataFrame:
+    """A table of areas (shape_id, text, res) -> a row (shape_id, res, ring) for each ring. Tasks read the text; what is null or no area has no ring."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for shape_id, area, res in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for ring in areas.parse_area(area or "").polygons:
+                    rows.append({"shape_id": shape_id, "res": _fit(ring, res or 0), "ring": [{"y": y, "x": x} for y, x in ring]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("shape_id", pa.string()), ("res", pa.int32()), ("ring", pa.list_(pa.struct([("y", pa.int64()), ("x", pa.int64())])))]))
+
+    ship(defs.sparkSession)
+    return defs.select(F.col("shape_id").cast("string"), F.col(text).cast("string"), F.col("res").cast("int")).mapInArrow(read, RINGS)
+
+
+def from_table(defs: DataFrame, text: str = "def") -> DataFrame:
+    """(shape_id, text, res) -> coverage of as many areas as there are rows; see definitions for res."""
+    return polygons(rings_of(defs, text))
 
 
 def definitions(spark: SparkSession, defs: list[tuple[str, str, int]]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions import codec
+from quadrille.functions import codec, measure, resolution
 from quadrille.operators import coverage as cov
 from quadrille.operators.graph import saved
 
@@ -52,14 +52,16 @@ def state(sides: Column, y: Column, x: Column, step: Column) -> Column:
     return F.when(touched, RIM).when(within, INSIDE).otherwise(OUT)
 
 
-def cover_geometry(rings: DataFrame, min_res: int = 2, max_res: int = 16, inside_only: bool = False, max_cells: int = 0) -> DataFrame:
+def cover_geometry(rings: DataFrame, min_res: int = 2, max_res: int = 16, inside_only: bool = False, max_cells: int = 0, limits: DataFrame | None = None, uniform: bool = False) -> DataFrame:
     """(shape_id, ring array<struct<y, x>>) -> coverage.
 
     A cell is taken where it lies inside and is min_res or finer, or where it meets the area at
     max_res, unless only cells inside are asked for. A negative max_res stands for so much finer than the
-    first level with a cell inside. A shape with more than max_cells cells has none.
+    first level with a cell inside. A shape with more than max_cells cells has none. limits (shape_id, limit) gives each shape
+    a max_res of its own; with uniform all cells have the resolution of the limit.
     """
-    shapes = saved(edges_of(rings).withColumn("limit", F.lit(max_res if max_res > 0 else 32)))
+    sides = edges_of(rings)
+    shapes = saved(sides.withColumn("limit", F.lit(max_res if max_res > 0 else 32)) if limits is None else sides.join(limits, "shape_id"))
     roots = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.call_function("shiftleft", k.cast("long"), F.lit(60)))
     frontier = shapes.select("shape_id", "limit", F.explode(roots).alias("cell"))
     taken = None
@@ -68,10 +70,10 @@ def cover_geometry(rings: DataFrame, min_res: int = 2, max_res: int = 16, inside
         y, x = codec.y_of(F.col("cell")).cast("double"), codec.x_of(F.col("cell")).cast("double")
         judged = frontier.join(shapes.select("shape_id", "sides"), "shape_id").select("shape_id", "limit", "cell", state(F.col("sides"), y, x, step).alias("state")).filter(F.col("state") != OUT)
         judged = saved(judged)
-        if max_res < 0:
+        if max_res < 0 and limits is None:
             first = judged.filter(F.col("state") == INSIDE).select("shape_id", F.lit(res - max_res).alias("_first")).distinct()
             judged = judged.join(first, "shape_id", "left").withColumn("limit", F.least("limit", F.coalesce("_first", F.lit(32)))).drop("_first")
-        inside = (F.col("state") == INSIDE) & (res >= min_res)
+        inside = (F.col("state") == INSIDE) & (F.col("limit") <= res if uniform else F.lit(res >= min_res))
         ended = (F.col("limit") <= res) & (~F.lit(inside_only) | (F.col("state") == INSIDE))
         here = judged.filter(inside | ended).select("shape_id", F.lit(res).alias("res"), "cell")
         taken = here if taken is None else taken.unionByName(here)
@@ -92,3 +94,20 @@ def shape(rings: DataFrame, res: int, inside_only: bool = False, max_cells: int
 
 def uniform_shape(rings: DataFrame, res: int, inside_only: bool = False, max_cells: int = 0) -> DataFrame:
     return cover_geometry(rings, res, res, inside_only, max_cells)
+
+
+def error_limits(rings: DataFrame, share: float) -> DataFrame:
+    """(shape_id, limit): the resolution whose cell diagonal fits a share of the diagonal of each shape's box (0.01 is 1 %)."""
+    v = rings.select("shape_id", F.explode("ring").alias("v"))
+    box = v.groupBy("shape_id").agg(F.min("v.y").alias("swy"), F.min("v.x").alias("swx"), F.max("v.y").alias("ney"), F.max("v.x").alias("nex"))
+    diagonal = measure.great_circle_degrees(codec.units_to_lat(F.col("swy")), codec.units_to_lon(F.col("swx")), codec.units_to_lat(F.col("ney")), codec.units_to_lon(F.col("nex")))
+    return box.select("shape_id", resolution.for_error_column(diagonal, share).alias("limit"))
+
+
+def shape_for_error(rings: DataFrame, share: float, inside_only: bool = False, max_cells: int = 0) -> DataFrame:
+    """As shape, at a resolution chosen for each shape by the error allowed."""
+    return cov.optimize(cover_geometry(rings, inside_only=inside_only, max_cells=max_cells, limits=error_limits(rings, share)))
+
+
+def uniform_shape_for_error(rings: DataFrame, share: float, inside_only: bool = False, max_cells: int = 0) -> DataFrame:
+    return cover_geometry(rings, inside_only=inside_only, max_cells=max_cells, limits=error_limits(rings, share), uniform=True)

@@ -46,6 +46,37 @@ def test_wkt_and_descent(spark):
     assert hexes(descend.cover_geometry(rings, 2, 14, inside_only=True)) and descend.cover_geometry(rings, 2, 14, max_cells=1).count() == 0
 
 
+def test_wkt_with_holes(spark):
+    rows = spark.createDataFrame(
+        [("h", "polygon((0 0, 20 0, 20 20, 0 20, 0 0),(5 5, 15 5, 15 15, 5 15))"), ("m", "MULTIPOLYGON(((0 0, 2 0, 2 2, 0 0)), ((9 9, 9 8, 8 8, 9 9)))"), ("p", "POINT(1 2)"), ("n", None), ("e", "POLYGON EMPTY")],
+        "shape_id string, wkt string",
+    )
+    rings = wkt.geometry_rings(rows)
+    assert sorted((r["shape_id"], len(r["ring"])) for r in rings.collect()) == [("h", 4), ("h", 4), ("m", 3), ("m", 3)]
+    limits = {r["shape_id"]: r["limit"] for r in descend.error_limits(rings, 0.1).collect()}
+    assert limits["h"] < limits["m"]  # the larger shape is allowed larger cells
+    assert {r["res"] for r in descend.uniform_shape_for_error(rings.filter("shape_id = 'h'"), 0.1).collect()} == {limits["h"]}
+
+
+def test_areas_from_a_table(spark):
+    texts = {"r": ("rect:0:0,5:5", 8), "c": ("circle:10:10:50000", 0), "p": ("path:48.0:-4.5:5000,45.0:5.0", 12), "bad": ("rect:1", 8), "none": (None, 8)}
+    defs = spark.createDataFrame([(k, t, r) for k, (t, r) in texts.items()], "shape_id string, def string, res int")
+    got = cover.from_table(defs)
+    want = cover.definitions(spark, [(k, t or "", r) for k, (t, r) in texts.items()])
+    rows = lambda df: {tuple(r) for r in df.select("shape_id", "res", "cell").collect()}
+    assert rows(got) == rows(want) and {r[0] for r in rows(got)} == {"r", "c", "p"}
+
+
+def test_stepped_line_is_a_thin_part_of_the_whole_line(spark):
+    ends = [("a", 8, 1 << 31, 1 << 31, 3 << 30, (1 << 31) + 12345), ("b", 8, 1 << 31, 3 << 30, 5 << 28, 1 << 29), ("dot", 8, 77, 99, 77, 99)]
+    segments = spark.createDataFrame(ends, "shape_id string, res int, y1 bigint, x1 bigint, y2 bigint, x2 bigint")
+    for name, _, y1, x1, y2, x2 in ends:
+        one = segments.filter(F.col("shape_id") == name)
+        steps = max(abs((y1 >> 24) - (y2 >> 24)), abs((x1 >> 24) - (x2 >> 24))) + 1
+        thin = hexes(cover.stepped_lines(one))
+        assert len(thin) == steps and len(thin - hexes(cover.lines(one))) <= 1  # the end itself may be left out there
+
+
 def test_command_line_and_text(spark, tmp_path):
     (tmp_path / "terms").write_text("+rect:0:0,10:10 -rect:0:0,5:5")
     cover_cli.main(["--out", str(tmp_path / "out"), "--kml", str(tmp_path / "kml"), "--res", "8", f"@{tmp_path / 'terms'}"])
