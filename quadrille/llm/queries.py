@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes
+from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, prefix_trie, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes
 from quadrille.llm.common import fresh_dir, table
 from quadrille.llm.labelled import held_out
 
@@ -84,6 +84,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.build(prefix_trie.keyed(prefix_trie.share_starts(seqs)))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_token_codes": op2_token_codes,
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_quality_trees": op8_quality_trees,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _CONTROL = r"[<\[]\\*(?:/?s>|/?INST\]|/?SYS\]|ANS\]|/?ROLE\]|SEP\]|/END\])"
