@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, prefix_trie, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes
+from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, prefix_trie, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes, toxic_crf
 from quadrille.llm.common import fresh_dir, table
 from quadrille.llm.labelled import held_out
 
@@ -84,6 +84,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxic_crf.tag(docs.select("doc_id", "text"), toxic_crf.fit(docs, table(spark, sf_dir, "labels")))
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", toxic_crf.held_out().alias("held_out"), "score", "predicted", told.alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
     return prefix_trie.build(prefix_trie.keyed(prefix_trie.share_starts(seqs)))
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_quality_trees": op8_quality_trees,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_toxic_crf": op11_toxic_crf,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
