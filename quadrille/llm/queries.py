@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, prefix_trie, quality_fm, quality_trees, secrets, sharding, simhash_dedup, token_codes, toxic_crf
+from quadrille.llm import chat_format, decontaminate, exact_substr, mixing, prefix_trie, quality_fm, quality_trees, secrets, sharding, simhash_dedup, spelling, token_codes, toxic_crf
 from quadrille.llm.common import fresh_dir, table
 from quadrille.llm.labelled import held_out
 
@@ -91,6 +91,10 @@ def op11_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxic_crf.held_out().alias("held_out"), "score", "predicted", told.alias("spans"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), modulus=97)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
     return prefix_trie.build(prefix_trie.keyed(prefix_trie.share_starts(seqs)))
@@ -108,6 +112,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
     "op11_toxic_crf": op11_toxic_crf,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
