@@ -35,7 +35,7 @@ from pyspark.sql.types import IntegerType
 from quadrille.llm.common import HEAVY, WORD, cut, map_arrow, meet
 
 #: Turns (and rows) a container may hold before it bursts.
-CAPACITY = 4096
+CAPACITY = 1024
 #: Ids whose text is one piece of what is hashed.
 PIECE = 1 << 16
 ID = 16
