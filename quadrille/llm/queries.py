@@ -125,6 +125,10 @@ def _escaped(column: str) -> str:
     return f"length({column}) + len(regexp_extract_all({column}, '{_CONTROL}'))"
 
 
+#: CRC-32 of the decimal conv_id before its last complement, bit by bit.
+_CRC32 = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": f"""
 WITH turns AS (
@@ -148,4 +152,22 @@ d AS (SELECT doc_id, n_bytes, array_to_string(list_transform(range(1, 33), lambd
 buckets AS (SELECT r.k AS k, substr(bits, 1, r.k) AS prefix FROM d, range(0, 65) r(k) GROUP BY 1, 2 HAVING sum(n_bytes) <= {SHARD_BYTES} OR count(*) = 1),
 first AS (SELECT doc_id, n_bytes, bits, min(k) AS k FROM d, buckets WHERE substr(bits, 1, k) = prefix AND length(prefix) = k GROUP BY 1, 2, 3)
 SELECT doc_id, substr(bits, 1, k) AS shard, CAST(k AS INTEGER) AS shard_depth, n_bytes FROM first""",
+    "op13_prefix_trie": f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'id': md5(length(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))}} ORDER BY turn NULLS FIRST, role, text) AS s
+  FROM turns GROUP BY conv_id),
+asked AS (SELECT conv_id, s, conv_id - ((conv_id % 20) + 20) % 20 AS base, xor({_CRC32}, 4294967295) % 4 AS h FROM own),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(o.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM asked a LEFT JOIN own o ON o.conv_id = a.base),
+parts AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt),
+nodes AS (
+  SELECT d, array_to_string(list_transform(s[1:d], lambda t: t.id), '') AS p, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w, min(conv_id) AS least, count(*) AS n,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len(s)), '')) AS ends
+  FROM parts GROUP BY 1, 2, 3),
+kids AS (SELECT substr(p, 1, 32 * (d - 1)) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+marked AS (SELECT nodes.*, coalesce(kids.n, 0) AS children FROM nodes LEFT JOIN kids USING (p)),
+spread AS (SELECT p, unnest(range(0, d + 1)) AS k, children, (n - 1) * w AS saved FROM marked),
+sums AS (SELECT substr(p, 1, 32 * k) AS p, count(*) FILTER (WHERE children = 0) AS leaves, CAST(sum(saved) AS BIGINT) AS saved FROM spread GROUP BY 1)
+SELECT m.least AS conv_id, m.d AS depth, u.least AS parent_conv_id, m.n AS n_convs, m.children AS n_children, leaves AS n_leaves, saved AS saved_tokens, m.ends AS ends_sha256
+FROM marked m JOIN sums USING (p) LEFT JOIN nodes u ON m.d > 0 AND u.p = substr(m.p, 1, 32 * (m.d - 1))""",
 }
