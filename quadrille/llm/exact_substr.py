@@ -262,7 +262,8 @@ def repeated_spans(keyed: DataFrame, width: int, shard: int, group: int, memory:
         look_up(mixed, named, ["h", "c"]).select("k", "k2", "p", F.explode("found.repeats").alias("repeat"))
         .select("k", "k2", begin.alias("start"), (begin + F.col("repeat.windows") + (width - 1)).alias("end"))
     )
-    return alike.unionByName(others).groupBy("k", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # a set: rows with one id and text share a key, and each of them brings its spans
+    return alike.unionByName(others).groupBy("k", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def united(spans: np.ndarray) -> np.ndarray:

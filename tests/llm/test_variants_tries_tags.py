@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import prefix_trie, queries, spelling, toxic_crf
+from quadrille.llm import exact_substr, prefix_trie, queries, spelling, toxic_crf
 from tests.llm.test_operators import DOCS, LONG, ODD
 
 CHAT = "conv_id long, turn long, role string, text string"
@@ -260,3 +260,13 @@ def test_ids_are_hashed_over_ranges_and_pieces(monkeypatch, piece):
 def test_long_text_has_words(spark):
     docs = spark.createDataFrame([(1, LONG), (2, LONG), (3, LONG)], "doc_id long, text string")
     assert spelling.group(docs).count() == 0 and spelling.counts(docs).filter("word = 'word'").first()["n"] == 120_000
+
+
+# --- 3 -------------------------------------------------------------------------------------------
+
+
+def test_thousands_of_equal_rows_lose_their_repeats(spark):
+    text = " ".join("".join(random.Random(k).choices("abcdefgh", k=6)) for k in range(600))
+    docs = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = exact_substr.remove_repeats(docs).groupBy("n_bytes", "n_removed", F.size("removed").alias("spans")).count().collect()
+    assert [tuple(r) for r in got] == [(len(text), len(text), 1, 3_000)]
