@@ -577,7 +577,7 @@ _SEEN_6 = "seen6 AS (SELECT DISTINCT event_type AS shape_id, y >> 26 AS cy, x >>
 )
 def rim_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sides of cells that bound what each event type has seen."""
-    return render.rim(seen(spark, sf_dir, 6)).select("shape_id", "y", "x", "vertical", "way")
+    return render.rim_units(seen(spark, sf_dir, 6)).select("shape_id", "y", "x", "vertical", "way")
 
 
 @query(sql_with(SQL_POINTS, _SEEN_6) + "SELECT shape_id, round(count(*) * 2.8125e0 * 5.625e0, 4) AS area FROM seen6 GROUP BY 1")
@@ -586,9 +586,38 @@ def outline_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.envelope(seen(spark, sf_dir, 6)).groupBy("shape_id").agg(F.round(F.sum("area"), 4).alias("area"))
 
 
-@query()
+def _sql_rings(cells: str, step: int, rounds: int, low: str = "cy", left: str = "cx") -> list[str]:
+    """CTEs up to `sides`: unit sides of cells (shape_id, cy, cx in steps) with the least side of their ring and the sides to it.
+
+    Each side is followed by the one to the left, straight on or to the right, in this order; rings are told by doubling over unit sides.
+    """
+    turns = "(VALUES (0, 0, 0, 1, 0), (0, 1, 1, 1, 1), (1, 1, 1, 0, 2), (1, 0, 0, 0, 3)) s(ya, xa, yb, xb, d)"
+    parts = [
+        f"around AS MATERIALIZED (SELECT shape_id, {low} + ya AS y1, {left} + xa AS x1, {low} + yb AS y2, {left} + xb AS x2, d FROM {cells}, {turns})",
+        "units AS MATERIALIZED (SELECT * FROM around a WHERE NOT EXISTS (SELECT 1 FROM around b WHERE a.shape_id = b.shape_id AND a.y1 = b.y2 AND a.x1 = b.x2 AND a.y2 = b.y1 AND a.x2 = b.x1))",
+        "turned AS MATERIALIZED (SELECT u.*, n.d AS nd, row_number() OVER (PARTITION BY u.shape_id, u.y1, u.x1, u.d ORDER BY (n.d - u.d + 5) % 4 = 2 DESC, (n.d - u.d + 5) % 4 = 1 DESC) AS k "
+        "FROM units u JOIN units n ON n.shape_id = u.shape_id AND n.y1 = u.y2 AND n.x1 = u.x2 AND (n.d - u.d + 4) % 4 <> 2)",
+        "hop0 AS MATERIALIZED (SELECT shape_id, y1, x1, d, y2 AS ny, x2 AS nx, nd, {'y': y1, 'x': x1, 'd': d} AS least, CAST(0 AS BIGINT) AS ahead FROM turned WHERE k = 1)",
+    ]
+    for k in range(rounds):
+        parts.append(
+            f"hop{k + 1} AS MATERIALIZED (SELECT a.shape_id, a.y1, a.x1, a.d, b.ny, b.nx, b.nd, least(a.least, b.least) AS least, CASE WHEN b.least < a.least THEN b.ahead + {1 << k} ELSE a.ahead END AS ahead "
+            f"FROM hop{k} a JOIN hop{k} b ON b.shape_id = a.shape_id AND b.y1 = a.ny AND b.x1 = a.nx AND b.d = a.nd)"
+        )
+    parts.append(
+        f"sides AS MATERIALIZED (SELECT t.shape_id, CAST(h.least.y * {step} AS VARCHAR) || ':' || CAST(h.least.x * {step} AS VARCHAR) AS ring, h.ahead, t.y1, t.x1, t.y2, t.x2, t.d, t.nd "
+        f"FROM hop{rounds} h JOIN turned t ON t.k = 1 AND t.shape_id = h.shape_id AND t.y1 = h.y1 AND t.x1 = h.x1 AND t.d = h.d)"
+    )
+    return parts
+
+
+@query(
+    sql_with(SQL_POINTS, _SEEN_6, *_sql_rings("seen6", 1 << 26, 14))
+    + "SELECT shape_id, ring, sum(x1 * (y2 - y1)) > 0 AS \"outer\", round(sum(x1 * (y2 - y1)) * 2.8125e0 * 5.625e0, 4) AS area, CAST(count(*) FILTER (WHERE d <> nd) + 1 AS INTEGER) AS corners FROM sides GROUP BY 1, 2"
+)
 def envelope_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.envelope(seen(spark, sf_dir, 6)).select("shape_id", "ring", "outer", F.round("area", 6).alias("area"), F.size("points").alias("corners"))
+    """Each ring of what the event types have seen, by its least corner: which way it goes, what it encloses, its corners."""
+    return render.envelope(seen(spark, sf_dir, 6)).select("shape_id", "ring", "outer", F.round("area", 4).alias("area"), F.size("points").alias("corners"))
 
 
 @query()
@@ -596,6 +625,28 @@ def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.geojson(seen(spark, sf_dir, 6))
 
 
+_LON_LAT = "[x2 * 268435456 * (360e0/4294967296) - 180, y2 * 268435456 * (180e0/4294967296) - 90]"
+
+
+@query(
+    sql_with(
+        SQL_POINTS, SQL_SEEN, f"corners AS (SELECT shape_id, hex, {sql_cell('hex')} FROM seen)",
+        "links AS (SELECT a.shape_id, a.hex AS a, b.hex AS b FROM corners a JOIN corners b ON a.shape_id = b.shape_id AND abs(a.cy - b.cy) + abs(a.cx - b.cx) = 268435456)",
+        "reach AS (SELECT shape_id, hex, hex AS label FROM seen UNION SELECT l.shape_id, l.b, r.label FROM reach r JOIN links l ON l.shape_id = r.shape_id AND l.a = r.hex)",
+        "named AS (SELECT shape_id, hex, min(label) AS cluster FROM reach GROUP BY 1, 2)",
+        "parted AS MATERIALIZED (SELECT n.shape_id || chr(1) || cluster AS shape_id, cy >> 28 AS cy, cx >> 28 AS cx FROM named n JOIN corners c ON c.shape_id = n.shape_id AND c.hex = n.hex)",
+        *_sql_rings("parted", 1 << 28, 11),
+        f"rings AS (SELECT shape_id, ring, sum(x1 * (y2 - y1)) AS size, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
+        "told AS (SELECT *, '[' || array_to_string(list_transform(list_append(pts, pts[1]), lambda p: '[' || p[1] || ',' || p[2] || ']'), ',') || ']' AS text FROM rings)",
+        "polygons AS (SELECT split_part(shape_id, chr(1), 1) AS shape_id, split_part(shape_id, chr(1), 2) AS cluster, '[' || string_agg(text, ',' ORDER BY size < 0, -abs(size), pts) || ']' AS text FROM told GROUP BY 1, 2)",
+    )
+    + """SELECT shape_id, '{"type":"MultiPolygon","coordinates":[' || string_agg(text, ',' ORDER BY cluster) || ']}' AS geojson FROM polygons GROUP BY 1"""
+)
+def geojson_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each event type's outline: a polygon for each cluster, holes after the outside."""
+    return render.geojson(seen(spark, sf_dir))
+
+
 _CORNER = "(cx + {x} * 268435456) * (360e0/4294967296) - 180 || ',' || ((cy + {y} * 268435456) * (180e0/4294967296) - 90)"
 _CORNERS = " || ' ' || ".join(f"({_CORNER.format(y=y, x=x).replace(' - 180 ||', ' - 180) ||', 1)}" for y, x in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0)))
 

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec, hierarchy
 from quadrille.operators.graph import saved
-from quadrille.shipping import ship
 
 COLUMNS = ("shape_id", "res", "cell")
 FULL = 16
@@ -215,46 +212,32 @@ def limit_levels(coverage: DataFrame, min_res: int, max_res: int) -> DataFrame:
 def reduce_cells(coverage: DataFrame, count: int) -> DataFrame:
     """Each shape with `count` cells at most, coarser where it must be: thresholds go down from 15 to 1, finest level first.
 
-    A shape is a group of bounded size here (it was covered by one task); groups are worked on in parallel.
+    All shapes are worked on at once, level by level. What a threshold would save on a level is known from the numbers of siblings, so a
+    sum for each threshold and shape tells the largest one that fits; a shape that fits is left as it is from then on, and where none
+    does, all its cells on the level give way to their parents. A shape's cells meet by parent, 16 at most, never as a whole; of the
+    levels' states only whether any shape is still too large reaches the driver. Coverages whose cells are all at resolution 2 stay.
     """
-
-    def shrink(shape: pd.DataFrame) -> pd.DataFrame:
-        levels = {int(r): set(map(int, part["cell"].to_numpy().view(np.uint64))) for r, part in shape.groupby("res")}
-
-        def tidy() -> None:
-            seen: dict[int, set[int]] = {}
-            for r in sorted(levels):
-                levels[r] = {c for c in levels[r] if not any(c & codec.mask(2 * q) in s for q, s in seen.items())}
-                seen[r] = levels[r]
-
-        def climb(res: int, least: int) -> None:
-            ups: dict[int, int] = {}
-            for c in levels.get(res, ()):
-                up = c & codec.mask(2 * (res - 2))
-                ups[up] = ups.get(up, 0) + 1
-            made = {u for u, n in ups.items() if n >= least}
-            if made:
-                levels[res] = {c for c in levels[res] if c & codec.mask(2 * (res - 2)) not in made}
-                levels.setdefault(res - 2, set()).update(made)
-
-        def size() -> int:
-            return sum(map(len, levels.values()))
-
-        tidy()
-        for res in range(32, 2, -2):
-            climb(res, FULL)
-        tidy()
-        for res in range(32, 2, -2):
-            for least in range(FULL - 1, 0, -1):
-                if size() <= count:
-                    break
-                climb(res, least)
-                tidy()
-        rows = [(shape["shape_id"].iloc[0], r, codec.signed(c)) for r, cells in levels.items() for c in cells]
-        return pd.DataFrame(rows, columns=list(COLUMNS))
-
-    ship(coverage.sparkSession)
-    return coverage.select(*COLUMNS).distinct().groupBy("shape_id").applyInPandas(shrink, "shape_id string, res int, cell bigint")
+    base = saved(optimize(coverage))
+    state = saved(base.groupBy("shape_id").agg(F.count(F.lit(1)).alias("size")))
+    levels, made, out = levels_of(base), None, []
+    for res in range(max(levels, default=2), 2, -2):
+        if state.filter(F.col("size") > count).isEmpty():
+            break
+        here = base.filter(F.col("res") == res)
+        here = here if made is None else here.unionByName(made)
+        groups = saved(here.groupBy("shape_id", _parent(res).alias("up")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("cell").alias("kids")))
+        saves = lambda t: F.sum(F.when(F.col("n") >= t, F.col("n") - 1).otherwise(0))
+        sums = groups.groupBy("shape_id").agg(F.array(*[saves(t) for t in range(1, FULL)]).alias("saves"))
+        fits = F.array_max(F.filter(F.sequence(F.lit(2), F.lit(FULL - 1)), lambda t: F.col("size") - F.get("saves", t - 1) <= count))
+        least = F.when(F.col("size") <= count, FULL + 1).otherwise(F.coalesce(fits, F.lit(1)))
+        chosen = saved(state.join(sums, "shape_id", "left").withColumn("least", F.when(F.col("saves").isNotNull(), least)))
+        state = chosen.select("shape_id", F.when(F.col("least") <= FULL, F.col("size") - F.get("saves", F.col("least") - 1)).otherwise(F.col("size")).alias("size"))
+        judged = groups.join(chosen.select("shape_id", "least"), "shape_id")
+        out.append(judged.filter("n < least").select("shape_id", F.lit(res).alias("res"), F.explode("kids").alias("cell")))
+        made = saved(judged.filter("n >= least").select("shape_id", F.lit(res - 2).alias("res"), F.col("up").alias("cell")))
+        levels = [r for r in levels if r < res]
+    rest = base.filter(F.col("res").isin(levels)) if levels else base.limit(0)
+    return reduce(DataFrame.unionByName, [rest if made is None else rest.unionByName(made), *out])
 
 
 # --- combining -----------------------------------------------------------------------------------
@@ -321,7 +304,7 @@ def clusters(coverage: DataFrame) -> DataFrame:
     beside = sides.select("shape_id", F.col("res").alias("_res"), F.col("cell").alias("_cell"), "res", codec.encode_units(F.col("_m.y"), F.col("_m.x")).alias("cell"))
     wide = rows.select("shape_id", F.col("res").alias("_ares"), F.col("cell").alias("_acell"))
     name = lambda res, cell: F.concat_ws("/", F.col("shape_id"), hex_of(res, cell))
-    links = with_ancestors(beside, own=True).join(wide, ["shape_id", "_ares", "_acell"]).select(
+    links = with_ancestors(beside, own=True, levels=levels_of(rows)).join(wide, ["shape_id", "_ares", "_acell"]).select(
         name(F.col("_res"), F.col("_cell")).alias("a"), name(F.col("_ares"), F.col("_acell")).alias("b")
     )
     labels = components(links)

@@ -1,4 +1,4 @@
-"""Connected components of a link table by repeated minimum labels with shortcuts."""
+"""Connected components of a link table by contraction."""
 
 from __future__ import annotations
 
@@ -19,14 +19,22 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) -> (node, label): the least node that can be reached. Rounds end when no label changes."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = best.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        stepped = saved(best.join(jump, "label").select("node", "old", "further"))
-        labels = stepped.select("node", F.col("further").alias("label"))
-        if stepped.filter("old <> further").isEmpty():
-            return labels
+    """(a, b) -> (node, label): the least node that can be reached; nodes without links don't appear.
+
+    Each round every node goes to the least of itself and its neighbours by hash, and links are rewritten to where their ends went.
+    Stars are gone after two rounds, chains shrink by a share of their length, and a round reads only what is left of the links.
+    """
+    by_hash = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    edges = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    placed = None
+    while placed is None or not edges.isEmpty():
+        goes = saved(edges.groupBy("a").agg(F.min(by_hash("b")).alias("m")).select("a", F.least(by_hash("a"), "m")["node"].alias("to")))
+        if placed is None:
+            placed = goes.toDF("node", "label")
+        else:
+            placed = saved(placed.join(goes.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        one = edges.join(goes, "a").select("b", F.col("to").alias("x"))
+        both = one.join(goes.toDF("b", "y"), "b").filter("x <> y")
+        edges = saved(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    least = placed.groupBy("label").agg(F.min("node").alias("least"))
+    return placed.join(least, "label").select("node", F.col("least").alias("label"))
