@@ -548,11 +548,47 @@ def cells_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.cells_regexp(as_hex(seen(spark, sf_dir)), ["shape_id"])
 
 
-@query()
+def _sql_reduce(finest: int, count: int) -> list[str]:
+    """CTEs from `fine` (shape_id, hex of `finest` digits) to `reduced`: full parents first, then from the finest level on the largest threshold that fits."""
+    up = lambda n: f"substr(hex, 1, {n})"
+    parts = [f"full{finest} AS MATERIALIZED (SELECT * FROM fine)"]
+    for n in range(finest - 1, 0, -1):
+        parts.append(f"full{n} AS MATERIALIZED (SELECT shape_id, {up(n)} AS hex FROM full{n + 1} GROUP BY 1, 2 HAVING count(*) = 16)")
+    for n in range(finest, 1, -1):
+        parts.append(f"kept{n} AS MATERIALIZED (SELECT f.shape_id, f.hex FROM full{n} f WHERE NOT EXISTS (SELECT 1 FROM full{n - 1} u WHERE u.shape_id = f.shape_id AND u.hex = substr(f.hex, 1, {n - 1})))")
+    everything = " UNION ALL ".join([*[f"SELECT * FROM kept{n}" for n in range(finest, 1, -1)], "SELECT * FROM full1"])
+    parts.append(f"size{finest} AS MATERIALIZED (SELECT shape_id, count(*) AS size FROM ({everything}) GROUP BY 1)")
+    for n in range(finest, 1, -1):
+        here = f"SELECT * FROM kept{n}" + (f" UNION ALL SELECT * FROM made{n}" if n < finest else "")
+        parts += [
+            f"here{n} AS MATERIALIZED ({here})",
+            f"group{n} AS MATERIALIZED (SELECT shape_id, {up(n - 1)} AS up, count(*) AS n FROM here{n} GROUP BY 1, 2)",
+            f"saves{n} AS MATERIALIZED (SELECT shape_id, t, CAST(sum(CASE WHEN n >= t THEN n - 1 ELSE 0 END) AS BIGINT) AS saves FROM group{n}, range(1, 16) r(t) GROUP BY 1, 2)",
+            f"least{n} AS MATERIALIZED (SELECT shape_id, size, CASE WHEN size <= {count} THEN 17 ELSE coalesce((SELECT max(t) FROM saves{n} v WHERE v.shape_id = s.shape_id AND t > 1 AND s.size - saves <= {count}), 1) END AS least FROM size{n} s)",
+            f"made{n - 1} AS MATERIALIZED (SELECT g.shape_id, up AS hex FROM group{n} g JOIN least{n} USING (shape_id) WHERE n >= least)",
+            f"left{n} AS MATERIALIZED (SELECT shape_id, hex FROM here{n} h WHERE NOT EXISTS (SELECT 1 FROM made{n - 1} m WHERE m.shape_id = h.shape_id AND m.hex = substr(h.hex, 1, {n - 1})))",
+            f"size{n - 1} AS MATERIALIZED (SELECT l.shape_id, size - coalesce(saves, 0) AS size FROM least{n} l LEFT JOIN saves{n} v ON v.shape_id = l.shape_id AND v.t = l.least)",
+        ]
+    last = " UNION ALL ".join([*[f"SELECT * FROM left{n}" for n in range(finest, 1, -1)], "SELECT * FROM full1", "SELECT * FROM made1"])
+    return [*parts, f"reduced AS ({last})"]
+
+
+_SEEN_8 = "fine AS (SELECT DISTINCT event_type AS shape_id, substr(hex, 1, 4) AS hex FROM pts)"
+
+
+@query(sql_with(SQL_POINTS, _SEEN_8, *_sql_reduce(4, 100)) + "SELECT * FROM reduced")
 def reduce_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hex(cov.reduce_cells(seen(spark, sf_dir, 8), 100))
 
 
+@query(sql_with(SQL_POINTS, "fine AS (SELECT DISTINCT user_id % 8 AS shape_id, substr(hex, 1, 4) AS hex FROM pts WHERE user_id IS NOT NULL)", *_sql_reduce(4, 700)) + "SELECT shape_id, hex FROM reduced")
+def reduce_cells_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some shapes fit at once, some at a threshold between, some only levels up."""
+    rows = points(spark, sf_dir).filter("user_id is not null")
+    cells = rows.select((F.col("user_id") % 8).alias("shape_id"), F.lit(8).alias("res"), codec.at_resolution(F.col("hh"), 8).alias("cell")).distinct()
+    return as_hex(cov.reduce_cells(cells, 700))
+
+
 @query()
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.clusters(seen(spark, sf_dir, 8)).select("shape_id", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "cluster")
