@@ -44,28 +44,24 @@ def rectangles(boxes: DataFrame) -> DataFrame:
 def polygons(rings: DataFrame) -> DataFrame:
     """(shape_id, res, ring array<struct<y, x>>) -> coverage: cells that an edge crosses, and the even-odd interior.
 
-    Grid rows are taken at each cell's lower bound and at each vertex. An edge that meets a row gives
-    the cells between its crossings of the row and of the cell's upper bound; the lowest of them is the
-    crossing that is paired for the interior. A vertex on the row counts once, or for neither
-    edge where the ring turns back there.
+    An edge is met by the grid rows in its range and by its own two ends; that gives the cells between its
+    crossings of a row and of the row's upper bound. Crossings of whole rows are paired for the interior; a vertex on a
+    row counts once, or for neither edge where the ring turns back there. So rows go with the edges' heights in cells, whatever the number
+    of vertices, and what is sorted together is what crosses one row of one ring.
     """
     step, low = "shiftleft(1L, 32 - res)", "-shiftleft(1L, 32 - res)"
     # a shape may have several rings (the segments of a path): each is filled on its own
     numbered = rings.withColumn("_ring", F.xxhash64("shape_id", "ring")).filter(F.size("ring") >= 3)
     n = F.size("ring")
-    at = lambda k: F.get(F.col("ring"), k)
-    edges = numbered.select(
-        "shape_id", "res", "_ring", F.posexplode("ring").alias("_k", "_i"), "ring"
-    ).select(
-        "shape_id", "res", "_ring", "_k", F.col("_i.y").alias("iy"), F.col("_i.x").alias("ix"),
-        at((F.col("_k") + n - 1) % n)["y"].alias("jy"), at((F.col("_k") + n - 1) % n)["x"].alias("jx"), at((F.col("_k") + 1) % n)["y"].alias("ny"),
-        F.transform("ring", lambda v: v["y"]).alias("_ys"),
-    )
+    around = F.transform("ring", lambda v, k: F.struct(
+        k.alias("_k"), v["y"].alias("iy"), v["x"].alias("ix"),
+        F.get("ring", (k + n - 1) % n)["y"].alias("jy"), F.get("ring", (k + n - 1) % n)["x"].alias("jx"), F.get("ring", (k + 1) % n)["y"].alias("ny"),
+    ))
+    edges = numbered.select("shape_id", "res", "_ring", F.inline(around))
     slanted = edges.filter("iy <> jy").withColumn("_lo", F.least("iy", "jy")).withColumn("_hi", F.greatest("iy", "jy"))
-    # rows met by the edge: cell bounds inside its range, and the ring's vertices inside its range
     first = f"((_lo + {step} - 1) & {low})"
     bounds = F.expr(f"if({first} <= _hi, sequence({first}, _hi, {step}), cast(array() as array<bigint>))")
-    met = slanted.withColumn("_row", F.explode(F.array_distinct(F.concat(bounds, F.filter("_ys", lambda y: y.between(F.col("_lo"), F.col("_hi")))))))
+    met = slanted.withColumn("_row", F.explode(F.array_distinct(F.concat(bounds, F.array("_lo", "_hi")))))
     slope = (F.col("jx") - F.col("ix")).cast("double") / (F.col("jy") - F.col("iy")).cast("double")
     cross = lambda row: F.col("ix") + ((row - F.col("iy")) * slope).cast("long")
     crossed = (
@@ -81,7 +77,7 @@ def polygons(rings: DataFrame) -> DataFrame:
     counts = (F.col("_row") != F.col("iy")) & (F.col("_row") != F.col("jy"))
     turns = (F.col("_row") == F.col("iy")) & ((F.col("ny") - F.col("iy")).cast("double") * (F.col("jy") - F.col("iy")).cast("double") > 0)
     passes = (F.col("_row") == F.col("jy")) | turns
-    nodes = sane.filter(counts | passes).select("shape_id", "res", "_ring", "_row", "_from", "_to", "_k")
+    nodes = sane.filter(F.expr(f"_row = (_row & {low})") & (counts | passes)).select("shape_id", "res", "_ring", "_row", "_from", "_to", "_k")
     order = Window.partitionBy("shape_id", "res", "_ring", "_row").orderBy("_from", "_k")
     paired = nodes.withColumn("_n", F.row_number().over(order)).withColumn("_end", F.lead("_to").over(order)).filter("_n % 2 = 1 and _end is not null")
     inside = paired.select("shape_id", "res", F.col("_row").alias("_y"), F.explode(F.expr(f"sequence(_from, greatest(_from, _end), {step})")).alias("_x"))
