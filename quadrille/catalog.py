@@ -16,6 +16,7 @@ from quadrille.functions import codec, densify, geohash, hierarchy, measure, res
 from quadrille.operators import bloom, centroid, cover, descend, expressions, match, render
 from quadrille.operators import coverage as cov
 from quadrille.operators.graph import saved
+from quadrille.plans import areas
 from quadrille.sources import points as sources
 from quadrille.sources import wkt
 from quadrille.streaming import activity
@@ -703,23 +704,97 @@ def _in(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     return match.join_points(points(spark, sf_dir).select("event_id", "hh"), cells).select("event_id", "shape_id")
 
 
-@query()
+def _sql_fill(ring: str, res: int, name: str = "filled") -> list[str]:
+    """CTEs from `ring` (shape_id, part, k, y, x: vertices in order) to `name` (shape_id, hex): cells that a side passes through, and those with an odd number of sides before them."""
+    bits, step = 32 - res, 1 << (32 - res)
+    cross = lambda y: f"ix + CAST(trunc(({y} - iy) * (CAST(jx - ix AS DOUBLE) / CAST(jy - iy AS DOUBLE))) AS BIGINT)"
+    mark = lambda c: f"{name}_{c}"
+    around = "OVER (PARTITION BY shape_id, part ORDER BY k)"
+    parts = [
+        f"{mark('n')} AS (SELECT *, count(*) OVER (PARTITION BY shape_id, part) AS n FROM {ring})",
+        f"{mark('sides')} AS MATERIALIZED (SELECT shape_id, part, k, y AS iy, x AS ix, coalesce(lag(y) {around}, last_value(y) OVER (PARTITION BY shape_id, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS jy, "
+        f"coalesce(lag(x) {around}, last_value(x) OVER (PARTITION BY shape_id, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS jx, "
+        f"coalesce(lead(y) {around}, first_value(y) {around}) AS ny FROM {mark('n')} WHERE n >= 3)",
+        f"{mark('steps')} AS (SELECT *, unnest(range(least(iy, jy) >> {bits}, (greatest(iy, jy) >> {bits}) + 1)) AS r FROM {mark('sides')} WHERE iy <> jy)",
+        f"{mark('rows')} AS (SELECT *, greatest(r * {step}, least(iy, jy)) AS spot FROM {mark('steps')} UNION ALL SELECT *, greatest(iy, jy) AS spot FROM {mark('steps')} WHERE r = greatest(iy, jy) >> {bits})",
+        f"{mark('ends')} AS (SELECT *, {cross('spot')} AS a, {cross(f'(r * {step} + {step - 1})')} AS b FROM {mark('rows')})",
+        f"{mark('met')} AS MATERIALIZED (SELECT *, least(lo, hi) AS c0, hi AS c1 FROM (SELECT *, greatest(least(a, b), least(ix, jx)) >> {bits} AS lo, least(greatest(a, b), greatest(ix, jx)) >> {bits} AS hi FROM {mark('ends')}))",
+        f"{mark('rim')} AS MATERIALIZED (SELECT DISTINCT shape_id, part, r, unnest(range(c0, c1 + 1)) AS c FROM {mark('met')} UNION SELECT DISTINCT shape_id, part, iy >> {bits}, unnest(range(least(ix, jx) >> {bits}, (greatest(ix, jx) >> {bits}) + 1)) FROM {mark('sides')} WHERE iy = jy)",
+        f"{mark('counted')} AS MATERIALIZED (SELECT shape_id, part, r, c0 FROM {mark('met')} WHERE spot = r * {step} AND ((spot <> iy AND spot <> jy) OR spot = jy OR (spot = iy AND (CAST(ny - iy AS DOUBLE) * CAST(jy - iy AS DOUBLE) > 0))))",
+        f"{mark('wide')} AS (SELECT shape_id, part, r, unnest(range(min(c0), max(c0) + 1)) AS c FROM {mark('counted')} GROUP BY shape_id, part, r)",
+        f"{mark('inner')} AS (SELECT w.shape_id, w.r, w.c FROM {mark('wide')} w JOIN {mark('counted')} n ON n.shape_id = w.shape_id AND n.part = w.part AND n.r = w.r AND n.c0 < w.c "
+        f"WHERE NOT EXISTS (SELECT 1 FROM {mark('rim')} e WHERE e.shape_id = w.shape_id AND e.part = w.part AND e.r = w.r AND e.c = w.c) GROUP BY w.shape_id, w.part, w.r, w.c HAVING count(*) % 2 = 1)",
+        f"{name} AS MATERIALIZED (SELECT DISTINCT shape_id, {sql_hex(digits=res // 2)} AS hex FROM (SELECT shape_id, (r << {bits}) & 4294967295 AS y, (c << {bits}) & 4294967295 AS x FROM (SELECT shape_id, r, c FROM {mark('rim')} UNION SELECT * FROM {mark('inner')})))",
+    ]
+    return parts
+
+
+def _sql_area(text: str) -> str:
+    """The vertices of an area text as the CTE `ring`; shape_id is the kind of area."""
+    area = areas.parse_area(text)
+    rows = ", ".join(f"('{area.kind}', {p}, {k}, {y}, {x})" for p, ring in enumerate(area.polygons) for k, (y, x) in enumerate(ring))
+    return f"ring AS (SELECT shape_id, part, k, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM (VALUES {rows}) v(shape_id, part, k, y, x))"
+
+
+def _events_in(text: str, res: int) -> str:
+    """SQL for the events in an area."""
+    return sql_with(SQL_POINTS, _sql_area(text), *_sql_fill("ring", res)) + f"SELECT event_id, shape_id FROM pts JOIN filled f ON f.hex = substr(pts.hex, 1, {res // 2})"
+
+
+_CIRCLE = "circle:48.0:-4.5:500000"
+_PATH = "path:48.0:-4.5:50000,45.0:5.0,40.0:20.0:80000"
+#: A polygon with a known number of cells (1,395 at resolution 12, parents in place of full children).
+_POLYGON = "polygon:51.344338660599234:2.548828125,48.574789910928864:-5.537109375,43.45291889355465:-1.93359375,42.09822241118974:3.515625,43.89789239125797:8.876953125,49.0954521625348:8.701171875"
+
+
+@query(_events_in(_CIRCLE, 14))
 def circle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in(spark, sf_dir, cov.optimize(shape(spark, ("circle", "circle:48.0:-4.5:500000", 14))))
+    return _in(spark, sf_dir, cov.optimize(shape(spark, ("circle", _CIRCLE, 14))))
 
 
-@query()
+@query(_events_in(_PATH, 14))
 def path_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in(spark, sf_dir, shape(spark, ("path", "path:48.0:-4.5:50000,45.0:5.0,40.0:20.0:80000", 14)))
+    return _in(spark, sf_dir, shape(spark, ("path", _PATH, 14)))
 
 
-@query()
+@query(_events_in(_POLYGON, 12).replace("event_id, shape_id", "event_id, 'west' AS shape_id"))
 def polygon_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = "polygon:51.344338660599234:2.548828125,48.574789910928864:-5.537109375,43.45291889355465:-1.93359375,42.09822241118974:3.515625,43.89789239125797:8.876953125,49.0954521625348:8.701171875"
-    return _in(spark, sf_dir, cov.optimize(shape(spark, ("west", ring, 12))))
+    return _in(spark, sf_dir, cov.optimize(shape(spark, ("west", _POLYGON, 12))))
 
 
-@query()
+#: Vertices of a star around a supplier's site, in units.
+_STAR = ((0, 90_000_000), (40_000_000, 30_000_000), (120_000_000, 10_000_000), (35_000_000, -40_000_000), (-10_000_000, -100_000_000), (-60_000_000, -20_000_000), (-45_000_000, 50_000_000))
+_STAR_Y = "1000000000 + (s_suppkey * 7919 % 150001) * 15000 + ({dy}) * (1 + s_suppkey % 3)"
+_STAR_X = "400000000 + (s_suppkey * 104729 % 340000) * 10000 + ({dx}) * (1 + s_suppkey % 3)"
+
+
+@query(
+    sql_with(
+        "star(k, dy, dx) AS (VALUES " + ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(_STAR)) + ")",
+        f"ring AS (SELECT s_suppkey AS shape_id, 0 AS part, k, CAST({_STAR_Y.format(dy='dy')} AS BIGINT) AS y, CAST({_STAR_X.format(dx='dx')} AS BIGINT) AS x FROM supplier, star)",
+        *_sql_fill("ring", 8),
+    )
+    + "SELECT CAST(shape_id AS VARCHAR) AS shape_id, hex FROM filled"
+)
+def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a star around each supplier."""
+    corners = ", ".join(f"struct(cast({_STAR_Y.format(dy=dy)} as bigint) as y, cast({_STAR_X.format(dx=dx)} as bigint) as x)" for dy, dx in _STAR)
+    rings = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as string) as shape_id", "8 as res", f"array({corners}) as ring")
+    return as_hex(cover.polygons(rings))
+
+
+@query(
+    sql_with(
+        SQL_POINTS,
+        "ways AS (SELECT user_id, y AS y1, x AS x1, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id))",
+        "ahead AS (SELECT user_id, CASE WHEN x1 <= x2 THEN y1 ELSE y2 END AS ay, least(x1, x2) AS ax, CASE WHEN x1 <= x2 THEN y2 ELSE y1 END AS zy, greatest(x1, x2) AS zx FROM ways WHERE y2 IS NOT NULL)",
+        "lanes AS (SELECT *, unnest(range(ax >> 26, greatest(ax >> 26, (zx - CASE WHEN zx > ax THEN 1 ELSE 0 END) >> 26) + 1)) * 67108864 AS x, CASE WHEN zx = ax THEN 0 ELSE CAST(zy - ay AS DOUBLE) / CAST(zx - ax AS DOUBLE) END AS slope FROM ahead)",
+        "heights AS (SELECT *, ay + CAST(trunc((greatest(x, ax) - ax) * slope) AS BIGINT) AS p, CASE WHEN zx = ax THEN zy ELSE ay + CAST(trunc((least(x + 67108863, zx) - ax) * slope) AS BIGINT) END AS q FROM lanes)",
+        "reach AS (SELECT *, least(p, q) >> 26 AS r0, (greatest(p, q) - CASE WHEN greatest(p, q) = greatest(ay, zy) AND ay <> zy AND p <> q THEN 1 ELSE 0 END) >> 26 AS r1 FROM heights)",
+        f"met AS (SELECT DISTINCT user_id, {sql_hex(digits=3)} AS hex FROM (SELECT user_id, x, unnest(range(r0, greatest(r0, r1) + 1)) * 67108864 AS y FROM reach))",
+    )
+    + "SELECT hex, count(*) AS users FROM met GROUP BY 1"
+)
 def line_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on the way from each user's event to the next."""
     from pyspark.sql import Window
@@ -795,11 +870,36 @@ def uniform_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.semi_join(points(spark, sf_dir), descend.uniform_shape_for_error(geometry(spark), 0.05)).select("event_id")
 
 
-@query()
+#: An area with a slanted hole.
+_FRAME = (
+    [(3400000000, 1700000000), (3400000000, 2900000000), (2600000000, 2900000000), (2600000000, 1700000000)],
+    [(3200000000, 2000000000), (3200000000, 2500000000), (2800000000, 2200000000)],
+)
+
+
+def _sql_touched(sides: str, res: int) -> str:
+    """Condition on the cell (cy, cx in cells) of a row: one of the sides (y1, x1, y2, x2) passes through it, or an odd number stand east of its middle."""
+    step = float(1 << (32 - res))
+    span = lambda p, d, c: f"CASE WHEN {d} = 0 THEN [0e0, 1e0] ELSE [least(({c} * {step} - {p}) / {d}, (({c} + 1) * {step} - {p}) / {d}), greatest(({c} * {step} - {p}) / {d}, (({c} + 1) * {step} - {p}) / {d})] END"
+    flat = lambda p, d, c: f"({d} = 0 AND ({p} <= {c} * {step} OR {p} >= ({c} + 1) * {step}))"
+    dy, dx = "(y2 - y1)", "(x2 - x1)"
+    touched = (
+        f"EXISTS (SELECT 1 FROM (SELECT {span('y1', dy, 'cy')} AS v, {span('x1', dx, 'cx')} AS h, {flat('y1', dy, 'cy')} OR {flat('x1', dx, 'cx')} AS off FROM {sides}) "
+        "WHERE NOT off AND greatest(0e0, v[1], h[1]) < least(1e0, v[2], h[2]))"
+    )
+    my, mx = f"(cy + 0.5e0) * {step}", f"(cx + 0.5e0) * {step}"
+    return f"({touched} OR (SELECT count(*) FROM {sides} WHERE (y1 > {my}) <> (y2 > {my}) AND {mx} < x1 + ({my} - y1) * {dx} / CASE WHEN {dy} = 0 THEN 1 ELSE {dy} END) % 2 = 1)"
+
+
+_FRAME_SIDES = "frame AS (SELECT CAST(y1 AS DOUBLE) AS y1, CAST(x1 AS DOUBLE) AS x1, CAST(y2 AS DOUBLE) AS y2, CAST(x2 AS DOUBLE) AS x2 FROM (VALUES " + ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for ring in _FRAME for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) + ") v(y1, x1, y2, x2))"
+
+
+@query(
+    sql_with(SQL_POINTS, _FRAME_SIDES, "occupied AS MATERIALIZED (SELECT DISTINCT y >> 20 AS cy, x >> 20 AS cx FROM pts)", f"met AS MATERIALIZED (SELECT cy, cx FROM occupied WHERE {_sql_touched('frame', 12)})")
+    + "SELECT event_id, 'framed' AS shape_id FROM pts JOIN met ON cy = y >> 20 AND cx = x >> 20"
+)
 def geometry_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outer = [(3400000000, 1700000000), (3400000000, 2900000000), (2600000000, 2900000000), (2600000000, 1700000000)]
-    hole = [(3200000000, 2000000000), (3200000000, 2500000000), (2800000000, 2200000000)]
-    rings = spark.createDataFrame([("framed", outer), ("framed", hole)], "shape_id string, ring array<struct<y: bigint, x: bigint>>")
+    rings = spark.createDataFrame([("framed", ring) for ring in _FRAME], "shape_id string, ring array<struct<y: bigint, x: bigint>>")
     return _in(spark, sf_dir, descend.cover_geometry(rings, 2, 12))
 
 
