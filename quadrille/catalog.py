@@ -988,8 +988,28 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.latest(points(spark, sf_dir), ["user_id"], ties="event_id").select("user_id", "event_id", "hex")
 
 
-@query()
+_RATIO = """CASE WHEN arc = 0 THEN 1 ELSE sqrt(pow(b - a, 2) + pow(CASE WHEN abs(b - a) < 3.1622776601683794e-8 THEN cos(a) ELSE (b - a) / ln(tan(b / 2 + pi() / 4) / tan(a / 2 + pi() / 4)) END * turn, 2)) / arc END"""
+_WAYS = f"""SELECT *, {_RATIO} AS ratio, cos(a) * cos(radians(lo1)) + cos(b) * cos(radians(lo2)) AS u, cos(a) * sin(radians(lo1)) + cos(b) * sin(radians(lo2)) AS v FROM (
+  SELECT *, 2 * asin(least(1e0, sqrt(pow(sin((a - b) / 2), 2) + cos(a) * cos(b) * pow(sin(turn / 2), 2)))) AS arc FROM (
+    SELECT *, radians(la1) AS a, radians(la2) AS b, radians(lo2) - radians(lo1) AS turn FROM {{segments}}))"""
+_HALVED = f"""SELECT event_id, t, size / 2 AS size, la1, lo1, la2, lo2 FROM (
+  SELECT event_id, CASE WHEN h = 0 THEN t ELSE t + size / 2 END AS t, size, CASE WHEN h = 0 THEN la1 ELSE mla END AS la1, CASE WHEN h = 0 THEN lo1 ELSE mlo END AS lo1, CASE WHEN h = 0 THEN mla ELSE la2 END AS la2, CASE WHEN h = 0 THEN mlo ELSE lo2 END AS lo2
+  FROM (SELECT *, degrees(atan2(sin(a) + sin(b), sqrt(u * u + v * v))) AS mla, degrees(atan2(v, u)) AS mlo FROM ({_WAYS.format(segments='ways')}) WHERE ratio >= 1.02e0), (VALUES (0), (1)) s(h))"""
+
+
+@query(
+    sql_with(
+        SQL_POINTS,
+        f"whole AS (SELECT event_id, lat AS la1, lon AS lo1, {_PARIS[0]}e0 AS la2, {_PARIS[1]}e0 AS lo2, abs({_PARIS[1]}e0 - lon) AS span FROM pts)",
+        "parted AS (SELECT *, 179.9999e0 / span AS f, la1 * (1 - 179.9999e0 / span) + la2 * (179.9999e0 / span) AS cla, lo1 * (1 - 179.9999e0 / span) + lo2 * (179.9999e0 / span) AS clo FROM whole WHERE span > 180)",
+        "ways AS (SELECT event_id, 0e0 AS t, 1e0 AS size, la1, lo1, la2, lo2 FROM whole WHERE span <= 180 UNION ALL SELECT event_id, 0e0, f, la1, lo1, cla, clo FROM parted UNION ALL SELECT event_id, f, 1 - f, cla, clo, la2, lo2 FROM parted "
+        f"UNION ALL {_HALVED})",
+        f"kept AS (SELECT event_id, t, la1 AS lat, lo1 AS lon FROM ({_WAYS.format(segments='ways')}) WHERE ratio < 1.02e0 UNION ALL SELECT event_id, 2e0, la2, lo2 FROM whole)",
+    )
+    + "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY t) AS INTEGER) AS k, round(lat, 4) + 0e0 AS lat, round(lon, 4) + 0e0 AS lon FROM kept"
+)
 def densified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's way to one place, with points along the great circle."""
+    """The vertices of each event's way to one place, with points along the great circle."""
     track = F.array(F.struct("lat", "lon"), F.struct(F.lit(_PARIS[0]).alias("lat"), F.lit(_PARIS[1]).alias("lon")))
-    return points(spark, sf_dir).select("event_id", F.size(densify.densify(track, 20_000.0)).alias("points"))
+    spread = points(spark, sf_dir).select("event_id", F.posexplode(densify.densify(track, 1.02)).alias("k", "p"))
+    return spread.select("event_id", (F.col("k") + 1).alias("k"), (F.round("p.lat", 4) + 0.0).alias("lat"), (F.round("p.lon", 4) + 0.0).alias("lon"))

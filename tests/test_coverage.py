@@ -68,6 +68,7 @@ def test_reduce_and_limit(spark):
 
 
 def test_polygon_known_size(spark):
+    # fixed values: a polygon and the numbers of its cells
     ring = [(51.344338660599234, 2.548828125), (48.574789910928864, -5.537109375), (43.45291889355465, -1.93359375),
             (42.09822241118974, 3.515625), (43.89789239125797, 8.876953125), (49.0954521625348, 8.701171875)]
     text = "polygon:" + ",".join(f"{a}:{b}" for a, b in ring)
@@ -87,6 +88,7 @@ def test_rectangles(spark):
 
 def test_lines_touch_every_cell_between(spark):
     seg = spark.createDataFrame([("l", 6, 1 << 31, 1 << 30, 1 << 31, 3 << 30)], "shape_id string, res int, y1 bigint, x1 bigint, y2 bigint, x2 bigint")
+    # fixed values: the cells of a line along the equator
     want = "900 c45 940 c05 944 c01 904 c41 c44 901 c04 941 c00 945 c40 905 911 c54 951 c14 955 c10 915 c50 c55 910 c15 950 c11 954 c51 914"
     assert hexes(cover.lines(seg)) == set(want.split())
 

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ("point_encode", "cell_bbox", "centroid_rollup", "points_by_shape", "coverage_dedup", "geohash_merge", "activity_cycles", "radius_search", "area_expression", "great_circle_middle", "minus_cells", "mean_resolution", "point_in_rect", "anti_join", "geohash_cells", "rim_sides", "line_steps", "shapes_from_table", "wkt_holes", "shape_by_error", "document_frequency", "functions_in_sql", "kml")
+FEW = ("point_encode", "cell_bbox", "centroid_rollup", "points_by_shape", "coverage_dedup", "geohash_merge", "activity_cycles", "radius_search", "area_expression", "great_circle_middle", "minus_cells", "mean_resolution", "point_in_rect", "anti_join", "geohash_cells", "rim_sides", "line_steps", "shapes_from_table", "wkt_holes", "shape_by_error", "document_frequency", "functions_in_sql", "kml", "envelope_rings", "geojson_coarse", "reduce_cells_of_users", "polygon_cells", "densified_tracks", "line_cover", "circle_cover")
 
 
 def test_entry_has_rows(spark):
