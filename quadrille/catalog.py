@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution, sql_names
+from quadrille.functions import codec, densify, geohash, hierarchy, measure, resolution, sql_names, sql_tables
 from quadrille.operators import bloom, centroid, cover, descend, expressions, match, render
 from quadrille.operators import coverage as cov
 from quadrille.operators.graph import saved
@@ -333,6 +333,12 @@ def points_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.join_points(points(spark, sf_dir).select("event_id", "hh"), shape(spark, WEST, EAST)).select("event_id", "shape_id")
 
 
+@query(ORACLES["points_by_shape"])
+def points_by_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by binary search in intervals of codes."""
+    return match.join_intervals(points(spark, sf_dir).select("event_id", "hh"), cov.optimize(shape(spark, WEST, EAST))).select("event_id", "shape_id")
+
+
 def _algebra(rule: str) -> str:
     """Points tell what a coverage holds: those in the result of an operation on the two areas."""
     w, e = "substr(hex, 1, 6) IN (SELECT hex FROM west)", "substr(hex, 1, 5) IN (SELECT hex FROM east)"
@@ -501,6 +507,12 @@ def resolutions_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.resolutions_at(mixed(spark, sf_dir), points(spark, sf_dir).select("event_id", "hh")).select("event_id", "shape_id", "coarsest", "finest")
 
 
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT DISTINCT event_id, m.shape_id FROM pts p JOIN mixed m ON m.hex IN (substr(p.hex, 1, 2), substr(p.hex, 1, 3))")
+def intervals_of_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of two resolutions that overlap everywhere, by intervals of codes."""
+    return match.join_intervals(points(spark, sf_dir).select("event_id", "hh"), mixed(spark, sf_dir)).select("event_id", "shape_id")
+
+
 @query(sql_with(SQL_POINTS, _MIXED) + "SELECT shape_id, CAST(max(r) AS INTEGER) AS mean_res FROM (SELECT shape_id, floor(sum(pow(2, 64 - 4 * length(hex))) / count(*)) AS mean FROM mixed GROUP BY 1), range(2, 34, 2) t(r) WHERE pow(2, 64 - 2 * r) >= mean GROUP BY 1")
 def mean_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.summary(mixed(spark, sf_dir)).select("shape_id", "mean_res")
@@ -842,6 +854,15 @@ def shapes_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hex(cover.from_table(spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as shape_id", text, "8 as res")))
 
 
+@query(ORACLES["shapes_from_table"])
+def cover_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL, by a table function."""
+    sql_tables.register(spark)
+    lat, lon = "(s_suppkey * 7919 % 150001) / 1e3D - 75D", "(s_suppkey * 104729 % 340000) / 1e3D - 170D"
+    areas_of = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as string) as shape_id", f"concat('rect:', {lat}, ':', {lon}, ',', {lat} + 2.5D, ':', {lon} + 4.5D) as def")
+    return spark.sql("SELECT a.shape_id, c.hex FROM {areas} a, LATERAL grid_cover(a.def, 8) c", areas=areas_of)
+
+
 _GEOMETRY = "MULTIPOLYGON (((0 0, 90 0, 90 45, 0 45, 0 0), (22.5 11.25, 45 11.25, 45 22.5, 22.5 22.5, 22.5 11.25)), ((-90 -45, -45 -45, -45 -22.5, -90 -22.5, -90 -45)))"
 _IN_GEOMETRY = (
     "SELECT event_id FROM pts WHERE (y >= 2147483648 AND y < 3221225472 AND x >= 2147483648 AND x < 3221225472 AND NOT (y >= 2415919104 AND y < 2684354560 AND x >= 2415919104 AND x < 2684354560)) "

@@ -8,11 +8,15 @@ shuffles both sides where it isn't.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec, measure
 from quadrille.operators.coverage import keep_bits
+from quadrille.operators.graph import saved
+from quadrille.shipping import ship
 
 
 def levels_of(coverage: DataFrame) -> list[int]:
@@ -90,3 +94,72 @@ def within(points: DataFrame, centers: DataFrame, metres: float, code: str = "hh
     near = points.withColumn("cell", codec.at_resolution(F.col(code), res)).join(around, "cell")
     exact = measure.great_circle_degrees(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     return near.withColumn("distance", exact).filter(F.col("distance") <= metres).drop("cell", "_lat", "_lon")
+
+
+# --- intervals of codes --------------------------------------------------------------------------
+
+#: Intervals that are sent to every task at most, and pairs of a stretch of codes and a shape; larger coverages are joined by levels.
+BROADCAST_INTERVALS = 1 << 18
+BROADCAST_PAIRS = 1 << 20
+#: Cells that intervals don't reach beyond, so that a shape's cells are merged in parts.
+BLOCK_RES = 4
+#: A code with its first bit turned sorts as a signed number as codes do.
+FIRST_BIT = -(1 << 63)
+
+
+def intervals(coverage: DataFrame) -> DataFrame:
+    """(shape_id, low, high): the codes of each shape as intervals that don't touch inside a block; low and high have their first bit turned."""
+    rows = coverage.select("shape_id", "res", "cell").distinct()
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(64) - F.col("res") * 2).cast("int")) - 1
+    fine = rows.filter(F.col("res") >= BLOCK_RES).select("shape_id", F.col("cell").alias("low"), F.col("cell").bitwiseOR(F.when(F.col("res") == 32, F.lit(0)).otherwise(last)).alias("high"))
+    size = 1 << (64 - 2 * BLOCK_RES)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("cell").bitwiseOR(F.call_function("shiftleft", k.cast("long"), F.lit(64 - 2 * BLOCK_RES))))
+    wide = rows.filter(F.col("res") < BLOCK_RES).select("shape_id", F.explode(parts).alias("low")).select("shape_id", "low", F.col("low").bitwiseOR(codec.long(size - 1)).alias("high"))
+    turned = fine.unionByName(wide).select(
+        "shape_id", F.shiftrightunsigned("low", 64 - 2 * BLOCK_RES).alias("block"), F.col("low").bitwiseXOR(codec.long(FIRST_BIT)).alias("low"), F.col("high").bitwiseXOR(codec.long(FIRST_BIT)).alias("high")
+    )
+    along = Window.partitionBy("shape_id", "block").orderBy("low", "high")
+    reach = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = turned.withColumn("new", F.coalesce(F.col("low") - 1 > reach, F.lit(True)).cast("int"))
+    merged = begins.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("shape_id", "block", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return merged.select("shape_id", "low", "high")
+
+
+def _stretches(low: np.ndarray, high: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts of stretches of codes, and pairs (stretch, shape) for the shapes that have a stretch."""
+    after = high[high < np.iinfo(np.int64).max] + 1
+    starts = np.unique(np.concatenate([low, after]))
+    first, end = np.searchsorted(starts, low), np.searchsorted(starts, high, side="right")
+    size = end - first
+    at = np.repeat(first - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+    return starts, at, np.repeat(shape, size)
+
+
+def join_intervals(points: DataFrame, coverage: DataFrame, code: str = "hh") -> DataFrame:
+    """Each point with each shape it lies in, as join_points: one binary search for a point, whatever the levels of the coverage.
+
+    The intervals of all shapes are cut where any of them begins or ends; a point finds its stretch by bisection, and the stretch its shapes.
+    Up to BROADCAST_INTERVALS intervals are sent to the tasks; a coverage of more (or of shapes that overlap so much that there are over BROADCAST_PAIRS pairs) is joined by levels.
+    """
+    spark = points.sparkSession
+    found = saved(intervals(coverage))
+    if found.count() > BROADCAST_INTERVALS:
+        return join_points(points, coverage, code)
+    got = found.toArrow()
+    names = got["shape_id"].to_pylist()
+    known = sorted(set(names))
+    number = {name: k for k, name in enumerate(known)}
+    starts, at, shape = _stretches(got["low"].to_numpy(), got["high"].to_numpy(), np.array([number[n] for n in names], np.int64))
+    if len(at) > BROADCAST_PAIRS:
+        return join_points(points, coverage, code)
+    ship(spark)
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("long")
+    def stretch(codes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, codes.to_numpy(np.int64), side="right") - 1)
+
+    frame = pd.DataFrame({"_at": at, "_shape": [known[k] for k in shape]})
+    pairs = spark.createDataFrame(frame, f"_at bigint, _shape {coverage.schema['shape_id'].dataType.simpleString()}")
+    placed = points.filter(F.col(code).isNotNull()).withColumn("_at", stretch(F.col(code).bitwiseXOR(codec.long(FIRST_BIT))))
+    return placed.join(F.broadcast(pairs), "_at").select(*points.columns, F.col("_shape").alias("shape_id"))
