@@ -6,9 +6,12 @@ engines. The SQL works on hex digits and whole numbers of its own making, not on
 
 from __future__ import annotations
 
+import contextlib
 import math
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ from quadrille.operators import coverage as cov
 from quadrille.operators.graph import saved
 from quadrille.plans import areas
 from quadrille.sources import points as sources
-from quadrille.sources import wkt
-from quadrille.streaming import activity
+from quadrille.sources import shards, wkt
+from quadrille.streaming import activity, index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -998,12 +1001,70 @@ def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.contains(cells, bloom.build(pts, layout), layout).filter("member").select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
 
 
+@query(
+    sql_with(
+        SQL_POINTS, "own AS (SELECT DISTINCT event_type, substr(hex, 1, 6) AS hex FROM pts)", "cells AS (SELECT DISTINCT hex FROM own)", "types AS (SELECT DISTINCT event_type FROM own)",
+        "asked AS (SELECT t.event_type, o.hex IS NOT NULL AS mine FROM types t, cells c LEFT JOIN own o ON o.event_type = t.event_type AND o.hex = c.hex)",
+    )
+    + "SELECT event_type, count(*) FILTER (WHERE mine) AS members, count(*) FILTER (WHERE NOT mine) AS others, CAST(0 AS BIGINT) AS missed, true AS few_false FROM asked GROUP BY 1"
+)
+def bloom_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter for each event type, asked for the cells of all types: none of its own is missed, of the others it takes hardly more than its error says."""
+    layout, pts = bloom.Layout(max_res=12), points(spark, sf_dir)
+    own = saved(pts.select("event_type", F.lit(12).alias("res"), codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct())
+    types = [r[0] for r in own.select("event_type").distinct().collect()]  # a handful
+    asked = own.select("res", "cell").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, types))))
+    told = bloom.contains(asked, bloom.build(pts, layout, keys=["event_type"]), layout, keys=["event_type"])
+    marked = told.join(own.withColumn("mine", F.lit(True)), ["event_type", "res", "cell"], "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+    count = lambda c: F.count(F.when(c, 1))
+    others, false = count(~F.col("mine")), count(~F.col("mine") & F.col("member"))
+    return marked.groupBy("event_type").agg(
+        count(F.col("mine")).alias("members"), others.alias("others"), count(F.col("mine") & ~F.col("member")).alias("missed"), (false <= 2 * max(bloom.ERRORS[:4]) * others + 10).alias("few_false")
+    )
+
+
 @query(sql_with(SQL_POINTS) + "SELECT time_bucket(INTERVAL '5 minutes', CAST(ts AS TIMESTAMP)) AS start, substr(hex, 1, 2) AS hex, count(*) AS events, round(sum(value), 2) AS total FROM pts GROUP BY 1, 2")
 def activity_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = activity.cycles(points(spark, sf_dir))
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "hex", "events", F.round("total", 2).alias("total"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    saved(spark.range(1))  # names the folder for checkpoints where none is named
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql_with(SQL_POINTS) + "SELECT substr(hex, 1, 4) AS hex, event_type, count(*) AS events, round(sum(value), 2) AS total, min(event_id) AS first, max(event_id) AS last FROM pts GROUP BY 1, 2")
+def resumed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of cells kept by a stream that breaks off in the middle of a batch and starts again from its checkpoint."""
+    folder = _scratch(spark, "index")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in range(3):  # three files, so that there are batches
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = sources.of_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    with contextlib.suppress(StreamingQueryException):
+        index.keep(stream, f"{folder}/index", f"{folder}/checkpoint", ["event_type"], break_in=1)
+    index.keep(stream, f"{folder}/index", f"{folder}/checkpoint", ["event_type"])
+    found = index.read(spark, f"{folder}/index", ["event_type"])
+    return found.select("hex", "event_type", "events", F.round("total", 2).alias("total"), "first", "last")
+
+
+@query(sql_with(SQL_POINTS, _WEST) + "SELECT event_id FROM pts WHERE substr(hex, 1, 6) IN (SELECT hex FROM west)")
+def sharded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in shards of bounded size; a query's cells tell which shards are read."""
+    folder = _scratch(spark, "shards")
+    shards.write(points(spark, sf_dir).select("event_id", "hh"), folder, most_rows=500)
+    return shards.in_cells(spark, folder, shape(spark, WEST)).select("event_id")
+
+
+@query(sql_with(SQL_POINTS, *[f"n{d} AS MATERIALIZED (SELECT substr(hex, 1, {d}) AS hex, count(*) AS n FROM pts GROUP BY 1)" for d in range(1, 7)])
+       + " UNION ALL ".join([f"SELECT c.hex, c.n AS points FROM n{d} c" + (f" JOIN n{d - 1} u ON u.hex = substr(c.hex, 1, {d - 1}) AND u.n > 50" if d > 1 else "") + (" WHERE c.n <= 50" if d < 6 else "") for d in range(1, 7)]))
+def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that points are parted by: no more than 50 points each, or of resolution 12."""
+    return shards.plan(points(spark, sf_dir), most_rows=50, finest=12).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "points")
+
+
 @query(sql_with(SQL_POINTS) + "SELECT user_id, event_id, hex FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM pts) WHERE n = 1")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.latest(points(spark, sf_dir), ["user_id"], ties="event_id").select("user_id", "event_id", "hex")

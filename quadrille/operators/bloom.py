@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec
-from quadrille.operators.coverage import hex_of
+from quadrille.operators.coverage import hex_of, keep_bits
+from quadrille.operators.graph import saved
 from quadrille.operators.match import probes
 
 # Elements and error rates of the six generations.
@@ -44,9 +45,9 @@ class Layout:
         return list(range(1, self.hashes + 1))
 
 
-def members(points: DataFrame, layout: Layout, code: str = "hh") -> DataFrame:
+def members(points: DataFrame, layout: Layout, code: str = "hh", keys: list[str] | None = None) -> DataFrame:
     levels = [r for r in codec.RESOLUTIONS if r <= layout.max_res]
-    return probes(points.select(F.col(code).alias("hh")), levels).select("res", "cell").distinct()
+    return probes(points.select(*(keys or []), F.col(code).alias("hh")), levels).select(*(keys or []), "res", "cell").distinct()
 
 
 def _places(key: Column, layout: Layout, generation: int) -> Column:
@@ -61,43 +62,78 @@ def generation_of(total: int, layout: Layout) -> int:
     return next((g for g, n in enumerate(layout.sizes) if total <= n), len(layout.sizes) - 1)
 
 
-def build(points: DataFrame, layout: Layout | None = None, code: str = "hh") -> DataFrame:
-    """points -> (generation, word, bits). Generation -1 holds the exact bits."""
-    layout = layout or Layout()
-    found = members(points, layout, code)
-    generation = generation_of(found.filter("res > 4").count(), layout)
+def _chosen(total: Column, layout: Layout) -> Column:
+    out = F.lit(len(layout.sizes) - 1)
+    for g in reversed(range(len(layout.sizes))):
+        out = F.when(total <= layout.sizes[g], F.lit(g)).otherwise(out)
+    return out
+
+
+def _places_of(generation: Column, key: Column, layout: Layout, present: list[int]) -> Column:
+    """The places of a key in the generation that the row names."""
+    out = F.lit(None).cast("array<bigint>")
+    for g in present:
+        out = F.when(generation == g, _places(key, layout, g)).otherwise(out)
+    return out
+
+
+def build(points: DataFrame, layout: Layout | None = None, code: str = "hh", keys: list[str] | None = None) -> DataFrame:
+    """points -> (generation, word, bits), with keys a filter for each of their values. Generation -1 holds the exact bits.
+
+    Each filter's hashed members go to the generation that holds their number, so keys of any sizes are built in one aggregate.
+    """
+    layout, keys = layout or Layout(), keys or []
+    found = saved(members(points, layout, code, keys))
     exact = found.filter("res <= 4").select(
-        F.lit(-1).alias("generation"), F.when(F.col("res") == 2, F.shiftrightunsigned("cell", 60)).otherwise(16 + F.shiftrightunsigned("cell", 56)).alias("place")
+        *keys, F.lit(-1).alias("generation"), F.when(F.col("res") == 2, F.shiftrightunsigned("cell", 60)).otherwise(16 + F.shiftrightunsigned("cell", 56)).alias("place")
     )
     key = hex_of(F.col("res"), F.col("cell"))
-    hashed = found.filter("res > 4").select(F.lit(generation).alias("generation"), F.explode(_places(key, layout, generation)).alias("place"))
+    fine = found.filter("res > 4")
+    if keys:
+        sizes = saved(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("generation", _chosen(F.col("_n"), layout)).drop("_n"))
+        same = [F.col(f"_b.{k}").eqNullSafe(F.col(f"_a.{k}")) for k in keys]
+        placed = fine.alias("_a").join(sizes.alias("_b"), same).select(*[F.col(f"_a.{k}").alias(k) for k in keys], "generation", "res", "cell")
+        present = sorted(r[0] for r in sizes.select("generation").distinct().collect())  # six at most
+    else:
+        present = [generation_of(fine.count(), layout)]
+        placed = fine.withColumn("generation", F.lit(present[0]))
+    hashed = placed.select(*keys, "generation", F.explode(_places_of(F.col("generation"), key, layout, present)).alias("place"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(WORD)).cast("int"))
-    return exact.unionByName(hashed).groupBy("generation", F.floor(F.col("place") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return exact.unionByName(hashed).groupBy(*keys, "generation", F.floor(F.col("place") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merge(*filters: DataFrame) -> DataFrame:
+    """Filters of one layout as one; those with keys key by key."""
     out = filters[0]
     for f in filters[1:]:
         out = out.unionByName(f)
-    return out.groupBy("generation", "word").agg(F.bit_or("bits").alias("bits"))
+    return out.groupBy(*[c for c in out.columns if c != "bits"]).agg(F.bit_or("bits").alias("bits"))
 
 
-def contains(cells: DataFrame, bloom: DataFrame, layout: Layout | None = None, hierarchy: bool = False) -> DataFrame:
-    """cells (res, cell) with `member`. With hierarchy, all ancestors have to be members too. Cells finer than the filter are tested at its finest level."""
-    layout = layout or Layout()
-    fixed = cells.select("res", "cell").distinct().withColumn("_res", F.least("res", F.lit(layout.max_res)))
-    from quadrille.operators.coverage import keep_bits
+def contains(cells: DataFrame, bloom: DataFrame, layout: Layout | None = None, hierarchy: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """cells (res, cell) with `member`. With hierarchy, all ancestors have to be members too. Cells finer than the filter are tested at its finest level.
 
+    With keys each row is tested in the filter of its key; a key without a filter has no members. Only generations that a filter has are probed.
+    """
+    layout, keys = layout or Layout(), keys or []
+    fixed = saved(cells.select(*keys, "res", "cell").distinct()).withColumn("_res", F.least("res", F.lit(layout.max_res)))
     levels = F.sequence(F.lit(2), F.col("_res"), F.lit(2)) if hierarchy else F.array("_res")
     tried = fixed.withColumn("_r", F.explode(levels)).withColumn("_c", F.col("cell").bitwiseAND(keep_bits(F.col("_r"))))
+    held = saved(bloom.select(*keys, "generation").distinct())
+    present = sorted(r[0] for r in held.select("generation").distinct().collect())  # seven at most
     key = hex_of(F.col("_r"), F.col("_c"))
-    options = [F.struct(F.lit(-1).alias("generation"), F.array(F.when(F.col("_r") == 2, F.shiftrightunsigned("_c", 60)).otherwise(16 + F.shiftrightunsigned("_c", 56))).alias("places"))]
-    hashed = [F.struct(F.lit(g).alias("generation"), _places(key, layout, g).alias("places")) for g in range(len(layout.sizes))]
-    spread = tried.withColumn("_o", F.explode(F.when(F.col("_r") <= 4, F.array(*options)).otherwise(F.array(*hashed))))
-    bits = spread.select("res", "cell", "_r", F.col("_o.generation").alias("generation"), F.explode("_o.places").alias("_p"))
-    looked = bits.withColumn("word", F.floor(F.col("_p") / WORD)).join(bloom, ["generation", "word"], "left")
+    exact = F.array(F.when(F.col("_r") == 2, F.shiftrightunsigned("_c", 60)).otherwise(16 + F.shiftrightunsigned("_c", 56)))
+    places = F.when(F.col("generation") == -1, exact).otherwise(_places_of(F.col("generation"), key, layout, [g for g in present if g >= 0]))
+    fits = (F.col("_r") <= 4) == (F.col("generation") == -1)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    asked = tried.alias("_a").join(held.alias("_b"), [*same("_a", "_b"), fits]) if keys else tried.join(F.broadcast(held), fits)
+    own = [F.col(f"_a.{k}").alias(k) for k in keys]
+    bits = asked.select(*own, "res", "cell", "_r", "generation", F.explode(places).alias("_p")).withColumn("word", F.floor(F.col("_p") / WORD))
+    looked = bits.alias("_a").join(bloom.alias("_b"), [*same("_a", "_b"), F.col("_a.generation") == F.col("_b.generation"), F.col("_a.word") == F.col("_b.word")], "left").select(*own, "res", "cell", "_r", "_a.generation", "_p", "bits")
     one = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), F.pmod("_p", F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    by_generation = looked.groupBy("res", "cell", "_r", "generation").agg(F.bool_and(one).alias("_in"))
-    by_level = by_generation.groupBy("res", "cell", "_r").agg(F.bool_or("_in").alias("_in"))
-    verdict = by_level.groupBy("res", "cell").agg(F.bool_and("_in").alias("member"))
-    return cells.join(verdict, ["res", "cell"])
+    by_generation = looked.groupBy(*keys, "res", "cell", "_r", "generation").agg(F.bool_and(one).alias("_in"))
+    by_level = by_generation.groupBy(*keys, "res", "cell", "_r").agg(F.bool_or("_in").alias("_in"))
+    # a level without a generation is no member
+    verdict = by_level.groupBy(*keys, "res", "cell").agg((F.bool_and("_in") & (F.count(F.lit(1)) == (F.least(F.col("res"), F.lit(layout.max_res)) / 2 if hierarchy else F.lit(1)))).alias("_member"))
+    told = cells.alias("_a").join(verdict.alias("_b"), [*same("_a", "_b"), F.col("_a.res") == F.col("_b.res"), F.col("_a.cell") == F.col("_b.cell")], "left")
+    return told.select(*[F.col(f"_a.`{c}`") for c in cells.columns], F.coalesce("_member", F.lit(False)).alias("member"))

@@ -6,31 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec
-from quadrille.operators.coverage import hex_of
-from quadrille.operators.match import probes
+from quadrille.operators.coverage import hex_of, keep_bits
+from quadrille.operators.graph import saved
 
 
 def rollup(points: DataFrame, min_res: int = 2, max_res: int = 16, threshold: int = 0, code: str = "hh", weight: str | None = None) -> DataFrame:
     """For each resolution and cell: weight (points, or a column's sum), centroid (hex), and the points themselves where they are `threshold` at most.
 
-    Sums and counts are combined before the shuffle. Members are gathered in a second step and only
-    for cells known to have few, so no crowded cell is ever collected.
+    Points are summed once, at the finest level; coarser levels are sums of its rows. Members are gathered only in finest cells
+    that have few and go up only to cells that have few in all, so no crowded cell is ever collected.
     """
     levels = [r for r in codec.RESOLUTIONS if min_res <= r <= max_res]
+    finest = max(levels)
+    y, x = codec.y_of(F.col("hh")), codec.x_of(F.col("hh"))
     measured = points.select(F.col(code).alias("hh"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
-    spread = probes(measured.withColumn("_y", codec.y_of(F.col("hh"))).withColumn("_x", codec.x_of(F.col("hh"))), levels)
     # units have 32 bits: whole-number sums of them are exact, whatever the order
-    sums = spread.groupBy("res", "cell").agg(
-        F.count(F.lit(1)).alias("points"), F.sum("_w").alias("weight"),
-        F.sum(F.col("_y").cast("decimal(38,0)")).alias("_sy"), F.sum(F.col("_x").cast("decimal(38,0)")).alias("_sx"),
-    )
+    fine = saved(
+        measured.groupBy(codec.at_resolution(F.col("hh"), finest).alias("_fine")).agg(
+            F.count(F.lit(1)).alias("points"), F.sum("_w").alias("weight"), F.sum(y.cast("decimal(38,0)")).alias("_sy"), F.sum(x.cast("decimal(38,0)")).alias("_sx")
+        )
+    )
+    up = lambda rows: rows.withColumn("res", F.explode(F.array(*map(F.lit, levels)))).withColumn("cell", F.col("_fine").bitwiseAND(keep_bits(F.col("res"))))
+    sums = up(fine).groupBy("res", "cell").agg(*[F.sum(c).alias(c) for c in ("points", "weight", "_sy", "_sx")])
     mean = lambda c: F.floor(F.col(c) / F.col("points")).cast("long")
     out = sums.select(
         "res", hex_of(F.col("res"), F.col("cell")).alias("hex"), "points", "weight", codec.to_hex(codec.encode_units(mean("_sy"), mean("_sx"))).alias("centroid"), "cell"
     )
     if threshold > 0:
+        out = saved(out)
         few = out.filter(F.col("points") <= threshold).select("res", "cell")
-        members = spread.join(few, ["res", "cell"]).groupBy("res", "cell").agg(F.array_sort(F.collect_list(codec.to_hex(F.col("hh")))).alias("markers"))
+        small = fine.filter(F.col("points") <= threshold).select("_fine")
+        held = measured.withColumn("_fine", codec.at_resolution(F.col("hh"), finest)).join(small, "_fine").groupBy("_fine").agg(F.collect_list(codec.to_hex(F.col("hh"))).alias("_some"))
+        members = up(held).join(few, ["res", "cell"]).groupBy("res", "cell").agg(F.array_sort(F.flatten(F.collect_list("_some"))).alias("markers"))
         out = out.join(members, ["res", "cell"], "left")
     else:
         out = out.withColumn("markers", F.lit(None).cast("array<string>"))

@@ -46,7 +46,7 @@ def _matched(points: DataFrame, wanted: DataFrame, levels: list[int], code: str)
 
 def _filtered(points: DataFrame, coverage: DataFrame, code: str, low: int, high: int, inside: bool) -> DataFrame:
     """Points in the coverage, or the others. Up to BROADCAST_CELLS its cells go to the points, a look-up for each level, and no point is shuffled."""
-    wanted = coverage.filter(F.col("res").between(low, high)).select("res", "cell").distinct()
+    wanted = saved(coverage.filter(F.col("res").between(low, high)).select("res", "cell").distinct())  # read once for each level
     held = {r["res"]: r["count"] for r in wanted.groupBy("res").count().collect()}  # 16 levels at most
     if sum(held.values()) > BROADCAST_CELLS:
         return points.join(_matched(points, wanted, sorted(held), code), F.col(code) == F.col("_code"), "left_semi" if inside else "left_anti")
@@ -120,7 +120,8 @@ def intervals(coverage: DataFrame) -> DataFrame:
     )
     along = Window.partitionBy("shape_id", "block").orderBy("low", "high")
     reach = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begins = turned.withColumn("new", F.coalesce(F.col("low") - 1 > reach, F.lit(True)).cast("int"))
+    apart = F.col("low") > F.try_add(F.col("reach"), F.lit(1).cast("long"))  # null beyond the last code, where nothing begins
+    begins = turned.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | F.coalesce(apart, F.lit(False))).cast("int"))
     merged = begins.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("shape_id", "block", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return merged.select("shape_id", "low", "high")
 
