@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 #: What a text must not hold unescaped: [ or <, backslashes, and one of these.
 CONTROL = r"/?s>|/?INST\]|/?SYS\]|ANS\]|/?ROLE\]|SEP\]|/END\]"
 ASSISTANT = "assistant"
+#: Pieces whose lengths are added up together, and code points of a page.
+PIECES = 256
+PAGE = 4096
 
 
 def escape(text: Column) -> Column:
@@ -98,18 +101,21 @@ def format_conversations(conversations: DataFrame, chunk: int = 64) -> DataFrame
         return F.concat(texts, F.array(piece(F.when(ends, closing(role)).otherwise(F.lit("")), False)))
 
     pieces = whole.select("conv_id", F.flatten(F.transform("blocks", written)).alias("pieces"))
-    start = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, end: bigint>>))")
+    # where each run of PIECES pieces begins, then where each piece of a run does: no array grows by one for every piece of a conversation
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / PIECES).cast("int")), lambda g: F.slice("pieces", g * PIECES + 1, F.lit(PIECES)))
+    length = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, p: n + F.char_length(p["text"]))
+    parted = pieces.withColumn("runs", runs).withColumn("lengths", F.transform("runs", length))
+    started = parted.withColumn("starts", F.aggregate("lengths", F.array(F.lit(0).cast("long")), lambda done, n: F.concat(done, F.array(F.get(done, F.size(done) - 1) + n))))
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
 
     def measure(state: Column, p: Column) -> Column:
         end = state["at"] + F.char_length(p["text"])
         span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate("pieces", start, measure, lambda s: s["spans"]).alias("loss_spans"),
-    )
+    within = lambda starts: F.transform("runs", lambda run, g: F.aggregate(run, F.struct(F.get(starts, g).alias("at"), none.alias("spans")), measure, lambda s: s["spans"]))
+    spans = F.transform(F.array("starts"), within)[0]  # bound to a variable, so that they aren't worked out for each run
+    return started.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), F.flatten(spans).alias("loss_spans"))
 
 
 OPENS = r"\[INST\]|\[SYS\]|\[ANS\]|\[ROLE\]"
@@ -133,4 +139,17 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """What stands in the spans, unescaped. The text is cut into pages first, so that no span is counted out from the text's start."""
+    pages = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    page = lambda at: F.floor(at / PAGE).cast("int")
+
+    def piece(pages: Column, s: Column) -> Column:
+        def part(k: Column) -> Column:
+            start = F.greatest(s["start"] - k * PAGE, F.lit(0)).cast("int")
+            return F.substring(F.get(pages, k), start + 1, F.least(s["end"] - k * PAGE, F.lit(PAGE)).cast("int") - start)
+
+        told = F.array_join(F.transform(F.sequence(page(s["start"]), page(s["end"] - 1)), part), "")
+        return F.when(s["end"] > s["start"], unescape(told)).otherwise("")
+
+    # bound to a variable, so that the text is cut once
+    return F.transform(F.array(pages), lambda p: F.array_join(F.transform(spans, lambda s: piece(p, s)), ""))[0]
