@@ -92,16 +92,19 @@ class Matcher:
         found = []
         for k, starts in wanted.items():
             item, errors = self.items[k]
-            best, end, done = errors + 1, 0, -1
-            for start in sorted(set(starts)):
-                # a stretch from `start` may begin and end up to `errors` off
-                low, high = max(start - errors, 0), start + len(item) + errors
-                if high <= done:
+            best, end = errors + 1, 0
+            # a stretch from a start may begin and end up to `errors` off; stretches that overlap are gone through once, as one
+            low = high = None
+            for start in [*sorted(set(starts)), None]:
+                if start is not None and high is not None and start - errors <= high:
+                    high = start + len(item) + errors
                     continue
-                distance, at = best_match(self.masks[k], len(item), text[low:high])
-                done = high
-                if distance < best:
-                    best, end = distance, low + at
+                if high is not None:
+                    distance, at = best_match(self.masks[k], len(item), text[low:high])
+                    if distance < best:
+                        best, end = distance, low + at
+                if start is not None:
+                    low, high = max(start - errors, 0), start + len(item) + errors
             if best <= errors:
                 found.append((k, best, end))
         return found
