@@ -4,8 +4,8 @@ A random string costs a byte-pair vocabulary many tokens: fewer than `ratio` cha
 Runs of 20 and more key characters are tested, unless they are known digests (hexadecimal of a
 digest's length, UUIDs) or identifiers (words of 3 to 15 letters and short numbers joined by marks or by
 capitals, and numbers of up to 20 digits, as 64-bit ids have). Stretches of a run between its words are tested as well as the whole, so that a readable name or path before a key
-doesn't hide it; the span is the whole run. Groups of 3 to 15 letters between marks pass for words, whatever the letters. Runs that
-overlap a span of a fixed pattern aren't tested: that span stands for them.
+doesn't hide it; the span is the whole run. Groups of 3 to 15 letters between marks pass for words unless the whole run has fewer
+than WORD_RATIO characters for a token. Of a run that overlaps spans of fixed patterns, what is left beside them is tested, 20 characters or more each.
 
 Spans are in code points, end exclusive. Null text counts as empty; an empty text has no spans;
 repeated rows are scanned each; only doc_id and the results are returned by `scan`.
@@ -42,6 +42,8 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 MARKS = re.compile(r"[+/_=.-]+")
 #: Words (a capital may begin one), upper-case words and numbers; no two ways to cut a text.
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
+#: Characters for a token below which a run of letter groups isn't made of words either.
+WORD_RATIO = 1.6
 #: What a 64-bit id can't be.
 LONG_NUMBER = re.compile(r"[0-9]{21}")
 CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
@@ -98,7 +100,9 @@ def looks_random(run: str, ratio: float, path: str) -> bool:
             words += len(part) if word else 0
     text = "".join(whole)
     if not other and (not mixed or 2 * words >= len(text)):
-        return False
+        # words by their shape alone: no vocabulary takes a word in pieces this small
+        letters = "".join(whole).strip("+/_=.-")
+        return len(letters) >= 20 and any(c.isalpha() for c in letters) and len(letters) < min(ratio, WORD_RATIO) * len(encoding(path).encode_ordinary(letters))
     for some in (*tested, "".join(stretch), text):
         some = some.strip("+/_=.-")
         if len(some) >= 20 and (LONG_NUMBER.search(some) or any(c.isalpha() for c in some)) and len(some) < ratio * len(encoding(path).encode_ordinary(some)):
@@ -112,8 +116,15 @@ def spans_of(text: str, ratio: float, path: str) -> list[Span]:
     starts, reach = [s for s, _ in taken], [*accumulate((e for _, e in taken), max)]
     for m in RUN.finditer(text):
         before = bisect_left(starts, m.end())
-        if (not before or reach[before - 1] <= m.start()) and looks_random(m[0], ratio, path):
-            found.append(("token", m.start(), m.end()))
+        if not before or reach[before - 1] <= m.start():
+            rests = [m.span()]
+        else:  # what stands beside base spans
+            rests, at = [], m.start()
+            for s, e in [*((s, e) for s, e in taken[:before] if e > m.start()), (m.end(), m.end())]:
+                if s - at >= 20:
+                    rests.append((at, s))
+                at = max(at, e)
+        found += [("token", a, b) for a, b in rests if looks_random(text[a:b], ratio, path)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
