@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_substr, prefix_trie, queries, spelling, toxic_crf
+from quadrille.llm import chat_format, decontaminate, exact_substr, prefix_trie, queries, secrets, spelling, toxic_crf
 from tests.llm.test_operators import DOCS, LONG, ODD
 
 CHAT = "conv_id long, turn long, role string, text string"
@@ -270,3 +271,42 @@ def test_thousands_of_equal_rows_lose_their_repeats(spark):
     docs = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
     got = exact_substr.remove_repeats(docs).groupBy("n_bytes", "n_removed", F.size("removed").alias("spans")).count().collect()
     assert [tuple(r) for r in got] == [(len(text), len(text), 1, 3_000)]
+
+
+# --- 1, 6, 10 ------------------------------------------------------------------------------------
+
+
+def test_long_conversations_read_back(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é [SEP] </s> "), F.repeat(F.col("id").cast("string"), 20)).alias("text"))
+    done = chat_format.format_conversations(rows).withColumn("loss", chat_format.masked_text(F.col("formatted"), F.col("loss_spans")))
+    got = done.select("loss", F.size(chat_format.read_turns(F.col("formatted"))).alias("turns")).first()
+    assert got["turns"] == n and got["loss"] == "".join(f"é [SEP] </s> {str(k) * 20}" for k in range(n) if k % 3)
+
+
+def test_masks_over_page_borders(spark):
+    text = "".join(chr(97 + k % 26) if k % 7 else "é" for k in range(9_000))
+    spans = [(0, 1), (4_095, 4_097), (4_096, 4_096), (5_000, 8_999), (8_192, 9_000)]
+    rows = spark.createDataFrame([(text, spans), ("", []), ("x", [])], "t string, s array<struct<start: bigint, end: bigint>>")
+    assert [r[0] for r in rows.select(chat_format.masked_text(F.col("t"), F.col("s"))).collect()] == ["".join(text[a:b] for a, b in spans), "", ""]
+
+
+def test_repeated_pieces_are_verified_once():
+    matcher = decontaminate.Matcher(["ab" * 20], 0.08)
+    begun = time.time()
+    assert matcher.find("ab" * 300_000) == [(0, 0, 40)]
+    assert time.time() - begun < 20
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    matcher = decontaminate.Matcher([item], 0.08)
+    assert [d for _, d, _ in matcher.find(f"{item[:20]} {item.replace('fox', 'fax')} {item[30:]}")] == [1]
+
+
+def test_secrets_beside_base_spans_and_without_words():
+    path = secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kinds = lambda text: [(k, text[a:b]) for k, a, b in secrets.spans_of(text, 2.3, path)]
+    key, digest = "kJ8sQ2mZx9Lw4Rt7Vb1Nc6Yp", "0123456789abcdef" * 2
+    assert kinds(f"see {key}/{digest} there") == [("token", f"{key}/"), ("hex", digest)]
+    assert kinds(f"{digest}{key.upper()}G") == [("hex", digest), ("token", f"{key.upper()}G")]
+    for text in ("xkqzvbtrwm-plkjhgfdsq-zxcvbnmtr", "QZXWV/KJPTR/BNMLS/DFGHY"):
+        assert kinds(f"x {text} y") == [("token", text)]
+    assert kinds("some-readable-name/of-things/here-and-there MAX_NUMBER_OF_RECORDS_PER_FILE") == []
