@@ -273,6 +273,32 @@ def functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql_with(SQL_POINTS) + f"SELECT event_id, {sql_hex()} AS hex FROM pts")
+def codes_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes from places written as lat:lon."""
+    told = F.concat_ws(":", F.col("lat").cast("string"), F.col("lon").cast("string"))
+    return points(spark, sf_dir).select("event_id", codec.to_hex(codec.encode_text(told)).alias("hex"))
+
+
+@query(sql_with(SQL_POINTS) + "SELECT event_id, list_transform(range(1, 16), lambda i: substr('0123456789abcdef', CAST(i + 1 AS BIGINT), 1) || rpad(substr(hex, 1, CAST(i AS BIGINT)), 15, '0')) AS cells FROM pts")
+def ancestor_geocells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All geocells around each event, from coarse to fine, as digits."""
+    return points(spark, sf_dir).select("event_id", F.transform(hierarchy.ancestors(F.col("hh")), lambda c: codec.to_hex(c)).alias("cells"))
+
+
+_AROUND = ", ".join(f"({k}, {y}, {x})" for k, (y, x) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))))
+
+
+@query(
+    sql_with(SQL_POINTS, "cells AS (SELECT DISTINCT substr(hex, 1, 4) AS hex, (y >> 24) AS cy, (x >> 24) AS cx FROM pts)")
+    + f"SELECT hex, k, round((cy + dy) * 16777216 * (180e0/4294967296) - 90, 6) + 0e0 AS lat, round((cx + dx) * 16777216 * (360e0/4294967296) - 180, 6) + 0e0 AS lon FROM cells, (VALUES {_AROUND}) r(k, dy, dx)"
+)
+def cell_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed outlines of single cells."""
+    cells = points(spark, sf_dir).select(codec.at_resolution(F.col("hh"), 8).alias("cell")).distinct()
+    return cells.select(codec.to_hex(F.col("cell"), 8).alias("hex"), F.posexplode(hierarchy.cell_ring(F.col("cell"), 8)).alias("k", "p")).select("hex", "k", (F.round("p.lat", 6) + 0.0).alias("lat"), (F.round("p.lon", 6) + 0.0).alias("lon"))
+
+
 # --- roll-ups ------------------------------------------------------------------------------------
 
 
@@ -412,6 +438,12 @@ def coverage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hex(cov.dedup(mixed(spark, sf_dir)))
 
 
+@query(sql_with(SQL_POINTS, _MIXED) + "SELECT event_id FROM pts WHERE substr(hex, 1, 3) IN (SELECT hex FROM mixed WHERE length(hex) = 3)")
+def member_at_one_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in cells of one resolution, whatever else a coverage has."""
+    return match.semi_join(points(spark, sf_dir), mixed(spark, sf_dir), low=6, high=6).select("event_id")
+
+
 @query(sql_with(SQL_POINTS, SQL_SEEN) + "SELECT shape_id, hex FROM (SELECT *, count(*) OVER (PARTITION BY shape_id, substr(hex, 1, 1)) AS n FROM seen) WHERE n > 9")
 def coverage_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hex(cov.prune(seen(spark, sf_dir), 0x0900000000000000))
@@ -521,11 +553,11 @@ def mean_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.summary(mixed(spark, sf_dir)).select("shape_id", "mean_res")
 
 
-@query(sql_with(SQL_POINTS, "boxes AS (SELECT event_type AS shape_id, min(y) >> 26 AS y0, max(y) >> 26 AS y1, min(x) >> 26 AS x0, max(x) >> 26 AS x1 FROM pts WHERE value > 100 GROUP BY 1)", "grid AS (SELECT shape_id, a.v * 67108864 AS y, b.v * 67108864 AS x FROM boxes, range(64) a(v), range(64) b(v) WHERE a.v BETWEEN y0 AND y1 AND b.v BETWEEN x0 AND x1)") + f"SELECT shape_id, {sql_hex(digits=3)} AS hex FROM grid")
+@query(sql_with(SQL_POINTS, "boxes AS (SELECT event_type AS shape_id, min(y) >> 26 AS y0, max(y) >> 26 AS y1, min(x) >> 26 AS x0, max(x) >> 26 AS x1 FROM pts GROUP BY 1)", "grid AS (SELECT shape_id, a.v * 67108864 AS y, b.v * 67108864 AS x FROM boxes, range(64) a(v), range(64) b(v) WHERE a.v BETWEEN y0 AND y1 AND b.v BETWEEN x0 AND x1)") + f"SELECT shape_id, {sql_hex(digits=3)} AS hex FROM grid")
 def rectangle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of a rectangle around each type's events of some value."""
+    """The cells of a rectangle around each type's events."""
     y, x = codec.y_of(F.col("hh")), codec.x_of(F.col("hh"))
-    boxes = points(spark, sf_dir).filter("value > 100").groupBy(F.col("event_type").alias("shape_id"), F.lit(6).alias("res")).agg(F.min(y).alias("swy"), F.min(x).alias("swx"), F.max(y).alias("ney"), F.max(x).alias("nex"))
+    boxes = points(spark, sf_dir).groupBy(F.col("event_type").alias("shape_id"), F.lit(6).alias("res")).agg(F.min(y).alias("swy"), F.min(x).alias("swx"), F.max(y).alias("ney"), F.max(x).alias("nex"))
     return as_hex(cover.rectangles(boxes))
 
 
@@ -715,6 +747,12 @@ def kml(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- areas and their edges -----------------------------------------------------------------------
 
 
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each user's event to the next, as segments at resolution 6."""
+    places = points(spark, sf_dir).select("user_id", "ts", "event_id", codec.y_of(F.col("hh")).alias("y"), codec.x_of(F.col("hh")).alias("x"))
+    return cover.legs(places, "user_id", "ts", "event_id").withColumnRenamed("user_id", "shape_id").withColumn("shape_id", F.col("shape_id").cast("string")).withColumn("res", F.lit(6))
+
+
 def _in(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     return match.join_points(points(spark, sf_dir).select("event_id", "hh"), cells).select("event_id", "shape_id")
 
@@ -793,9 +831,21 @@ _STAR_X = "400000000 + (s_suppkey * 104729 % 340000) * 10000 + ({dx}) * (1 + s_s
 )
 def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells of a star around each supplier."""
+    return as_hex(cover.polygons(_stars(spark, sf_dir)))
+
+
+@query(
+    f"SELECT CAST(s_suppkey AS VARCHAR) AS shape_id, {_STAR_Y.format(dy=min(y for y, _ in _STAR))} AS swy, {_STAR_X.format(dx=min(x for _, x in _STAR))} AS swx, "
+    f"{_STAR_Y.format(dy=max(y for y, _ in _STAR))} AS ney, {_STAR_X.format(dx=max(x for _, x in _STAR))} AS nex FROM supplier"
+)
+def boxes_of_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box around each star's corners."""
+    return _stars(spark, sf_dir).withColumn("b", resolution.bbox_of_vertices(F.col("ring"))).select("shape_id", "b.swy", "b.swx", "b.ney", "b.nex")
+
+
+def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = ", ".join(f"struct(cast({_STAR_Y.format(dy=dy)} as bigint) as y, cast({_STAR_X.format(dx=dx)} as bigint) as x)" for dy, dx in _STAR)
-    rings = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as string) as shape_id", "8 as res", f"array({corners}) as ring")
-    return as_hex(cover.polygons(rings))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as string) as shape_id", "8 as res", f"array({corners}) as ring")
 
 
 @query(
@@ -812,12 +862,8 @@ def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on the way from each user's event to the next."""
-    from pyspark.sql import Window
-
-    pts = points(spark, sf_dir).withColumn("y", codec.y_of(F.col("hh"))).withColumn("x", codec.x_of(F.col("hh")))
-    nxt = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = pts.select(F.col("user_id").cast("string").alias("shape_id"), F.lit(6).alias("res"), F.col("y").alias("y1"), F.col("x").alias("x1"), F.lead("y").over(nxt).alias("y2"), F.lead("x").over(nxt).alias("x2"))
-    return as_hex(cover.lines(pairs.filter("y2 is not null"))).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
+    pairs = _legs(spark, sf_dir)
+    return as_hex(cover.lines(pairs)).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
 
 
 @query(
@@ -835,10 +881,7 @@ def line_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on the way through each user's events, one for each step along the longer axis."""
-    vertex = F.struct("ts", "event_id", F.struct(codec.y_of(F.col("hh")).alias("y"), codec.x_of(F.col("hh")).alias("x")).alias("v"))
-    ways = points(spark, sf_dir).filter("user_id is not null").groupBy(F.col("user_id").cast("string").alias("shape_id"), F.lit(6).alias("res")).agg(F.array_sort(F.collect_list(vertex)).alias("_w"))
-    paths = ways.select("shape_id", "res", F.transform("_w", lambda w: w["v"]).alias("vertices"))
-    return as_hex(cover.polylines(paths, stepped=True)).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
+    return as_hex(cover.stepped_lines(_legs(spark, sf_dir).filter("shape_id is not null"))).groupBy("hex").agg(F.count(F.lit(1)).alias("users"))
 
 
 _SITE = "((s_suppkey * 7919) % 150001) / 1e3 - 75e0 AS lat, ((s_suppkey * 104729) % 340000) / 1e3 - 170e0 AS lon"
@@ -978,6 +1021,19 @@ def geohash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geohash.to_cells(hashes).select("geohash", cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
 
 
+_FOUR = "array_to_string(list_transform(range(4), lambda k: substr('" + geohash.ALPHABET + "', 1 + " + _FIVE + ", 1)), '')"
+
+
+@query(
+    sql_with(SQL_POINTS, "cells AS (SELECT DISTINCT substr(hex, 1, 4) AS cell, (y >> 24) << 24 AS cy, (x >> 24) << 24 AS cx FROM pts)", "parts AS (SELECT cell, cy + (a << 22) AS y, cx + (b << 22) AS x FROM cells, range(4) r(a), range(4) s(b))")
+    + f"SELECT DISTINCT cell, {_FOUR} AS geohash FROM parts"
+)
+def geohash_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geohashes of four letters that make up cells of resolution 8."""
+    cells = points(spark, sf_dir).select(F.lit(8).alias("res"), codec.at_resolution(F.col("hh"), 8).alias("cell"), codec.to_hex(F.col("hh"), 8).alias("name")).distinct()
+    return geohash.from_cells(cells).withColumnRenamed("name", "cell")
+
+
 # --- membership, time ----------------------------------------------------------------------------
 
 
@@ -1001,6 +1057,14 @@ def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.contains(cells, bloom.build(pts, layout), layout).filter("member").select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"))
 
 
+@query(sql_with(SQL_POINTS) + "SELECT DISTINCT substr(hex, 1, 6) AS hex FROM pts")
+def bloom_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of all events pass with all their ancestors, asked for at a finer level than the filter has."""
+    layout, pts = bloom.Layout(max_res=12, sliced=True), points(spark, sf_dir)
+    cells = pts.select(F.lit(14).alias("res"), codec.at_resolution(F.col("hh"), 14).alias("cell")).distinct()
+    return bloom.contains(cells, bloom.build(pts, layout), layout, hierarchy=True).filter("member").select(cov.hex_of(F.lit(12), F.col("cell")).alias("hex")).distinct()
+
+
 @query(
     sql_with(
         SQL_POINTS, "own AS (SELECT DISTINCT event_type, substr(hex, 1, 6) AS hex FROM pts)", "cells AS (SELECT DISTINCT hex FROM own)", "types AS (SELECT DISTINCT event_type FROM own)",

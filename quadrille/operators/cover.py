@@ -127,6 +127,23 @@ def polylines(paths: DataFrame, stepped: bool = False) -> DataFrame:
     return (stepped_lines if stepped else lines)(pairs.select("shape_id", "res", F.col("_v.y").alias("y1"), F.col("_v.x").alias("x1"), F.col("_w.y").alias("y2"), F.col("_w.x").alias("x2"))).distinct()
 
 
+def legs(places: DataFrame, key: str, ts: str, ties: str, seconds: int = 86_400) -> DataFrame:
+    """(key, ts, ties, y, x) -> (key, y1, x1, y2, x2): from each place of a key to its next one.
+
+    A key's places are put in order by stretches of time, so that the track of one busy key is sorted by many tasks; the last place of a stretch goes on
+    to the first one of the key's next stretch. Places without a time come first.
+    """
+    part = F.coalesce(F.floor(F.col(ts).cast("timestamp").cast("double") / seconds), F.lit(-(1 << 62)))
+    rows = saved(places.select(key, ts, ties, "y", "x", part.alias("_part")))
+    inner = Window.partitionBy(key, "_part").orderBy(ts, ties)
+    led = rows.withColumn("_to", F.lead(F.struct("y", "x")).over(inner))
+    firsts = rows.groupBy(key, "_part").agg(F.min(F.struct(ts, ties, "y", "x")).alias("_first"))
+    further = firsts.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_next"))
+    ended = led.filter("_to is null").join(further, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    ways = led.filter("_to is not null").select(key, "y", "x", "_to.y", "_to.x").toDF(key, "y1", "x1", "y2", "x2")
+    return ways.unionByName(ended.filter("_next is not null").select(key, "y", "x", "_next.y", "_next.x").toDF(key, "y1", "x1", "y2", "x2"))
+
+
 def resample(paths: DataFrame) -> DataFrame:
     """(shape_id, res, vertices) -> (shape_id, k, y, x): cell centres along a polyline, repeats in a row dropped."""
     spread = paths.select("shape_id", "res", F.posexplode("vertices").alias("k", "_v"))

@@ -33,8 +33,9 @@ def of_events(events: DataFrame) -> DataFrame:
 
 
 def write_partitioned(points: DataFrame, path: str, res: int = 4) -> None:
-    """Points in folders by their cell: a query for some cells reads those folders only."""
-    points.withColumn("shard", codec.to_hex(F.col("hh"), res)).write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Points in folders by their cell: a query for some cells reads those folders only. A folder is written by a few tasks, not by all; see shards for folders of bounded size."""
+    dealt = points.withColumn("shard", codec.to_hex(F.col("hh"), res)).repartition("shard", F.pmod(F.xxhash64("hh"), F.lit(8)))
+    dealt.write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def read_partitioned(spark: SparkSession, path: str, cells: list[str] | None = None) -> DataFrame:
