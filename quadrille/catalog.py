@@ -341,7 +341,7 @@ _EAST = sql_region("east", 10, 40.0, 0.5, 60.0, 40.0)
 
 @query(sql_with(SQL_POINTS, _WEST) + "SELECT substr(p.hex, 1, 3) AS hex, count(*) AS points FROM pts p JOIN west w ON substr(p.hex, 1, 6) = w.hex GROUP BY 1")
 def point_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroid.density(match.semi_join(points(spark, sf_dir), cov.optimize(shape(spark, WEST))), 6)
+    return centroid.density(match.semi_join(points(spark, sf_dir), cover.compact(spark, [WEST])), 6)
 
 
 @query(sql_with(SQL_POINTS, _WEST) + "SELECT event_id FROM pts WHERE substr(hex, 1, 6) IN (SELECT hex FROM west)")
@@ -365,7 +365,7 @@ def points_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["points_by_shape"])
 def points_by_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by binary search in intervals of codes."""
-    return match.join_intervals(points(spark, sf_dir).select("event_id", "hh"), cov.optimize(shape(spark, WEST, EAST))).select("event_id", "shape_id")
+    return match.join_intervals(points(spark, sf_dir).select("event_id", "hh"), cover.compact(spark, [WEST, EAST])).select("event_id", "shape_id")
 
 
 def _algebra(rule: str) -> str:

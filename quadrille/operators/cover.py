@@ -189,6 +189,41 @@ def definitions(spark: SparkSession, defs: list[tuple[str, str, int]]) -> DataFr
     return saved(polygons(_rings(spark, [(shape_id, res, areas.parse_area(text)) for shape_id, text, res in defs])))
 
 
+#: Cells of a rectangle that are worked out on the driver at most.
+LITERAL_CELLS = 1 << 16
+
+
+def rectangle_tree(low: areas.Vertex, high: areas.Vertex, res: int) -> list[tuple[int, int]]:
+    """(resolution, code) of the fewest cells down to `res` that hold a rectangle of units, both corners in it; their number goes with its rim."""
+    step = 1 << (32 - res)
+    south, west, north, east = low[0] // step * step, low[1] // step * step, high[0] // step * step + step, high[1] // step * step + step
+    found, open_cells = [], [(0, 0, 0)]
+    while open_cells:
+        r, y, x = open_cells.pop()
+        s = 1 << (32 - r)
+        if y >= north or y + s <= south or x >= east or x + s <= west:
+            continue
+        if r and south <= y and y + s <= north and west <= x and x + s <= east:
+            found.append((r, codec.interleave(y, x)))
+        else:
+            open_cells += [(r + 2, y + s // 4 * a, x + s // 4 * b) for a in range(4) for b in range(4)]
+    return found
+
+
+def compact(spark: SparkSession, defs: list[tuple[str, str, int]]) -> DataFrame:
+    """As optimize(definitions(...)): the fewest cells for areas given by text. Rectangles with a bounded rim become a table of literals, without a job of their own."""
+    from quadrille.operators import coverage as cov
+
+    parsed = [(shape_id, areas.parse_area(text), res) for shape_id, text, res in defs]
+    simple = [a.kind == "rect" and res > 0 and len({s for s, _, _ in defs}) == len(defs) for _, a, res in parsed]
+    corners = [(min(a.polygons[0]), max(a.polygons[0])) if ok else None for ok, (_, a, _) in zip(simple, parsed, strict=True)]
+    rims = sum(2 * (sum(h - l for l, h in zip(*c, strict=True)) >> (32 - res)) + 4 for c, (_, _, res) in zip(corners, parsed, strict=True) if c)
+    if not all(simple) or rims > LITERAL_CELLS or any(c[1][1] >= codec.UNITS for c in corners):
+        return cov.optimize(definitions(spark, defs))
+    rows = [(shape_id, r, codec.signed(code)) for (shape_id, _, res), (low, high) in zip(parsed, corners, strict=True) for r, code in rectangle_tree(low, high, res)]
+    return spark.createDataFrame(rows, COVERAGE)
+
+
 def clip(coverage: DataFrame, cells: DataFrame, exclude: bool = False) -> DataFrame:
     """Cells of a coverage that lie in one of `cells` (res, cell), or with exclude those that don't. Clip cells finer than the coverage don't count."""
     from quadrille.operators.coverage import levels_of, with_ancestors

@@ -149,3 +149,17 @@ def test_rectangles_to_take_away_are_no_options(spark, tmp_path):
     whole = expressions.read_lines(spark, f"{tmp_path}/y")
     taken = match.has_cell(cov.normalize(whole, 8), cov.normalize(expressions.read_lines(spark, f"{tmp_path}/x"), 8).select("res", "cell"))
     assert 0 < taken.count() < cov.normalize(whole, 8).count() and got
+
+
+def test_literal_rectangles_are_compact(spark, monkeypatch):
+    rng = random.Random(5)
+    defs = []
+    for k in range(6):
+        y, x = sorted(rng.uniform(-80, 80) for _ in range(2)), sorted(rng.uniform(-170, 170) for _ in range(2))
+        defs.append((f"s{k}", f"rect:{y[0]}:{x[0]},{y[1]}:{x[1]}", rng.choice((4, 6, 8))))
+    rows = lambda df: sorted(tuple(r) for r in df.select("shape_id", "res", "cell").collect())
+    want = rows(cov.optimize(cover.definitions(spark, defs)))
+    assert rows(cover.compact(spark, defs)) == want
+    monkeypatch.setattr(cover, "LITERAL_CELLS", 0)
+    assert rows(cover.compact(spark, defs)) == want
+    assert rows(cover.compact(spark, [("w", "rect:-90:-180,90:180", 8)])) == [("w", 2, codec.signed(k << 60)) for k in sorted(range(16), key=lambda k: codec.signed(k << 60))]
