@@ -16,7 +16,9 @@ a batch puts under a symbol has one more than the least value passed since that
 names have many symbols, go without prefixes, and are taken one suffix at a time where few wait under a symbol.
 
 Texts, types, LMS places and orders are arrays in unnamed files, mapped where they are used. In memory are a
-queue's `memory`, blocks of BLOCK entries, and what waits under one symbol of a text of names.
+queue's `memory`, blocks of BLOCK entries, what waits under one symbol of a text of names, and whole arrays in two places: LMS substrings are
+sorted by numpy over all LMS places at once (several numbers of 8 bytes for each), and a pass over names holds what follows from the
+given suffixes. So memory goes with the shard, some tens of bytes for each of its bytes, and it is the shard's size that bounds it.
 Orders and lengths of bytes hold for the first `cap` symbols.
 """
 
