@@ -731,6 +731,25 @@ def geojson_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.geojson(seen(spark, sf_dir))
 
 
+@query(
+    sql_with(
+        SQL_POINTS, "squares AS MATERIALIZED (SELECT DISTINCT event_type AS shape_id, y >> 28 AS cy, x >> 28 AS cx FROM pts)", *_sql_rings("squares", 1 << 28, 11),
+        f"rings AS (SELECT shape_id, ring, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
+        "told AS (SELECT shape_id, ring, '<Placemark><LineString><coordinates>' || array_to_string(list_transform(list_append(pts, pts[1]), lambda p: p[1] || ',' || p[2]), ' ') || '</coordinates></LineString></Placemark>' AS kml FROM rings)",
+    )
+    + f"SELECT shape_id, '{render.HEAD}' || string_agg(kml, '' ORDER BY lpad(split_part(ring, ':', 1), 10, '0') || lpad(split_part(ring, ':', 2), 10, '0')) || '{render.TAIL}' AS kml FROM told GROUP BY 1"
+)
+def kml_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each ring of what the event types have seen."""
+    return render.kml_document(render.kml_envelope(seen(spark, sf_dir)))
+
+
+@query(sql_with(SQL_POINTS, _MIXED) + f"SELECT shape_id, hex FROM mixed WHERE length(hex) = 3 UNION SELECT shape_id, hex || {DIGIT.format('d')} FROM mixed, range(16) r(d) WHERE length(hex) = 2")
+def geocells_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverages of two resolutions as geocells and back, then taken to one resolution."""
+    return as_hex(cov.normalize(cov.from_geocells(cov.to_geocells(mixed(spark, sf_dir))), 6))
+
+
 _CORNER = "(cx + {x} * 268435456) * (360e0/4294967296) - 180 || ',' || ((cy + {y} * 268435456) * (180e0/4294967296) - 90)"
 _CORNERS = " || ' ' || ".join(f"({_CORNER.format(y=y, x=x).replace(' - 180 ||', ' - 180) ||', 1)}" for y, x in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0)))
 
@@ -1118,7 +1137,7 @@ def resumed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sharded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in shards of bounded size; a query's cells tell which shards are read."""
     folder = _scratch(spark, "shards")
-    shards.write(points(spark, sf_dir).select("event_id", "hh"), folder, most_rows=500)
+    shards.write(points(spark, sf_dir).select("event_id", "hh"), folder, most_rows=2_000)
     return shards.in_cells(spark, folder, shape(spark, WEST)).select("event_id")
 
 
