@@ -720,7 +720,7 @@ _LON_LAT = "[x2 * 268435456 * (360e0/4294967296) - 180, y2 * 268435456 * (180e0/
         "named AS (SELECT shape_id, hex, min(label) AS cluster FROM reach GROUP BY 1, 2)",
         "parted AS MATERIALIZED (SELECT n.shape_id || chr(1) || cluster AS shape_id, cy >> 28 AS cy, cx >> 28 AS cx FROM named n JOIN corners c ON c.shape_id = n.shape_id AND c.hex = n.hex)",
         *_sql_rings("parted", 1 << 28, 11),
-        f"rings AS (SELECT shape_id, ring, sum(x1 * (y2 - y1)) AS size, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
+        f"rings AS (SELECT shape_id, ring, sum(x1 * (y2 - y1)) AS size, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000001 WHEN ahead = 0 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
         "told AS (SELECT *, '[' || array_to_string(list_transform(list_append(pts, pts[1]), lambda p: '[' || p[1] || ',' || p[2] || ']'), ',') || ']' AS text FROM rings)",
         "polygons AS (SELECT split_part(shape_id, chr(1), 1) AS shape_id, split_part(shape_id, chr(1), 2) AS cluster, '[' || string_agg(text, ',' ORDER BY size < 0, -abs(size), pts) || ']' AS text FROM told GROUP BY 1, 2)",
     )
@@ -734,7 +734,7 @@ def geojson_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql_with(
         SQL_POINTS, "squares AS MATERIALIZED (SELECT DISTINCT event_type AS shape_id, y >> 28 AS cy, x >> 28 AS cx FROM pts)", *_sql_rings("squares", 1 << 28, 11),
-        f"rings AS (SELECT shape_id, ring, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
+        f"rings AS (SELECT shape_id, ring, list({_LON_LAT} ORDER BY CASE WHEN ahead = 1 THEN -1000001 WHEN ahead = 0 THEN -1000000 ELSE -ahead END) FILTER (WHERE d <> nd) AS pts FROM sides GROUP BY 1, 2)",
         "told AS (SELECT shape_id, ring, '<Placemark><LineString><coordinates>' || array_to_string(list_transform(list_append(pts, pts[1]), lambda p: p[1] || ',' || p[2]), ' ') || '</coordinates></LineString></Placemark>' AS kml FROM rings)",
     )
     + f"SELECT shape_id, '{render.HEAD}' || string_agg(kml, '' ORDER BY lpad(split_part(ring, ':', 1), 10, '0') || lpad(split_part(ring, ':', 2), 10, '0')) || '{render.TAIL}' AS kml FROM told GROUP BY 1"
