@@ -8,9 +8,11 @@ shuffles both sides where it isn't.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec, measure
@@ -73,27 +75,61 @@ def has_cell(coverage: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(coverage.select("res", "cell").distinct(), ["res", "cell"], "left_semi")
 
 
+def _cells_around(centers: DataFrame, north: float, res: int) -> DataFrame:
+    """(center_id, lat, lon, cell): the cells that a circle of `north` degrees touches, each once for a center.
+
+    Row by row: in the latitudes of a row of cells a circle is widest where its meridian of tangency stands, or
+    at the row's end that is nearer to it; the columns looked at are those within that width, all of them around a pole.
+    """
+    rows, tall, wide, step = 1 << res, 180.0 / 2**res, 360.0 / 2**res, 1 << (32 - res)
+    own = centers.select("center_id", "lat", "lon").distinct()
+    everywhere = north >= 90.0  # beyond a quarter of the way around all cells are looked at
+    radius = math.radians(north) * (1 + 1e-6) + 1e-9  # what rounding may move stays inside
+    reach = 180.0 if everywhere else math.degrees(radius)
+    row = lambda lat: F.least(F.greatest(F.floor((lat + 90.0) / tall), F.lit(0)), F.lit(rows - 1))
+    placed = own.withColumn("_row", F.explode(F.sequence(row(F.col("lat") - reach), row(F.col("lat") + reach))))
+    if everywhere:
+        half = F.lit(180.0)
+    else:
+        lat = F.radians("lat")
+        south, end = F.radians(F.col("_row") * tall - 90.0), F.radians((F.col("_row") + 1) * tall - 90.0)
+        widest = F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sin(lat) / math.cos(radius))))
+        at = F.least(F.greatest(widest, south), end)
+        share = (math.sin(radius / 2) ** 2 - F.pow(F.sin((at - lat) / 2), 2)) / (F.cos(lat) * F.cos(at))
+        half = F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))))) + 1e-6
+    sized = placed.withColumn("_half", half)
+    ended = sized.withColumns({"_first": F.floor((F.col("lon") - F.col("_half") + 180.0) / wide), "_last": F.floor((F.col("lon") + F.col("_half") + 180.0) / wide)})
+    across = ended.withColumn("_col", F.explode(F.sequence("_first", F.least(F.col("_last"), F.col("_first") + (rows - 1)))))
+    return across.select("center_id", "lat", "lon", codec.encode_units(F.col("_row") * step, F.pmod("_col", F.lit(rows)) * step, res).alias("cell"))
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """The place as a vector of length one."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
 def within(points: DataFrame, centers: DataFrame, metres: float, code: str = "hh") -> DataFrame:
     """Pairs of a point and a center (center_id, lat, lon) no further apart than `metres`, with the distance.
 
-    Cells of about the radius' size: a center looks into its own cell and those around it, an
-    equality join; the exact distance decides. Near a pole a column of cells gets narrow, so the
-    number of columns looked at grows with the latitude.
+    Cells of a quarter of the radius or more, less than the whole: a center looks into those that its circle touches, an
+    equality join. Of what they hold, pairs whose chord is too long go without trigonometry; the exact distance decides on the others.
     """
     north = metres / measure.METRES_PER_DEGREE
-    res = next((r for r in reversed(codec.RESOLUTIONS) if 180.0 / 2**r >= north), 2)
-    step = 1 << (32 - res)
-    y, x = codec.lat_to_units(F.col("lat")), codec.lon_to_units(F.col("lon"))
-    reach = F.least(F.lit(89.999), F.abs("lat") + north)
-    columns = F.least(F.lit(1 << (res - 1)), F.ceil(F.lit(north) / F.cos(F.radians(reach)) / (360.0 / 2**res))).cast("int")
-    around = (
-        centers.withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dx", F.explode(F.sequence(-columns, columns)))
-        .withColumn("cell", codec.encode_units((y + F.col("_dy") * step), (x + F.col("_dx") * step), res))
-        .select("center_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cell").distinct()
-    )
-    near = points.withColumn("cell", codec.at_resolution(F.col(code), res)).join(around, "cell")
+    res = next((r for r in reversed(codec.RESOLUTIONS) if 180.0 / 2**r >= north / 4), 2)
+    # conditions are wrapped and the cell is never null, since Spark would otherwise check each part for null beside the scan, spell
+    # the codes out once more for it, and get methods that Java doesn't compile; vectors are made behind the shuffle for the same reason
+    apart = lambda code: F.coalesce(codec.at_resolution(code, res), F.lit(0).cast("long"))
+    vectors = lambda side, lat, lon: {f"_{side}{k}": c for k, c in enumerate(_on_sphere(lat, lon))}
+    around = _cells_around(centers, north, res).select("center_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), apart(F.col("cell")).alias("cell"))
+    around = around.repartition("cell").withColumns(vectors("c", "_lat", "_lon"))
+    placed = points.withColumn("cell", apart(F.col(code))).repartition("cell").withColumns(vectors("p", "lat", "lon"))
+    chord = (2 * math.sin(min(math.radians(north) * (1 + 1e-6) + 1e-9, math.pi) / 2)) ** 2 * (1 + 1e-6)
+    x, y, z = (F.col(f"_p{k}") - F.col(f"_c{k}") for k in range(3))
     exact = measure.great_circle_degrees(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    return near.withColumn("distance", exact).filter(F.col("distance") <= metres).drop("cell", "_lat", "_lon")
+    close = F.col(code).isNotNull() & (x * x + y * y + z * z <= chord) & (exact <= metres)
+    near = placed.join(around.hint("merge"), "cell").filter(F.coalesce(close, F.lit(False)))
+    return near.withColumn("distance", exact).drop("cell", "_lat", "_lon", *[f"_{s}{k}" for s in "pc" for k in range(3)])
 
 
 # --- intervals of codes --------------------------------------------------------------------------
