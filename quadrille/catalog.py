@@ -1063,9 +1063,8 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
     bits = bloom.build(pts, layout)
     own = pts.select(codec.at_resolution(F.col("hh"), 12).alias("cell")).distinct()
-    around = F.array("cell", *[hierarchy.neighbour(F.col("cell"), 12, d) for d in hierarchy.DIRECTIONS])
-    cells = own.select(F.lit(12).alias("res"), F.explode(around).alias("cell")).distinct()
-    return bloom.contains(cells, bits, layout).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "member")
+    cells = hierarchy.with_neighbours(own, 12).select(F.lit(12).alias("res"), "cell").distinct()
+    return bloom.contains(saved(cells), bits, layout).select(cov.hex_of(F.col("res"), F.col("cell")).alias("hex"), "member")
 
 
 @query(sql_with(SQL_POINTS) + "SELECT DISTINCT substr(hex, 1, 6) AS hex FROM pts")

@@ -6,7 +6,7 @@ hold resolution 32; relations of this library keep (res, cell) instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec
@@ -94,6 +94,15 @@ def neighbour(code: Column, res: int, direction: str) -> Column:
     return F.transform(F.array(moved), lambda m: codec.at_resolution(codec.encode_units(m["y"], m["x"]), res))[0]
 
 
+def with_neighbours(cells: DataFrame, res: int) -> DataFrame:
+    """Rows with a cell of a resolution -> (cell) for each of these and the eight around it. Moves are rows, so that a cell is decoded once and codes are made in one place, by generated code."""
+    step = 1 << (32 - res)
+    moves = F.array(*[F.struct(F.lit(n * step).cast("long").alias("n"), F.lit(e * step).cast("long").alias("e")) for n, e in [(0, 0), *DIRECTIONS.values()]])
+    placed = cells.select(codec.y_of(F.col("cell")).alias("y"), codec.x_of(F.col("cell")).alias("x"))
+    moved = placed.select("y", "x", F.explode(moves).alias("m"))
+    return moved.select(codec.encode_units(F.col("y") + F.col("m.n"), F.col("x") + F.col("m.e"), res).alias("cell"))
+
+
 def cell_ring(code: Column, res: int) -> Column:
     """The five corners of a cell, the first one again at the end, as (lat, lon)."""
     cell, step = codec.at_resolution(code, res), 1 << (32 - res)

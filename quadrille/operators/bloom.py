@@ -2,8 +2,8 @@
 
 All prefixes of a point are members: exactly for resolutions 2 and 4 (16 and 256 bits), by hashing for finer ones.
 Hashed members go to the first of six generations of growing size that holds their number (they are
-counted first); a cell is a member if any generation has it. A generation is stored as words of 63 bits, a row each: building is an aggregate, testing an equality join, and filters of
-any size are joined and merged like other tables.
+counted first); a cell is a member if any generation has it. A generation is stored as words of 63 bits, a row each: building is an aggregate, testing an equality join for each hash
+function that only what was found so far takes part in, and filters of any size are joined and merged like other tables.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from quadrille.functions import codec
 from quadrille.operators.coverage import hex_of, keep_bits
 from quadrille.operators.graph import saved
-from quadrille.operators.match import probes
 
 # Elements and error rates of the six generations.
 SIZES = (10**3, 10**4, 10**5, 10**6, 10**7, 10**8)
@@ -45,16 +44,45 @@ class Layout:
         return list(range(1, self.hashes + 1))
 
 
+def _at(cell: str, res: Column) -> Column:
+    return F.col(cell).bitwiseAND(keep_bits(res))
+
+
+def _with_ancestors(given: dict[int, DataFrame], keys: list[str]) -> DataFrame:
+    """Cells (keys, cell) by their level -> (keys, res, cell), distinct, with all ancestors: a level is made of the distinct cells of the next finer one, so a cell is handed up once."""
+    made = finer = None
+    for res in range(max(given), 0, -2):
+        here = given[res].select(*keys, "cell") if res in given else None
+        if finer is not None:
+            above = finer.select(*keys, _at("cell", F.lit(res)).alias("cell"))
+            here = above if here is None else above.unionByName(here)
+        finer = saved(here.distinct())
+        level = finer.select(*keys, F.lit(res).alias("res"), "cell")
+        made = level if made is None else made.unionByName(level)
+    return made
+
+
 def members(points: DataFrame, layout: Layout, code: str = "hh", keys: list[str] | None = None) -> DataFrame:
-    levels = [r for r in codec.RESOLUTIONS if r <= layout.max_res]
-    return probes(points.select(*(keys or []), F.col(code).alias("hh")), levels).select(*(keys or []), "res", "cell").distinct()
+    finest = max(r for r in codec.RESOLUTIONS if r <= layout.max_res)
+    return _with_ancestors({finest: points.select(*(keys or []), codec.at_resolution(F.col(code), finest).alias("cell"))}, keys or [])
 
 
-def _places(key: Column, layout: Layout, generation: int) -> Column:
+def _place(key: Column, layout: Layout, generation: int, k: int) -> Column:
     bits = layout.bits(generation)
     part = bits // layout.hashes
-    place = lambda k: F.pmod(F.xxhash64(key, F.lit(k)), F.lit(part if layout.sliced else bits)) + (part * (k - 1) if layout.sliced else 0)
-    return F.array(*[place(k) for k in layout.keys])
+    return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(part if layout.sliced else bits)) + (part * (k - 1) if layout.sliced else 0)
+
+
+def _place_of(generation: Column, key: Column, layout: Layout, present: list[int], k: int) -> Column:
+    """The place by hash function k in the generation that the row names."""
+    out = F.lit(None).cast("bigint")
+    for g in present:
+        out = F.when(generation == g, _place(key, layout, g, k)).otherwise(out)
+    return out
+
+
+def _exact_place(res: str, cell: str) -> Column:
+    return F.when(F.col(res) == 2, F.shiftrightunsigned(cell, 60)).otherwise(16 + F.shiftrightunsigned(cell, 56))
 
 
 def generation_of(total: int, layout: Layout) -> int:
@@ -69,25 +97,14 @@ def _chosen(total: Column, layout: Layout) -> Column:
     return out
 
 
-def _places_of(generation: Column, key: Column, layout: Layout, present: list[int]) -> Column:
-    """The places of a key in the generation that the row names."""
-    out = F.lit(None).cast("array<bigint>")
-    for g in present:
-        out = F.when(generation == g, _places(key, layout, g)).otherwise(out)
-    return out
-
-
 def build(points: DataFrame, layout: Layout | None = None, code: str = "hh", keys: list[str] | None = None) -> DataFrame:
     """points -> (generation, word, bits), with keys a filter for each of their values. Generation -1 holds the exact bits.
 
     Each filter's hashed members go to the generation that holds their number, so keys of any sizes are built in one aggregate.
     """
     layout, keys = layout or Layout(), keys or []
-    found = saved(members(points, layout, code, keys))
-    exact = found.filter("res <= 4").select(
-        *keys, F.lit(-1).alias("generation"), F.when(F.col("res") == 2, F.shiftrightunsigned("cell", 60)).otherwise(16 + F.shiftrightunsigned("cell", 56)).alias("place")
-    )
-    key = hex_of(F.col("res"), F.col("cell"))
+    found = members(points, layout, code, keys)
+    exact = found.filter("res <= 4").select(*keys, F.lit(-1).alias("generation"), _exact_place("res", "cell").alias("place"))
     fine = found.filter("res > 4")
     if keys:
         sizes = saved(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("generation", _chosen(F.col("_n"), layout)).drop("_n"))
@@ -97,9 +114,14 @@ def build(points: DataFrame, layout: Layout | None = None, code: str = "hh", key
     else:
         present = [generation_of(fine.count(), layout)]
         placed = fine.withColumn("generation", F.lit(present[0]))
-    hashed = placed.select(*keys, "generation", F.explode(_places_of(F.col("generation"), key, layout, present)).alias("place"))
+    # the key is a column of its own, so that its digits are made once for a cell and not once for each hash function
+    named = placed.withColumn("_key", hex_of(F.col("res"), F.col("cell")))
+    places = named.withColumn("_places", F.array(*[_place_of(F.col("generation"), F.col("_key"), layout, present, k) for k in layout.keys]))
+    hashed = places.select(*keys, "generation", F.explode("_places").alias("place"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(WORD)).cast("int"))
-    return exact.unionByName(hashed).groupBy(*keys, "generation", F.floor(F.col("place") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits = exact.unionByName(hashed).select(*keys, "generation", F.floor(F.col("place") / WORD).alias("word"), bit.alias("bit"))
+    # dealt out first: places are spread all over a filter, so a table of words on the side of the cells would hold about as many rows as it takes in
+    return bits.repartition(*keys, "generation", "word").groupBy(*keys, "generation", "word").agg(F.bit_or("bit").alias("bits"))
 
 
 def merge(*filters: DataFrame) -> DataFrame:
@@ -116,24 +138,40 @@ def contains(cells: DataFrame, bloom: DataFrame, layout: Layout | None = None, h
     With keys each row is tested in the filter of its key; a key without a filter has no members. Only generations that a filter has are probed.
     """
     layout, keys = layout or Layout(), keys or []
-    fixed = saved(cells.select(*keys, "res", "cell").distinct()).withColumn("_res", F.least("res", F.lit(layout.max_res)))
-    levels = F.sequence(F.lit(2), F.col("_res"), F.lit(2)) if hierarchy else F.array("_res")
-    tried = fixed.withColumn("_r", F.explode(levels)).withColumn("_c", F.col("cell").bitwiseAND(keep_bits(F.col("_r"))))
-    held = saved(bloom.select(*keys, "generation").distinct())
+    of = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)  # one column, in which nulls are equal
+    finest = F.least("res", F.lit(layout.max_res))
+    fixed = cells.select(of.alias("_of"), finest.alias("res"), _at("cell", finest).alias("cell"))
+    tried = saved(fixed.distinct())
+    if hierarchy:
+        given = sorted(r[0] for r in tried.select("res").distinct().collect() if r[0] in codec.RESOLUTIONS)  # 16 at most
+        tried = _with_ancestors({r: tried.filter(F.col("res") == r) for r in given}, ["_of"]) if given else tried.limit(0)
+    bits = saved(bloom.select(of.alias("_of"), "generation", "word", "bits"))
+    held = saved(bits.select("_of", "generation").distinct())
     present = sorted(r[0] for r in held.select("generation").distinct().collect())  # seven at most
-    key = hex_of(F.col("_r"), F.col("_c"))
-    exact = F.array(F.when(F.col("_r") == 2, F.shiftrightunsigned("_c", 60)).otherwise(16 + F.shiftrightunsigned("_c", 56)))
-    places = F.when(F.col("generation") == -1, exact).otherwise(_places_of(F.col("generation"), key, layout, [g for g in present if g >= 0]))
-    fits = (F.col("_r") <= 4) == (F.col("generation") == -1)
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    asked = tried.alias("_a").join(held.alias("_b"), [*same("_a", "_b"), fits]) if keys else tried.join(F.broadcast(held), fits)
-    own = [F.col(f"_a.{k}").alias(k) for k in keys]
-    bits = asked.select(*own, "res", "cell", "_r", "generation", F.explode(places).alias("_p")).withColumn("word", F.floor(F.col("_p") / WORD))
-    looked = bits.alias("_a").join(bloom.alias("_b"), [*same("_a", "_b"), F.col("_a.generation") == F.col("_b.generation"), F.col("_a.word") == F.col("_b.word")], "left").select(*own, "res", "cell", "_r", "_a.generation", "_p", "bits")
-    one = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), F.pmod("_p", F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    by_generation = looked.groupBy(*keys, "res", "cell", "_r", "generation").agg(F.bool_and(one).alias("_in"))
-    by_level = by_generation.groupBy(*keys, "res", "cell", "_r").agg(F.bool_or("_in").alias("_in"))
-    # a level without a generation is no member
-    verdict = by_level.groupBy(*keys, "res", "cell").agg((F.bool_and("_in") & (F.count(F.lit(1)) == (F.least(F.col("res"), F.lit(layout.max_res)) / 2 if hierarchy else F.lit(1)))).alias("_member"))
-    told = cells.alias("_a").join(verdict.alias("_b"), [*same("_a", "_b"), F.col("_a.res") == F.col("_b.res"), F.col("_a.cell") == F.col("_b.cell")], "left")
+    fits = (F.col("res") <= 4) == (F.col("generation") == -1)
+    of_cell = (F.col("_a._of") == F.col("_b._of")) & fits
+    live = tried.alias("_a").join((held if keys else F.broadcast(held)).alias("_b"), of_cell).select("_a._of", "res", "cell", "generation")
+    one = F.call_function("shiftright", F.col("bits"), F.pmod("_p", F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    for k in layout.keys:
+        hashed = _place_of(F.col("generation"), hex_of(F.col("res"), F.col("cell")), layout, [g for g in present if g >= 0], k)
+        asked = live.withColumn("_p", F.when(F.col("generation") == -1, _exact_place("res", "cell")).otherwise(hashed)).withColumn("word", F.floor(F.col("_p") / WORD))
+        looked = asked.join(bits.hint("shuffle_hash"), ["_of", "generation", "word"])
+        live = looked.filter(one).select("_of", "res", "cell", "generation")
+    found = live.select("_of", "res", "cell").distinct()
+    if hierarchy:
+        found = _with_all_above(saved(found), max(given, default=2))
+    told = cells.withColumns({"_of": of, "_res": finest, "_cell": _at("cell", finest)}).alias("_a").join(
+        found.withColumn("_member", F.lit(True)).alias("_b"), (F.col("_a._of") == F.col("_b._of")) & (F.col("_a._res") == F.col("_b.res")) & (F.col("_a._cell") == F.col("_b.cell")), "left"
+    )
     return told.select(*[F.col(f"_a.`{c}`") for c in cells.columns], F.coalesce("_member", F.lit(False)).alias("member"))
+
+
+def _with_all_above(found: DataFrame, finest: int) -> DataFrame:
+    """Cells (_of, res, cell) whose ancestors are all among them, from the coarsest level down."""
+    kept = above = found.filter(F.col("res") == 2)
+    for res in range(4, finest + 1, 2):
+        parents = above.select("_of", F.col("cell").alias("_up"))
+        here = found.filter(F.col("res") == res).withColumn("_up", _at("cell", F.lit(res - 2)))
+        above = saved(here.join(parents, ["_of", "_up"], "left_semi").select("_of", "res", "cell"))
+        kept = kept.unionByName(above)
+    return kept

@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quadrille.functions import codec
-from quadrille.operators import match
+from quadrille.functions import codec, hierarchy
+from quadrille.operators import bloom, match
+from quadrille.operators.graph import saved
 
 
 def _far(a, b, c, d):
@@ -34,3 +35,32 @@ def test_radius_search_sends_no_side_whole(spark, sf_dir):
 
     plan = catalog.QUERIES["radius_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_neighbours_as_rows(spark):
+    cells = spark.range(200).select(codec.at_resolution(F.xxhash64("id"), 8).alias("cell")).union(spark.createDataFrame([(0,), (codec.signed(0xFFFF << 48),)], "cell long"))
+    want = cells.select(F.explode(F.array("cell", *[hierarchy.neighbour(F.col("cell"), 8, d) for d in hierarchy.DIRECTIONS])).alias("cell"))
+    assert sorted(r[0] for r in hierarchy.with_neighbours(cells, 8).collect()) == sorted(r[0] for r in want.collect())
+    assert "transform(" not in hierarchy.with_neighbours(cells, 8)._jdf.queryExecution().toString()
+
+
+def test_filter_is_read_once_and_ancestors_count(spark):
+    layout = bloom.Layout(max_res=8)
+    points = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), F.xxhash64("id").alias("hh"))
+    bits = saved(bloom.build(points, layout, keys=["k"]))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    own = points.select("k", F.lit(10).alias("res"), codec.at_resolution(F.col("hh"), 10).alias("cell"))
+    asked = own.unionByName(own.withColumn("res", F.lit(4)).withColumn("cell", codec.at_resolution(F.col("cell"), 4)))
+    told = bloom.contains(asked, bits.mapInArrow(count, bits.schema), layout, hierarchy=True, keys=["k"]).collect()
+    assert len(told) == 600 and all(r["member"] for r in told)
+    assert read.value == bits.count()
+    # without the coarsest bits nothing is a member any more where ancestors count, but is where they don't
+    none = bits.filter("generation >= 0")
+    assert not any(r["member"] for r in bloom.contains(own, none, layout, hierarchy=True, keys=["k"]).collect())
+    assert all(r["member"] for r in bloom.contains(own, none, layout, keys=["k"]).collect())
