@@ -151,10 +151,11 @@ def contains(cells: DataFrame, bloom: DataFrame, layout: Layout | None = None, h
     fits = (F.col("res") <= 4) == (F.col("generation") == -1)
     of_cell = (F.col("_a._of") == F.col("_b._of")) & fits
     live = tried.alias("_a").join((held if keys else F.broadcast(held)).alias("_b"), of_cell).select("_a._of", "res", "cell", "generation")
+    live = saved(live)  # else hashing is written out inside of the join
     one = F.call_function("shiftright", F.col("bits"), F.pmod("_p", F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
     for k in layout.keys:
         hashed = _place_of(F.col("generation"), hex_of(F.col("res"), F.col("cell")), layout, [g for g in present if g >= 0], k)
-        asked = live.withColumn("_p", F.when(F.col("generation") == -1, _exact_place("res", "cell")).otherwise(hashed)).withColumn("word", F.floor(F.col("_p") / WORD))
+        asked = live.withColumn("_p", F.when(F.col("generation") == -1, _exact_place("res", "cell")).otherwise(hashed)).withColumn("word", F.coalesce(F.floor(F.col("_p") / WORD), F.lit(-1).cast("long")))  # never null, so that no check for null spells it out again
         looked = asked.join(bits.hint("shuffle_hash"), ["_of", "generation", "word"])
         live = looked.filter(one).select("_of", "res", "cell", "generation")
     found = live.select("_of", "res", "cell").distinct()
