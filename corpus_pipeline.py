@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontaminate, mixing, near_copies, quality_fm, sharding
-from quadrille.llm.common import columns, fresh_dir, table, unused
+from quadrille.llm.common import columns, stored, table, unused
 from quadrille.llm.queries import SHARD_BYTES
 
 
@@ -58,7 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = fresh_dir(spark, f"pipeline-{k}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs)
     return docs

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from quadrille.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy if it holds more than one of this many parts of all rows.
 HEAVY = 4096
+#: Spark's setting that removes a query's shuffle files when it ends, and not when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,18 +40,34 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and end inside leave no shuffle files: for those whose rows are stored, or of which the driver has the few rows."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run df once and keep its rows in the shared folder, from where any executor can read them again."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    with tidy(spark):
+        return df.select("*").checkpoint(eager=True)  # a query made here, so that the setting holds for it
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df run once and written as Parquet in the shared folder: compressed, and read by columns."""
     path = fresh_dir(df.sparkSession, "rows")
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,7 +107,8 @@ def look_up(rows: DataFrame, unique: DataFrame, key: str | list[str]) -> DataFra
     """
     keys = [key] if isinstance(key, str) else key
     values = unique.select(*keys, "n", F.struct(*[c for c in unique.columns if c not in keys]).alias("found"))
-    total = unique.agg(F.sum("n")).first()[0] or 0
+    with tidy(rows.sparkSession):
+        total = unique.agg(F.sum("n")).first()[0] or 0
     heavy = values.filter(F.col("n") * HEAVY > total).select(*keys, F.col("found").alias("_heavy"))
     marked = rows.join(F.broadcast(heavy), keys, "left")
     # whatever a spread row meets, what was broadcast goes first

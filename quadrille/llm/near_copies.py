@@ -159,7 +159,7 @@ def group(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     stamped = cut(map_arrow(docs.select("doc_id", "k", "text"), stamp, f"doc_id {id_type}, k string, s string, n long, bands array<long>, fp long"))
     nodes = cut(stamped.groupBy("s").agg(F.min(F.struct("k", "n", "bands", "fp")).alias("of")).select("s", "of.*"))
     printed = cut(by_fingerprint(nodes))
-    placed = nodes.select("s", "k", "n", F.posexplode("bands").alias("band", "v"))
+    placed = nodes.select("s", "n", F.posexplode("bands").alias("band", "v"))
     shared = placed.groupBy("band", "v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = cut(meet(placed, shared, ["band", "v"]))
 

@@ -1,6 +1,8 @@
 import collections
+import glob
 import itertools
 import random
+import time
 
 from quadrille.llm import near_copies
 from tests.llm import brute
@@ -54,3 +56,17 @@ def test_classes_against_all_pairs(spark):
         a, b = sorted((root(a), root(b)))
         label[b] = a
     assert sorted(r["doc_id"] for r in near_copies.dedup(docs).collect()) == sorted(d for d in rows if root(d) == d)
+
+
+def test_no_shuffle_files_are_left_by_what_is_stored(spark):
+    def held():
+        return set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+
+    before = held()
+    docs = spark.createDataFrame([(k, f"one two three four five six {k % 7}") for k in range(50)], DOCS)
+    classes = near_copies.group(docs.withColumn("k", docs["doc_id"].cast("string")))
+    end = time.time() + 20
+    while held() - before and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert not held() - before
+    assert classes.select("label").distinct().count() == 7
